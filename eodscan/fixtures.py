@@ -57,8 +57,10 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "s_name") -> DataFrame:
         )
     )
 
-    def quotient(top: str, bottom: str):
-        return F.try_divide(F.col(top).cast("double"), F.col(bottom).cast("double"))
+    def quotient(top: str, bottom: str, times: int = 1):
+        value = F.try_divide(F.col(top).cast("double"), F.col(bottom).cast("double")) * times
+        # rounded by plain double arithmetic, which every engine does alike
+        return (F.floor(value * 1_000_000 + 0.5) / 1_000_000).cast(QUOTIENT)
 
     # after the grouping a series has one row per day at most
     by_day = Window.partitionBy("symbol", "series").orderBy("date1")
@@ -71,13 +73,13 @@ def bars(spark: SparkSession, sf_dir: str, grain: str = "s_name") -> DataFrame:
         "low_price",
         F.col("close_price").alias("last_price"),
         "close_price",
-        quotient("turnover", "quantity").cast(QUOTIENT).alias("avg_price"),
+        quotient("turnover", "quantity").alias("avg_price"),
         F.col("quantity").cast(PRICE).alias("ttl_trd_qnty"),
         F.col("turnover").cast(PRICE).alias("turnover_lacs"),
         "no_of_trades",
         F.col("delivered").cast("bigint").alias("deliv_qty"),
-        (quotient("delivered", "quantity") * 100).cast(QUOTIENT).alias("deliv_per"),
-        quotient("quantity", "no_of_trades").cast(QUOTIENT).alias("ratio"),
+        quotient("delivered", "quantity", 100).alias("deliv_per"),
+        quotient("quantity", "no_of_trades").alias("ratio"),
         "date1",
     )
 

@@ -111,3 +111,4 @@ REJECTS = T.StructType(
         T.StructField("copies", T.LongType()),
     ]
 )
+STORED_REJECTS = T.StructType([*REJECTS.fields, T.StructField("batch", T.StringType())])
