@@ -44,13 +44,13 @@ def quotient(expr: str) -> str:
     return f"CAST(floor({expr} * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS DECIMAL(18,6))"
 
 
-def bars(grain: str = "s_name") -> str:
+def bars(grain: str = "s_name", period: str = "day") -> str:
     key = "symbol, series, date1"
     order = ["l_orderkey", "l_linenumber", "l_partkey", "p", "q"]
     up, down = ", ".join(order), ", ".join(f"{c} DESC" for c in order)
     return f"""lines AS (
   SELECT {grain} AS symbol, CASE WHEN l_returnflag = 'A' THEN ' BE' ELSE ' EQ' END AS series,
-    CAST(l_shipdate AS DATE) AS date1, CAST(l_quantity AS DECIMAL(18,4)) AS q,
+    CAST(date_trunc('{period}', l_shipdate) AS DATE) AS date1, CAST(l_quantity AS DECIMAL(18,4)) AS q,
     CAST(l_extendedprice AS DECIMAL(18,4)) AS p, l_linestatus, l_orderkey, l_linenumber, l_partkey
   FROM lineitem {_JOINS[grain]}),
 placed AS (
@@ -125,8 +125,8 @@ _SPIKES = f"""{_flag(f"{d('e.ratio')} > m.avg_ratio_7_days * 2")} AS spike_vs_av
     {_flag("e.ratio > coalesce(m.prev_ratio, 0) * 2")} AS spike_vs_prev_day"""
 
 
-def indicators(grain: str = "s_name") -> str:
-    return f"""{bars(grain)},
+def indicators(grain: str = "s_name", period: str = "day") -> str:
+    return f"""{bars(grain, period)},
 {means()},
 indicators AS (
   SELECT e.symbol, e.series, e.date1, e.price_change, e.pricechange_per,
@@ -463,7 +463,7 @@ def oracle_sql() -> dict[str, str]:
             count(*) AS n FROM bars WHERE {BAD_CLOSE} GROUP BY date1""",
         "text_scan": f"WITH {bars('n_name')} {_typed_bars()}",
         "zip_round_trip": f"WITH {bars('n_name')} {_typed_bars()}",
-        "load_days": f"""WITH {bars("n_name")}
+        "load_days": f"""WITH {bars("n_name", "month")}
             SELECT 'bars' AS table_name, date1, count(*) AS n FROM eq GROUP BY date1
             UNION ALL SELECT 'bars_other', date1, count(*) FROM bars WHERE trim(series) <> 'EQ'
             GROUP BY date1
@@ -473,10 +473,10 @@ def oracle_sql() -> dict[str, str]:
             no_of_trades AS copies FROM bars""",
         "append_inferred": f"""WITH {bars("r_name")} SELECT symbol, date1, 2 * no_of_trades AS trades
             FROM eq""",
-        "incremental_ingest": f"""WITH {indicators("r_name")} SELECT symbol, date1,
+        "incremental_ingest": f"""WITH {indicators("n_name", "month")} SELECT symbol, date1,
             avg_close_1_days, avg_close_4_days, cmp_avg_p_signal1, cmp_avg_p_signal4
             FROM indicators""",
-        "late_load": f"""WITH {indicators("r_name")} SELECT symbol, date1,
+        "late_load": f"""WITH {indicators("n_name", "month")} SELECT symbol, date1,
             avg_close_1_days, avg_close_4_days, cmp_avg_p_signal1, cmp_avg_p_signal4
             FROM indicators""",
     }

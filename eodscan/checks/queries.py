@@ -468,7 +468,7 @@ def _new_tables(spark):
 @query
 def load_days_(spark, sf):
     tables = _new_tables(spark)
-    good = _typed(fx.bars(spark, sf, "n_name"))
+    good = _typed(fx.bars(spark, sf, "n_name", "month"))
     load_days(spark, good, tables)
     load_days(spark, good, tables)  # a second load of the same days changes nothing
     counted = None
@@ -521,7 +521,7 @@ STORED_SAMPLE = [
 
 @query
 def incremental_ingest(spark, sf):
-    text = _as_text(fx.bars(spark, sf, "r_name").repartitionByRange(3, "date1"))
+    text = _as_text(fx.bars(spark, sf, "n_name", "month").repartitionByRange(3, "date1"))
     landing = _write_csv(text, scratch_dir(spark, "landing"))
     tables = _new_tables(spark)
     stream = stream_days(spark, landing, tables, scratch_dir(spark, "stream"), max_files=1)
@@ -531,8 +531,8 @@ def incremental_ingest(spark, sf):
 
 @query
 def late_load(spark, sf):
-    good = _typed(fx.bars(spark, sf, "r_name"))
-    late = F.dayofmonth("date1") == 13
+    good = _typed(fx.bars(spark, sf, "n_name", "month"))
+    late = F.month("date1").isin(3, 8)
     tables = _new_tables(spark)
     load_days(spark, good.filter(~late), tables)
     load_days(spark, good.filter(late), tables)

@@ -28,12 +28,18 @@ def symbols(spark: SparkSession, sf_dir: str, grain: str = "s_name") -> DataFram
     return supplier.select("l_suppkey", F.col(grain).alias("symbol"))
 
 
-def bars(spark: SparkSession, sf_dir: str, grain: str = "s_name") -> DataFrame:
-    """Every aggregate here combines on the map side, so a group may hold any number of lines."""
+def bars(
+    spark: SparkSession, sf_dir: str, grain: str = "s_name", period: str = "day"
+) -> DataFrame:
+    """Bars of all line items, one per day or (period="month") one per month, dated its first day.
+
+    Every aggregate here combines on the map side, so a group may hold any number of lines.
+    """
+    day = F.col("l_shipdate").cast("date")
     lines = read(spark, sf_dir, "lineitem").select(
         "l_suppkey",
         F.when(F.col("l_returnflag") == "A", " BE").otherwise(" EQ").alias("series"),
-        F.col("l_shipdate").cast("date").alias("date1"),
+        (day if period == "day" else F.trunc(day, period)).alias("date1"),
         F.col("l_quantity").cast(PRICE).alias("quantity"),
         F.col("l_extendedprice").cast(PRICE).alias("price"),
         (F.col("l_linestatus") == "F").alias("delivered"),

@@ -71,7 +71,7 @@ def split_typed(
     checked = raw.select(
         "source",
         *[typed[c].alias(c) for c in DAILY_COLUMNS],
-        F.to_json(F.struct(*[text[c].alias(c) for c in DAILY_COLUMNS])).alias("raw"),
+        _raw_text(raw, text).alias("raw"),
         reasons(fatal).alias("_fatal"),
         (reasons(numbers) if numbers else F.lit(None).cast("string")).alias("_kept"),
     )
@@ -93,6 +93,13 @@ def split_typed(
     return good.select(*BARS.fieldNames()), rejects.select(*REJECTS.fieldNames())
 
 
+def _raw_text(raw: DataFrame, text: dict[str, Column]) -> Column:
+    """What a reject shows: the line itself where there is one, else its columns."""
+    if "line" in raw.columns:
+        return F.col("line")
+    return F.to_json(F.struct(*[text[c].alias(c) for c in DAILY_COLUMNS]))
+
+
 def one_row_per_key(rows: DataFrame) -> DataFrame:
     """Smallest row of each key. min() combines on the map side, so copies never pile up."""
     rest = [c for c in rows.columns if c not in KEYS]
@@ -185,31 +192,39 @@ def _fields(line: Column) -> Column:
     return F.get(F.transform(F.array(F.from_csv(line, _FIELDS, _CSV_OPTIONS)), listed), F.lit(0))
 
 
-def header_names(header: Column) -> Column:
-    """Column names of a header line, stripped and in lower case."""
-    return F.transform(_fields(header), lambda c: F.lower(strip(c)))
+def header_places(header: Column) -> Column:
+    """Field number of each daily column in a header line, 0 for an absent one; null without header."""
 
+    def places(fields: Column) -> Column:
+        names = F.transform(fields, lambda c: F.lower(strip(c)))
+        return F.get(
+            F.transform(
+                F.array(names),
+                lambda n: F.array(*[F.array_position(n, c).cast("int") for c in DAILY_COLUMNS]),
+            ),
+            F.lit(0),
+        )
 
-def has_required(names: Column) -> Column:
-    found = [F.coalesce(F.array_contains(names, c), F.lit(False)) for c in REQUIRED]
-    ok = found[0]
-    for f in found[1:]:
-        ok = ok & f
-    return ok
+    return F.when(header.isNotNull(), places(_fields(header)))
 
 
 def split_lines(
     lines: DataFrame, bad_values: str = "reject"
 ) -> tuple[DataFrame, DataFrame]:
-    """Frame (source, names, line) -> (good, rejects); each line is read by its own header."""
-    read = lines.select("source", "names", _fields(F.col("line")).alias("_f"))
+    """Frame (source, places, line) -> (good, rejects); each line is read by its own header."""
+
+    def place(c: str) -> Column:
+        return F.get("places", F.lit(DAILY_COLUMNS.index(c)))
+
+    usable = F.lit(True)
+    for c in REQUIRED:
+        usable = usable & (F.coalesce(place(c), F.lit(0)) > 0)
+    read = lines.select("source", "places", "line", _fields(F.col("line")).alias("_f"))
     by_name = read.select(
         "source",
-        has_required(F.col("names")).alias("_ok"),
-        *[
-            F.get("_f", (F.array_position("names", c) - 1).cast("int")).alias(c)
-            for c in DAILY_COLUMNS
-        ],
+        usable.alias("_ok"),
+        "line",
+        *[F.get("_f", place(c) - 1).alias(c) for c in DAILY_COLUMNS],
     )
     return split_typed(by_name, bad_values, F.col("_ok"))
 
@@ -220,15 +235,17 @@ def read_daily_text(
     """A column of whole file texts -> (good, rejects)."""
     name = F.col(source).cast("string") if source else F.lit(None).cast("string")
     written = F.filter(F.split(col, r"\r?\n"), lambda x: strip(x) != "")
-    lines = (
+    # header and body are parted before the explode, so no line carries the whole text along
+    parted = (
         df.select(name.alias("source"), written.alias("_lines"))
         .filter(F.size("_lines") > 0)
         .select(
             "source",
-            header_names(F.get("_lines", F.lit(0))).alias("names"),
-            F.explode(F.slice("_lines", F.lit(2), F.size("_lines"))).alias("line"),
+            header_places(F.get("_lines", F.lit(0))).alias("places"),
+            F.slice("_lines", F.lit(2), F.size("_lines")).alias("_body"),
         )
     )
+    lines = parted.select("source", "places", F.explode("_body").alias("line"))
     return split_lines(lines, bad_values)
 
 
@@ -268,15 +285,12 @@ def _blocks(source: str, lines: Iterable[str]) -> Iterator[pd.DataFrame]:
 
 
 def archive_lines(archives: DataFrame) -> DataFrame:
-    """Frame (path, content) of ZIP files -> (source, names, line); one task per archive."""
+    """Frame (path, content) of ZIP files -> (source, places, line); one archive is one unit of work."""
     blocks = archives.select("path", "content").mapInPandas(
         _unzip, "source string, header string, lines array<string>"
     )
-    return blocks.select(
-        "source",
-        header_names(F.col("header")).alias("names"),
-        F.explode("lines").alias("line"),
-    )
+    placed = blocks.select("source", header_places(F.col("header")).alias("places"), "lines")
+    return placed.select("source", "places", F.explode("lines").alias("line"))
 
 
 def read_daily_zip(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from eodscan.functions.text import strip
-from eodscan.sources.daily import REQUIRED, header_names, split_lines
+from eodscan.sources.daily import REQUIRED, header_places, split_lines
 from eodscan.sources.tables import Tables, load_days
 
 FILES_PER_BATCH = 64
@@ -21,7 +21,7 @@ def is_header(line: Column) -> Column:
 
 
 def with_headers(lines: DataFrame) -> DataFrame:
-    """Lines (source, value) of a micro-batch -> (source, names, line).
+    """Lines (source, value) of a micro-batch -> (source, places, line).
 
     One header per file, and a micro-batch has at most `max_files` files: that bounds the broadcast.
     """
@@ -29,11 +29,11 @@ def with_headers(lines: DataFrame) -> DataFrame:
         lines.filter(is_header(F.col("value")))
         .groupBy("source")
         .agg(F.min("value").alias("header"))
-        .select("source", header_names(F.col("header")).alias("names"))
+        .select("source", header_places(F.col("header")).alias("places"))
     )
     content = lines.filter(~is_header(F.col("value")) & (strip(F.col("value")) != ""))
     return content.join(F.broadcast(headers), "source", "left").select(
-        "source", "names", F.col("value").alias("line")
+        "source", "places", F.col("value").alias("line")
     )
 
 
