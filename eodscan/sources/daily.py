@@ -46,47 +46,58 @@ def split_typed(
     if bad_values not in ("reject", "null"):
         raise ValueError("bad_values must be 'reject' or 'null'")
     text = {c: F.col(c) if c in raw.columns else F.lit(None).cast("string") for c in DAILY_COLUMNS}
-    typed = {
-        "symbol": text["symbol"],
-        "series": strip(text["series"]),
-        "date1": parse_trade_date(text["date1"]),
-        **{c: number_or_null(text[c]) for c in _NUMBERS},
-        **{c: whole_number_or_null(text[c]) for c in COUNT_COLUMNS},
-    }
+    texts = raw.select(
+        "source",
+        _raw_text(raw, text).alias("raw"),
+        (F.lit(True) if header_ok is None else header_ok).alias("_ok"),
+        *[(text[c] if c == "symbol" else strip(text[c])).alias(f"_t_{c}") for c in DAILY_COLUMNS],
+    )
 
-    def unreadable(c: str) -> Column:
-        given = text[c].isNotNull() & ~strip(text[c]).isin(MISSING_MARKERS)
-        return F.when(given & typed[c].isNull(), F.lit(f"bad number in {c}"))
+    def typed(c: str) -> Column:
+        t = F.col(f"_t_{c}")
+        if c == "date1":
+            return parse_trade_date(t)
+        if c in COUNT_COLUMNS:
+            return whole_number_or_null(t)
+        return number_or_null(t) if c in _NUMBERS else t
+
+    # inline() over one struct: the casts are evaluated once, and no filter below repeats them
+    parsed = texts.select(
+        "*", F.inline(F.array(F.struct(*[typed(c).alias(c) for c in DAILY_COLUMNS])))
+    )
 
-    fatal = [F.when(typed["date1"].isNull(), F.lit("bad date in date1"))]
-    if header_ok is not None:
-        fatal = [F.when(~header_ok, F.lit("no usable header")), *fatal]
+    def unreadable(c: str) -> Column:
+        t = F.col(f"_t_{c}")
+        given = t.isNotNull() & ~t.isin(MISSING_MARKERS)
+        return F.when(given & F.col(c).isNull(), F.lit(f"bad number in {c}"))
+
+    fatal = [
+        F.when(~F.col("_ok"), F.lit("no usable header")),
+        F.when(F.col("date1").isNull(), F.lit("bad date in date1")),
+    ]
     numbers = [unreadable(c) for c in [*_NUMBERS, *COUNT_COLUMNS]]
     if bad_values == "reject":
         fatal, numbers = [*fatal, *numbers], []
 
-    def reasons(parts: list[Column]) -> Column:
-        return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
-
-    checked = raw.select(
+    checked = parsed.select(
         "source",
-        *[typed[c].alias(c) for c in DAILY_COLUMNS],
-        _raw_text(raw, text).alias("raw"),
-        reasons(fatal).alias("_fatal"),
-        (reasons(numbers) if numbers else F.lit(None).cast("string")).alias("_kept"),
+        "raw",
+        *DAILY_COLUMNS,
+        F.concat_ws("; ", *fatal).alias("_fatal"),
+        F.concat_ws("; ", F.lit(None).cast("string"), *numbers).alias("_kept"),
     )
-    readable = checked.filter("_fatal is null").select(
+    readable = checked.filter("_fatal = ''").select(
         *DAILY_COLUMNS, unit_ratio(F.col("ttl_trd_qnty"), F.col("no_of_trades")).alias("ratio")
     )
     good = one_row_per_key(readable)
 
     one = F.lit(1).cast("bigint").alias("copies")
-    refused = checked.filter("_fatal is not null").select(
+    refused = checked.filter("_fatal <> ''").select(
         "source", F.col("_fatal").alias("reason"), "raw", one
     )
     rejects = refused.unionByName(surplus_rows(readable, good))
     if numbers:
-        reported = checked.filter("_fatal is null and _kept is not null").select(
+        reported = checked.filter("_fatal = '' and _kept <> ''").select(
             "source", F.concat(F.lit("kept as null: "), "_kept").alias("reason"), "raw", one
         )
         rejects = rejects.unionByName(reported)
