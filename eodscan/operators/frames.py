@@ -117,9 +117,12 @@ def add_averages(
     measures: Mapping[str, tuple[str, Mapping[int, int]]],
     lookback_days: int,
     by: Iterable[str] = ("symbol",),
+    extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Trailing means on an already chunked frame; see `moving_averages`.
 
+    `extra` columns (window expressions over the same order) are computed in the same pass.
+
     The mean over the last n rows is a difference of two running sums, so the work per row does
     not grow with n. The lower end of the frame is whichever comes later: n rows back, or the last
     row older than the lookback.
@@ -130,9 +133,11 @@ def add_averages(
     upto_now = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     too_old = order.rangeBetween(Window.unboundedPreceding, -(lookback_days + 1))
 
-    kept = chunks.columns
-    running = chunks.select(*kept, *[_units(F.col(m)).alias(f"_u_{m}") for m in names]).select(
-        *kept,
+    extra = dict(extra or {})
+    kept = [*chunks.columns, *extra]
+    running = chunks.select("*", *[_units(F.col(m)).alias(f"_u_{m}") for m in names]).select(
+        *chunks.columns,
+        *[column.alias(name) for name, column in extra.items()],
         F.row_number().over(order).alias("_pos"),
         *[F.coalesce(F.sum(f"_u_{m}").over(upto_now), F.lit(0)).alias(f"_s_{m}") for m in names],
         *[F.count(f"_u_{m}").over(upto_now).alias(f"_c_{m}") for m in names],
@@ -171,13 +176,11 @@ def add_averages(
     )
 
 
-def add_prev_day(
-    chunks: DataFrame, measure: str, name: str, by: Iterable[str] = ("symbol",)
-) -> DataFrame:
-    """Value of the calendar day before, on an already chunked frame."""
+def prev_day(measure: str, by: Iterable[str] = ("symbol",)) -> Column:
+    """Value of the calendar day before, for use on an already chunked frame."""
     order = _in_order(by)
     is_yesterday = F.lag(_DAY).over(order) == F.col(_DAY) - 1
-    return chunks.withColumn(name, F.when(is_yesterday, F.lag(measure).over(order)))
+    return F.when(is_yesterday, F.lag(measure).over(order))
 
 
 def moving_averages(
@@ -201,4 +204,4 @@ def prev_day_value(
 ) -> DataFrame:
     """Value on the calendar day before: null after a weekend, a holiday or a gap."""
     chunks = to_chunks(bars, 1, chunk_days)
-    return from_chunks(add_prev_day(chunks, measure, name or f"prev_{measure}"), chunk_days)
+    return from_chunks(chunks.withColumn(name or f"prev_{measure}", prev_day(measure)), chunk_days)

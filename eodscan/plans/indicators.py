@@ -11,9 +11,9 @@ from eodscan.functions.numbers import percent_change
 from eodscan.operators.frames import (
     CHUNK_DAYS,
     add_averages,
-    add_prev_day,
     equity,
     from_chunks,
+    prev_day,
     to_chunks,
 )
 from eodscan.operators.signals import spike_signals, tier_signals
@@ -51,8 +51,11 @@ def build_indicators(
             rows = rows.filter(F.col("date1").between(wanted[0] - reach, wanted[-1]))
     rows = with_price_change(rows.select(*KEYS, "prev_close", *_stored_measures()))
 
-    chunks = add_prev_day(to_chunks(rows, lookback_days, chunk_days), "ratio", "prev_ratio")
-    built = from_chunks(add_averages(chunks, MEASURES, lookback_days), chunk_days)
+    chunks = to_chunks(rows, lookback_days, chunk_days)
+    averaged = add_averages(
+        chunks, MEASURES, lookback_days, extra={"prev_ratio": prev_day("ratio")}
+    )
+    built = from_chunks(averaged, chunk_days)
     if as_of is not None:
         built = built.filter(F.col("date1").isin(wanted))
     return spike_signals(tier_signals(built)).select(*INDICATOR_COLUMNS)

@@ -20,10 +20,21 @@ HIGHLIGHTED = ["deliv_per", "ratio", "deliv_qty", "volume"]
 
 
 def _facts_with_indicators(bars: DataFrame, indicators: DataFrame, facts: list[str]) -> DataFrame:
-    """Inner join on all three keys; turnover is called volume in these reports."""
-    return indicators.join(bars.select(*KEYS, *facts), KEYS).withColumnRenamed(
-        "turnover_lacs", "volume"
-    )
+    """Inner join on all three keys; turnover is called volume in these reports.
+
+    Indicators exist for EQ rows only, so the facts are narrowed to those before the join.
+    """
+    narrow = equity(bars).select(*KEYS, *facts)
+    return indicators.join(one_per_key(narrow), KEYS).withColumnRenamed("turnover_lacs", "volume")
+
+
+def one_per_key(rows: DataFrame) -> DataFrame:
+    """Latest row per (symbol, series, date1), so a repeated key cannot fan out.
+
+    Done on the narrow side of the join: the join then finds it partitioned and sorted already.
+    """
+    order = Window.partitionBy(*KEYS).orderBy(F.col("date1").desc())
+    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
 def _narrow(
@@ -43,15 +54,10 @@ def snapshot(
     dates: Iterable[dt.date | str] | None = None,
 ) -> DataFrame:
     """Prices and indicators of each (symbol, date): exactly one row per key."""
-    one_per_key = Window.partitionBy(*KEYS).orderBy(F.col("date1").desc())
     kept = [*KEYS, *[c for c in SNAPSHOT_FACTS if c != "turnover_lacs"], "volume"]
     kept += [c for c in INDICATOR_COLUMNS if c not in KEYS and not c.startswith("spike_")]
-    return (
-        _narrow(_facts_with_indicators(bars, indicators, SNAPSHOT_FACTS), symbols, dates)
-        .withColumn("_n", F.row_number().over(one_per_key))
-        .filter("_n = 1")
-        .select(*kept)
-    )
+    joined = _facts_with_indicators(bars, indicators, SNAPSHOT_FACTS)
+    return _narrow(joined, symbols, dates).select(*kept)
 
 
 def symbol_ladder(
