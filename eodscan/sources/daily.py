@@ -148,18 +148,20 @@ def read_daily(
 ) -> tuple[DataFrame, DataFrame]:
     """Daily CSV files under one or several paths -> (good, rejects).
 
-    With start and end, only files named for a day in between are read; the name test is on file
-    metadata, so other files are never opened. All files of one path share a header (checked);
-    paths with different headers are read separately and lined up by column name.
+    With start and end, only files named for a day in between are read; others are never opened.
+    All files of one path share a header (checked); paths with different headers are read separately
+    and lined up by column name.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    frames, dropped = [], []
+    named = start is not None or end is not None
+    raw = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["source", *DAILY_COLUMNS]))
+    dropped = []
     for p in paths:
-        frame, extra = _read_one(spark, p, start, end)
-        frames.append(frame)
+        files = files_between(spark, p, start, end) if named else p
+        if not files:
+            continue
+        frame, extra = _read_one(spark, files, p)
         dropped += [(p, f"column dropped: {c}", None, 0) for c in extra]
-    raw = frames[0]
-    for frame in frames[1:]:
         raw = raw.unionByName(frame, allowMissingColumns=True)
     good, rejects = split_typed(raw, bad_values)
     if dropped:
@@ -167,22 +169,32 @@ def read_daily(
     return good, rejects
 
 
-def _read_one(spark, path, start, end) -> tuple[DataFrame, list[str]]:
-    reader = spark.read.options(header=True, enforceSchema=False, escape='"')
-    named = start is not None or end is not None
-    if named:
-        reader = reader.option("pathGlobFilter", f"{FILE_PREFIX}*{FILE_SUFFIX}")
-    df = reader.csv(path)
+def files_between(
+    spark: SparkSession, folder: str, start: dt.date | str | None, end: dt.date | str | None
+) -> list[str]:
+    """Daily files of a folder named for a day in the range; at most one per day. Reads names only."""
+    listed = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", f"{FILE_PREFIX}*{FILE_SUFFIX}")
+        .load(folder)
+        .select("path", file_date(F.element_at(F.split("path", "/"), -1)).alias("day"))
+        .filter("day is not null")
+    )
+    if start is not None:
+        listed = listed.filter(F.col("day") >= F.lit(start).cast("date"))
+    if end is not None:
+        listed = listed.filter(F.col("day") <= F.lit(end).cast("date"))
+    return sorted(r.path for r in listed.select("path").collect())
+
+
+def _read_one(
+    spark: SparkSession, files: str | list[str], path: str
+) -> tuple[DataFrame, list[str]]:
+    df = spark.read.options(header=True, enforceSchema=False, escape='"').csv(files)
     names = {c: c.strip().lower() for c in df.columns}
     missing = sorted(set(REQUIRED) - set(names.values()))
     if missing:
         raise ValueError(f"{path}: header lacks {', '.join(missing)}")
-    if named:
-        day = file_date(F.col("_metadata.file_name"))
-        if start is not None:
-            df = df.filter(day >= F.lit(start).cast("date"))
-        if end is not None:
-            df = df.filter(day <= F.lit(end).cast("date"))
     known = [F.col(f"`{c}`").alias(n) for c, n in names.items() if n in DAILY_COLUMNS]
     extra = [n for n in names.values() if n not in DAILY_COLUMNS]
     return df.select(F.col("_metadata.file_name").alias("source"), *known), extra

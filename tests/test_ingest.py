@@ -134,8 +134,11 @@ def test_folder_range_by_file_name(spark, tmp_path):
         write_day(folder, n, line("A", n=n))
     (folder / "sec_bhavdata_full_99999999.csv").write_text(text(line("NODATE")))
     (folder / "other.csv").write_text("something else\n")
+    # a file of the folder with another header is no problem while its day is not asked for
+    write_day(folder, -3, "1,2", header="OLD,LAYOUT")
     good, _ = read_daily(spark, str(folder), day(1), day(2))
     assert {r.date1 for r in good.collect()} == {day(1), day(2)}
+    assert read_daily(spark, str(folder), day(50), day(60))[0].count() == 0
 
 
 def test_different_headers(spark, tmp_path):
