@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eodscan.llm import common, language_id, line_dedup, packing
+from eodscan.llm import common, decontaminate, jaccard_join, language_id, line_dedup, packing
 
 STAGES = [
     ("language_id", language_id.stage),
     ("line_dedup", line_dedup.stage),
+    ("jaccard_join", jaccard_join.stage),
+    ("decontamination", decontaminate.stage),
     ("best_fit_packing", packing.stage),
 ]
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, packing
+from . import decontaminate, jaccard_join, language_id, line_dedup, packing, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op3_language_id": language_id.query,
+    "op4_toxicity": toxicity.query,
     "op5_best_fit_packing": packing.query,
+    "op7_decontamination": decontaminate.query,
+    "op8_jaccard_join": jaccard_join.query,
 }
 
 SQL = {
