@@ -171,14 +171,14 @@ def matches_in(column: pa.Array, index: Index) -> Iterator[tuple]:
 
 def indexes(benchmark: DataFrame) -> Iterator:
     """Broadcast indexes of the items, block by block."""
-    sc = benchmark.sparkSession.sparkContext
+    spark = benchmark.sparkSession
     block = []
     for row in benchmark.select("item_id", "text").toLocalIterator():
         block.append((row["item_id"], row["text"]))
         if len(block) == ITEMS_PER_BLOCK:
-            yield sc.broadcast(Index(block))
+            yield common.share(spark, Index(block))
             block = []
-    yield sc.broadcast(Index(block))
+    yield common.share(spark, Index(block))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def searcher(shared):
         def run(batches):
-            index = shared.value
+            index = shared()
             for batch in batches:
                 rows = list(matches_in(batch.column("text"), index))
                 row, item, start, n, hamming, score = zip(*rows) if rows else [[]] * 6
@@ -225,7 +225,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def keeper(shared):
         def run(batches):
-            index = shared.value
+            index = shared()
             for batch in batches:
                 dirty = {row for row, *_ in matches_in(batch.column("text"), index)}
                 yield batch.filter(pa.array([row not in dirty for row in range(batch.num_rows)], pa.bool_()))

@@ -123,10 +123,10 @@ def ordered_prefix(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np
 
 def postings(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFrame:
     """h, doc, hot: the prefix of each document; a task gives that of equal sets once (while it remembers)."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared = common.share(docs.sparkSession, classes)
 
     def emit(batches):
-        classes, known = shared.value, set()
+        classes, known = shared(), set()
         for batch in batches:
             ids = batch.column("doc_id")
             hashes, rows, hots, held = [], [], [], 0

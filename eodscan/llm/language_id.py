@@ -144,10 +144,10 @@ def score_texts(texts: list[str | None], langs: list[str], logs: np.ndarray) ->
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.share(docs.sparkSession, model)
 
     def run(batches):
-        langs, logs = shared.value
+        langs, logs = shared()
         for batch in batches:
             names, scores = score_texts(batch.column("text").to_pylist(), langs, logs)
             yield pa.RecordBatch.from_arrays(
@@ -177,12 +177,12 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     If no row is labelled, only documents without a letter go.
     """
     langs, logs = fit(held_out_fold(docs))
-    shared = spark.sparkContext.broadcast((langs, logs))
+    shared = common.share(spark, (langs, logs))
     columns = docs.columns
     schema = docs.schema
 
     def keep(batches):
-        names, matrix = shared.value
+        names, matrix = shared()
         for batch in batches:
             found, scores = score_texts(batch.column("text").to_pylist(), names, matrix)
             if names:

@@ -27,7 +27,7 @@ from . import common
 BITS = 18  # buckets of each family: 2 ** BITS
 STEMS = (4, 6)  # bytes of the short and the long stem
 STRENGTH = 4.0  # pseudo-tokens of each prior
-DRIFT = 0.5  # taken from every token's log-odds
+DRIFT = 2.0  # taken from every token's log-odds
 CAP = 6.0  # log-odds are held within
 FAMILIES = len(STEMS) + 1
 LEVELS = 400  # bins of evidence for the logistic curve
@@ -78,14 +78,6 @@ def count_tokens(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
 
 
-def log_odds(other: np.ndarray, toxic: np.ndarray, n_other: int, n_toxic: int) -> list[np.ndarray]:
-    """Rates of the families as (toxic rate, other rate) smoothed tables, [family][bucket] each."""
-    return [
-        np.stack([toxic[f << BITS : (f + 1) << BITS] / n_toxic, other[f << BITS : (f + 1) << BITS] / n_other]).astype(np.float32)
-        for f in range(FAMILIES)
-    ]
-
-
 class Model:
     """Counts by bucket and the calibration; of fixed size whatever the corpus."""
 
@@ -102,12 +94,16 @@ class Model:
         self.scale, self.offset = 1.0, 0.0  # of the extreme-value law: lambda, ln K
         self.curve = (0.0, 0.0)  # of the logistic: intercept, slope
 
-    def token_scores(self, buckets: np.ndarray) -> np.ndarray:
-        """Log-odds of each token by the chain of priors, less the drift."""
+    def token_scores(self, buckets: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+        """Log-odds of each token by the chain of priors, less the drift.
+
+        own: the label of each token's text if that text was learned; it is left out of the counts."""
         p = np.full(buckets.shape[1], self.rate, dtype=np.float32)
         for f in range(FAMILIES):
             at = buckets[f] + (f << BITS)
             toxic, other = self.counts[1][at], self.counts[0][at]
+            if own is not None:
+                toxic, other = np.maximum(toxic - own, 0), np.maximum(other - (1 - own), 0)
             p = (toxic + STRENGTH * p) / (toxic + other + STRENGTH)
         base = np.log(self.rate / (1 - self.rate))
         return np.clip(np.log(p / (1 - p)) - base, -CAP, CAP) - DRIFT
@@ -155,11 +151,12 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(first, end, after - before) for before, after, first, end in kept]
 
 
-def segments_in(column: pa.Array, model: Model):
-    """(row, tokens, segments) of each text."""
+def segments_in(column: pa.Array, model: Model, learned: np.ndarray | None = None):
+    """(row, tokens, segments) of each text; learned: the labels if these are the rows learned from."""
     for first, last, data, offsets in common.blocks(column):
         buckets, bounds = token_buckets(data, offsets)
-        scores = model.token_scores(buckets)
+        own = None if learned is None else np.repeat(learned[first:last], np.diff(bounds))
+        scores = model.token_scores(buckets, own)
         for row in range(first, last):
             a, b = bounds[row - first], bounds[row - first + 1]
             yield row, int(b - a), maximal_segments(scores[a:b])
@@ -195,34 +192,34 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def _score_histogram(batch, toxic, model, out):
     for first, last, data, offsets in common.blocks(batch.column("text")):
         buckets, bounds = token_buckets(data, offsets)
-        at = np.round((model.token_scores(buckets) + CAP + DRIFT) / 0.05).astype(np.int64)
         kind = np.repeat(toxic[first:last], np.diff(bounds))
+        at = np.round((model.token_scores(buckets, kind) + CAP + DRIFT) / 0.05).astype(np.int64)
         for label in (0, 1):
             np.add.at(out[label], np.clip(at[kind == label], 0, LEVELS - 1), 1)
 
 
 def _best_histogram(batch, toxic, model, out):
     """lambda S - ln n of each text's best segment."""
-    for row, n, found in segments_in(batch.column("text"), model):
+    for row, n, found in segments_in(batch.column("text"), model, toxic):
         if found:
             value = model.scale * max(s for _, _, s in found) - np.log(n)
             out[toxic[row], int(np.clip(round((value + 40.0) / STEP), 0, LEVELS - 1))] += 1
 
 
 def _evidence_histogram(batch, toxic, model, out):
-    for row, n, found in segments_in(batch.column("text"), model):
+    for row, n, found in segments_in(batch.column("text"), model, toxic):
         value = model.evidence([s for _, _, s in found], n)
         out[toxic[row], int(np.clip(round(value / STEP), 0, LEVELS - 1))] += 1
 
 
 def _summed(rows: DataFrame, model: Model, measure) -> np.ndarray:
     """[label, LEVELS] histogram over all rows, summed by Spark."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared = common.share(rows.sparkSession, model)
 
     def run(batches):
-        out = np.zeros((2, LEVELS), dtype=np.int64)
+        out, model = np.zeros((2, LEVELS), dtype=np.int64), shared()
         for batch in batches:
-            measure(batch, np.asarray(batch.column("toxic").to_pylist(), dtype=np.int64), shared.value, out)
+            measure(batch, np.asarray(batch.column("toxic").to_pylist(), dtype=np.int64), model, out)
         label, level = np.nonzero(out)
         yield pa.RecordBatch.from_arrays(
             [pa.array(label, pa.int32()), pa.array(level, pa.int32()), pa.array(out[label, level])], names=["label", "level", "n"]
@@ -267,11 +264,11 @@ def _logistic(counts: np.ndarray) -> tuple[float, float]:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence, n_segments and the significant segments (first token, end token, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.share(docs.sparkSession, model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        model = shared.value
+        model = shared()
         span = pa.struct([("first", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
         for batch in batches:
             size = batch.num_rows
