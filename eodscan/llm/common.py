@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,6 +43,14 @@ def share(spark: SparkSession, value) -> Callable:
     return lambda: cloudpickle.loads(packed.value)
 
 
+def kept_by_worker(name: str, make: Callable):
+    """A value that a Python worker makes once for all its tasks; for caches only, never for results."""
+    store = sys.modules.setdefault("llm_worker_store", types.ModuleType("llm_worker_store"))
+    if not hasattr(store, name):
+        setattr(store, name, make())
+    return getattr(store, name)
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

@@ -12,6 +12,9 @@ packed once each (their `copy` numbers differ inside a group only by place). Ext
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ from . import common
 
 SEQUENCE = 2048
 GROUP = 32_768
-CACHE = 400_000  # words remembered by a task
+CACHE = 250_000  # words a worker remembers; twice as many between renewals
 
 
 def tokenizer_path() -> str:
@@ -34,28 +37,81 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space to str.split, not to the tokenizer
+LATIN_END = "\u0250"  # letters below it are whole under every normal form
+
+
+class Known(dict):
+    """A dict that learns what it lacks; `old` holds the entries before the last renewal."""
+
+    def __init__(self, learn, old: dict | None = None):
+        self.learn, self.old = learn, old or {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        ids = self[word] = self.learn(word) if ids is None else ids
+        return ids
+
+    def renewed(self) -> Known:
+        if len(self) <= CACHE:
+            return self
+        return Known(self.learn, dict(self))
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Ids of texts as little-endian bytes. White space only parts words in this vocabulary, so the ids of a
-    text are those of its words in turn; words are tokenised once per task while the memory lasts."""
+    text are those of its words in turn; words are tokenised once per worker while its memory lasts.
+
+    A word of Latin letters with marks after it is one call of the vocabulary's model for the letters;
+    all other words go through the whole tokenizer."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known, self.stems = Known(self.learn), Known(self.learn_stem)
+        letters = [chr(i) for i in range(0x80, ord(LATIN_END)) if chr(i).isalpha()]
+        self.spelled = {
+            ord(c): "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in letters
+        }
+
+    def words(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if any(c in text for c in SEPARATORS):
+            return [word for word in WHITE.split(text) if word]
+        return text.split()
+
+    def whole(self, word: str) -> bytes:
+        return packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def learn_stem(self, stem: str) -> bytes:
+        spelled = stem if stem.isascii() else stem.translate(self.spelled)
+        return packed([token.id for token in self.tokenizer.model.tokenize(spelled)])
+
+    def learn(self, word: str) -> bytes:
+        lowered = word.lower()
+        stem = lowered.rstrip(".,!?;:*#$%&")
+        if not stem.isalpha() or not (stem.isascii() or max(stem) < LATIN_END):
+            return self.whole(word)
+        if len(stem) == len(lowered):
+            return self.stems[stem]
+        marks = lowered[len(stem) :]
+        tail = self.stems.get(marks)  # marks are never a stem
+        if tail is None:
+            tail = self.stems[marks] = self.whole(marks)
+        return self.stems[stem] + tail
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        words = [(text or "").split() for text in texts]
-        new = list({word for own in words for word in own} - self.known.keys())
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({word for own in words for word in own})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(coded.ids, dtype="<u4").tobytes()
-        for own in words:
-            yield b"".join(map(self.known.__getitem__, own)) + bytes(4)
+        for text in texts:
+            self.known, self.stems = self.known.renewed(), self.stems.renewed()
+            yield b"".join(map(self.known.__getitem__, self.words(text))) + bytes(4)
 
 
 def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -> DataFrame:
@@ -63,7 +119,7 @@ def pieces(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE) -
     path = path or tokenizer_path()
 
     def cut(batches):
-        coder = WordIds(path)
+        coder = common.kept_by_worker(f"ids {path}", lambda: WordIds(path))
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
             for at in range(0, len(ids), 256):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, packing, toxicity
+from . import decontaminate, jaccard_join, language_id, line_dedup, packing, toxicity, winnowing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.query,
     "op7_decontamination": decontaminate.query,
     "op8_jaccard_join": jaccard_join.query,
+    "op9_winnowing": winnowing.query,
 }
 
 SQL = {
