@@ -7,11 +7,12 @@ such shingle is a bucket. The order puts shingles that a count sketch of the who
 last, so passages that many texts share hardly make buckets; the sketch decides cost only, never results.
 
 Inside the buckets the join works by pivots. The first document of a bucket is its pivot, exact distances to
-it are computed, and with e = 1 - s: documents within e of the pivot form its region and need no comparison among each
-other, since they are linked through it; documents further than 2e can't link to that region; between, a
-document y is held against those x of the region with d(x, pivot) >= d(y, pivot) - e. The rest of the
-bucket is a bucket again, with a new pivot, until all its members are in one group or few enough (LEAF)
-to be compared directly. Comparisons of one pair happen once, whatever the number of its buckets.
+it are computed, and with e = 1 - s: documents within e of the pivot form its region and need no comparison among
+each other, since they are linked through it; documents further than 2e can't link to that region; between, a
+document y is held only against those x of the region with d(x, pivot) >= d(y, pivot) - e. What is
+open is joined again, round by round: members of other groups than a bucket's largest become pivots (PIVOTS at
+a time) and meet the members of other groups whose distance to the first pivot differs by at most e. A
+pivot is settled, a bucket of one group too. A pair is compared once, whatever the number of its buckets.
 
 Equal sets are one class from the start. Shingles are 64-bit hashes, equal sets have equal 128-bit digests.
 
@@ -26,7 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,10 +36,11 @@ WORDS = 5
 NUM, DEN = 75, 100  # similarity at least NUM / DEN
 SKETCH_LOG2 = 22  # counters
 SLICE = 1 << 16
-LEAF = 64
+PIVOTS = 64  # of a bucket and round, after the first
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; above it a shuffled join
 
 EPS = 1 - NUM / DEN
+SLACK = 1e-9
 
 
 def overview(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -247,15 +249,19 @@ def join_groups(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFra
 
     involved = common.stored(bucket.select("doc").distinct(), "involved")
     sets = common.stored(shingles(among(docs, involved), words).dropDuplicates(["doc"]), "sets")
-    tested, edges, labels = None, None, None
+    tested_at = common.shared_dir(docs.sparkSession, "tested")
+    labels = None
     while not bucket.isEmpty():
-        pairs, starred = _candidates(bucket, labels)
-        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = common.stored(overlaps(pairs, sets), "pairs")
-        tested = found if tested is None else tested.unionByName(found)
+        pairs, ends = _star(bucket) if labels is None else _many_pivots(bucket)
+        if labels is not None:
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        found = overlaps(pairs, sets)
+        found.write.mode("append").parquet(tested_at)
+        tested = docs.sparkSession.read.schema(found.schema).parquet(tested_at)
         edges = tested.filter(linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
-        labels = groups(edges)
-        bucket = common.stored(_remaining(starred, tested, labels), "buckets")
+        first, labels = labels is None, groups(edges)
+        rest = _outside_star(ends, tested) if first else ends
+        bucket = common.stored(_open_between(rest, labels), "buckets")
     if labels is None:
         labels = reps.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
     return seen.filter("slice is null").select("doc_id", "n").join(
@@ -269,54 +275,68 @@ def _open_buckets(bucket: DataFrame) -> DataFrame:
     return bucket.join(many, "h", "left_semi")
 
 
-def _candidates(bucket: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, na, nb) to compare, and the starred buckets (h, doc, n, pivot, pn).
-
-    In the first round every bucket is a star around its first document. Later, buckets of at most LEAF
-    documents are finished by comparing members of different groups."""
-    head = bucket.groupBy("h").agg(F.min(F.struct("doc", "n")).alias("head"), F.count("*").alias("c"))
-    with_head = bucket.join(head, "h").select(
-        "h", "doc", "n", F.col("head.doc").alias("pivot"), F.col("head.n").alias("pn"), "c"
-    )
-    starred = with_head if labels is None else with_head.filter(F.col("c") > LEAF)
-    star = starred.filter("doc <> pivot").filter(fits(F.col("n"), F.col("pn")))
-    pairs = star.select(F.col("pivot").alias("a"), F.col("doc").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb"))
-    if labels is None:
-        return pairs, starred.drop("c")
-    small = with_head.filter(F.col("c") <= LEAF).select("h", "doc", "n")
-    small = _labelled(small, labels)
-    one = small.select("h", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    other = small.select("h", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    leaf = one.join(other, "h").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits(F.col("na"), F.col("nb")))
-    return pairs.unionByName(leaf.select("a", "b", "na", "nb")), starred.drop("c")
-
-
-def _labelled(bucket: DataFrame, labels: DataFrame) -> DataFrame:
-    return bucket.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-        "label", F.coalesce("label", "doc")
+def _star(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, na, nb) of each bucket's first document, its pivot, and the others; the buckets with pivots."""
+    head = bucket.groupBy("h").agg(F.min(F.struct("doc", "n")).alias("head"))
+    starred = bucket.join(head, "h").select("h", "doc", "n", F.col("head.doc").alias("pivot"), F.col("head.n").alias("pn"))
+    starred = starred.filter("doc <> pivot")
+    pairs = starred.filter(fits(F.col("n"), F.col("pn"))).select(
+        F.col("pivot").alias("a"), F.col("doc").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb")
     )
+    return pairs.distinct(), starred
 
 
-def _remaining(starred: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFrame:
-    """What of the starred buckets is still open: documents outside the pivot's region, and those inside that the
-    triangle inequality allows to link to them."""
+def _outside_star(starred: DataFrame, tested: DataFrame) -> DataFrame:
+    """What of each bucket is still open, with the distance d to its pivot: documents outside the pivot's region, and
+    those inside that the triangle inequality allows to link to them."""
     known = tested.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "common")
-    common_ = F.coalesce("common", F.least("n", "pn"))  # no comparison: the sizes bound the distance from below
-    placed = (
-        starred.filter("doc <> pivot")
-        .join(known, ["pivot", "doc"], "left")
-        .select("h", "doc", "n", (1 - common_ / (F.col("n") + F.col("pn") - common_)).alias("d"),
-                (F.col("common").isNotNull() & linked(common_, F.col("n"), F.col("pn"))).alias("inside"))
+    shared = F.coalesce("common", F.least("n", "pn"))  # no comparison: the sizes bound the distance from below
+    placed = starred.join(known, ["pivot", "doc"], "left").select(
+        "h", "doc", "n",
+        (1 - shared / (F.col("n") + F.col("pn") - shared)).alias("d"),
+        F.col("common").isNotNull().alias("exact"),
+        (F.col("common").isNotNull() & linked(shared, F.col("n"), F.col("pn"))).alias("inside"),
     )
     nearest = placed.filter("not inside").groupBy("h").agg(F.min("d").alias("nearest"))
-    slack = 1e-9
-    left = placed.join(nearest, "h").filter(
-        ~F.col("inside")
-        | ((F.col("nearest") <= 2 * EPS + slack) & (F.col("d") >= F.col("nearest") - EPS - slack))
+    near = (F.col("nearest") <= 2 * EPS + SLACK) & (F.col("d") >= F.col("nearest") - EPS - SLACK)
+    left = placed.join(nearest, "h").filter(~F.col("inside") | near)
+    return left.select("h", "doc", "n", F.when(F.col("exact"), F.col("d")).alias("d"))
+
+
+def _open_between(rest: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, doc, n, d, label) of the buckets that hold more than one group."""
+    rest = rest.select("h", "doc", "n", "d").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    rest = rest.withColumn("label", F.coalesce("label", "doc"))
+    still = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
+    return rest.join(still, "h", "left_semi").select("h", "doc", "n", "d", "label")
+
+
+def _many_pivots(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Up to PIVOTS documents of each bucket that aren't in its largest group are pivots: pairs of them and
+    all members of other groups whose distances to the bucket's first pivot differ by at most e. What is left
+    is the bucket without these pivots, which now are settled."""
+    size = bucket.groupBy("h", "label").agg(F.count("*").alias("c"))
+    main = size.groupBy("h").agg(F.max(F.struct("c", "label")).alias("main")).select("h", F.col("main.label").alias("main"))
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("doc"))
+    pivots = common.stored(
+        bucket.join(main, "h").filter("label <> main").withColumn("place", rank).filter(F.col("place") <= PIVOTS)
+        .select("h", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("label").alias("lp")),
+        "pivots",
+    )
+    met = bucket.join(pivots, "h").filter(
+        (F.col("label") != F.col("lp"))
+        & fits(F.col("n"), F.col("np"))
+        & (F.coalesce(F.abs(F.col("d") - F.col("dp")), F.lit(0.0)) <= EPS + SLACK)
+    )
+    lower = F.col("p") < F.col("doc")
+    pairs = met.select(
+        F.least("p", "doc").alias("a"),
+        F.greatest("p", "doc").alias("b"),
+        F.when(lower, F.col("np")).otherwise(F.col("n")).alias("na"),
+        F.when(lower, F.col("n")).otherwise(F.col("np")).alias("nb"),
     )
-    left = _labelled(left.select("h", "doc", "n"), labels)
-    still = left.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    return left.join(still, "h", "left_semi").select("h", "doc", "n")
+    rest = bucket.join(pivots.select("h", F.col("p").alias("doc")), ["h", "doc"], "left_anti")
+    return pairs.distinct(), rest
 
 
 def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
