@@ -84,23 +84,35 @@ class Index:
                 "hashes": hashes[order],
                 "owners": owners[order],
             }
-        self.filters: dict[int, np.ndarray] = {}
-        for family in self.families.values():
-            table = self.filters.setdefault(family["k"], np.zeros(1 << FILTER_LOG2, dtype=bool))
-            table[(family["hashes"] >> np.uint64(64 - FILTER_LOG2)).astype(np.int64)] = True
-
-    def search(self, words: np.ndarray, runs: dict[int, np.ndarray], hits: dict[int, np.ndarray]) -> Iterator[tuple]:
+        # by shingle size: a bit table to pass over most of a text, the hashes, and for each hash its families
+        self.filters: dict[int, tuple] = {}
+        for k in {family["k"] for family in self.families.values()}:
+            own = {length: family["hashes"] for length, family in self.families.items() if family["k"] == k}
+            hashes = np.unique(np.concatenate(list(own.values())))
+            lengths: list[list[int]] = [[] for _ in hashes]
+            for length, part in own.items():
+                for at in np.searchsorted(hashes, np.unique(part)):
+                    lengths[at].append(length)
+            table = np.zeros(1 << FILTER_LOG2, dtype=bool)
+            table[(hashes >> np.uint64(64 - FILTER_LOG2)).astype(np.int64)] = True
+            self.filters[k] = table, hashes, lengths
+
+    def search(self, runs: dict[int, np.ndarray], hits: dict[int, tuple]) -> Iterator[tuple]:
         """(item id, start, words, Hamming distance, similarity) of the best window of each matching item.
 
-        runs[k]: this text's k-word hashes; hits[k]: positions of those that may be an item's."""
-        for length, family in self.families.items():
+        runs[k]: this text's k-word hashes; hits[k]: positions of those that are an item's, and which they are."""
+        near: dict[int, list[int]] = {}  # family: positions
+        for k, (positions, which) in hits.items():
+            lengths = self.filters[k][2]
+            for position, one in zip(positions.tolist(), which.tolist()):
+                for length in lengths[one]:
+                    near.setdefault(length, []).append(position)
+        for length, found in near.items():
+            family = self.families[length]
             k = family["k"]
-            at = hits.get(k)
-            if at is None or not len(at) or len(words) < length:
-                continue
             own = runs[k]
-            at = at[np.isin(own[at], family["hashes"])]
-            if not len(at):
+            at = np.array(found)
+            if len(own) < length - k + 1:
                 continue
             span = length - k + 1  # shingles in a window
             last = len(own) - span
@@ -154,18 +166,21 @@ def matches_in(column: pa.Array, index: Index) -> Iterator[tuple]:
         words, bounds = common.word_table(data, offsets)
         runs, found = {}, {}
         rows_with_hits: set[int] = set()
-        for k, table in index.filters.items():
+        for k, (table, hashes, _) in index.filters.items():
             runs[k] = common.combine(words, k)
             at = np.flatnonzero(table[(runs[k] >> np.uint64(64 - FILTER_LOG2)).astype(np.int64)])
+            which = np.minimum(np.searchsorted(hashes, runs[k][at]), len(hashes) - 1)
+            same = hashes[which] == runs[k][at]
+            at, which = at[same], which[same]
             row = np.searchsorted(bounds, at, side="right") - 1
-            inside = at + k <= bounds[row + 1] if len(at) else np.zeros(0, bool)
-            found[k] = at[inside], row[inside]
-            rows_with_hits.update(found[k][1].tolist())
+            inside = at + k <= bounds[row + 1]
+            found[k] = at[inside], which[inside], row[inside]
+            rows_with_hits.update(found[k][2].tolist())
         for row in sorted(rows_with_hits):
             a, b = int(bounds[row]), int(bounds[row + 1])
             own_runs = {k: runs[k][a : max(a, b - k + 1)] for k in runs}
-            hits = {k: at[rows == row] - a for k, (at, rows) in found.items()}
-            for match in index.search(words[a:b], own_runs, hits):
+            hits = {k: (at[rows == row] - a, which[rows == row]) for k, (at, which, rows) in found.items()}
+            for match in index.search(own_runs, hits):
                 yield first + row, *match
 
 
