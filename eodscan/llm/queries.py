@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, line_dedup, packing, toxicity, winnowing
+from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, pii, toxicity, winnowing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op3_language_id": language_id.query,
     "op4_toxicity": toxicity.query,
     "op5_best_fit_packing": packing.query,
+    "op6_license_scan": license_scan.query,
     "op7_decontamination": decontaminate.query,
     "op8_jaccard_join": jaccard_join.query,
     "op9_winnowing": winnowing.query,
+    "op10_pii": pii.query,
 }
 
 SQL = {
