@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, pii, toxicity, winnowing
+from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, pii, suffix_dedup, toxicity, winnowing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
+    "op2_suffix_array_dedup": suffix_dedup.query,
     "op3_language_id": language_id.query,
     "op4_toxicity": toxicity.query,
     "op5_best_fit_packing": packing.query,
