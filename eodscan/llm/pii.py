@@ -94,7 +94,8 @@ def sensitive_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     before = term_places(found).select("term", "doc", "th").distinct().groupBy("term").agg(F.count("*").alias("n_before"))
     before = common.stored(before.filter(F.col("n_before") >= MIN_DOCS), "terms")
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("term"))
-    everywhere = words.join(before, "term").groupBy("term", "n_before").agg(F.count("*").alias("n_docs"))
+    # counted before the join, which frequent words would blow up
+    everywhere = words.groupBy("term").agg(F.count("*").alias("n_docs")).join(before, "term")
     share = F.least(F.col("n_before") / F.col("n_docs"), F.lit(1.0))
     bits = F.log2(share / (n_with / n_docs if n_with else 1.0))
     return everywhere.select("term", share.alias("disclosure"), bits.alias("bits")).filter(
