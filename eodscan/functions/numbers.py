@@ -24,10 +24,14 @@ def percent_change(now: Column, before: Column) -> Column:
     return F.try_divide(now - before, before) * 100
 
 
+# Larger values are no prices or quantities; averages are exact below this.
+LARGEST = 1e15
+
+
 def number_or_null(text: Column) -> Column:
-    """Text to double; text that is no finite number gives null, never NaN."""
+    """Text to double; text that is no number, NaN, or LARGEST and beyond give null."""
     value = strip(text).try_cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+    return F.when(F.abs(value) < LARGEST, value)
 
 
 def whole_number_or_null(text: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import io
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -24,8 +25,7 @@ REQUIRED = ["symbol", "series", "date1", "ttl_trd_qnty", "no_of_trades"]
 # fixed values: texts that mean "no number here" in a numeric column
 MISSING_MARKERS = ["", "-", "#N/A", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-# a line of text may hold this many fields; the daily file has 15
-MAX_FIELDS = 64
+# an archive's lines reach Spark in blocks of this many
 LINES_PER_BLOCK = 20_000
 
 _NUMBERS = [*PRICE_COLUMNS, "deliv_per"]
@@ -149,24 +149,48 @@ def read_daily(
     """Daily CSV files under one or several paths -> (good, rejects).
 
     With start and end, only files named for a day in between are read; others are never opened.
-    All files of one path share a header (checked); paths with different headers are read separately
-    and lined up by column name.
+    Every file is read by its own header line; the lines of a file without a usable one are rejects.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    named = start is not None or end is not None
-    raw = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["source", *DAILY_COLUMNS]))
-    dropped = []
-    for p in paths:
-        files = files_between(spark, p, start, end) if named else p
-        if not files:
-            continue
-        frame, extra = _read_one(spark, files, p)
-        dropped += [(p, f"column dropped: {c}", None, 0) for c in extra]
-        raw = raw.unionByName(frame, allowMissingColumns=True)
-    good, rejects = split_typed(raw, bad_values)
-    if dropped:
-        rejects = rejects.unionByName(spark.createDataFrame(dropped, REJECTS))
-    return good, rejects
+    if start is not None or end is not None:
+        paths = [f for p in paths for f in files_between(spark, p, start, end)]
+    if not paths:
+        lines = spark.createDataFrame([], "source string, value string")
+    else:
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("source"), "value")
+    good, rejects = split_lines(with_headers(lines), bad_values)
+    dropped = (
+        file_headers(lines)
+        .select("source", F.explode(F.transform(_fields(F.col("header")), lambda c: F.lower(strip(c)))).alias("c"))
+        .filter((F.col("c") != "") & ~F.col("c").isin(DAILY_COLUMNS))
+        .select(
+            "source",
+            F.concat(F.lit("column dropped: "), "c").alias("reason"),
+            F.lit(None).cast("string").alias("raw"),
+            F.lit(0).cast("bigint").alias("copies"),
+        )
+    )
+    return good, rejects.unionByName(dropped)
+
+
+def is_header(line: Column) -> Column:
+    """A line naming the required columns is a header, wherever they stand in it."""
+    found = F.lit(True)
+    for c in REQUIRED:
+        found = found & line.rlike(rf'(?i)(^|,)\s*"?{c}"?\s*(,|$)')
+    return found
+
+
+def file_headers(lines: DataFrame) -> DataFrame:
+    """(source, header) of the files among lines (source, value) that have a header."""
+    return lines.filter(is_header(F.col("value"))).groupBy("source").agg(F.min("value").alias("header"))
+
+
+def with_headers(lines: DataFrame) -> DataFrame:
+    """Lines (source, value) -> (source, places, line), each with the places of its own file's header."""
+    headers = file_headers(lines).select("source", header_places(F.col("header")).alias("places"))
+    content = lines.filter(~is_header(F.col("value")) & (strip(F.col("value")) != ""))
+    return content.join(headers, "source", "left").select("source", "places", F.col("value").alias("line"))
 
 
 def files_between(
@@ -187,32 +211,24 @@ def files_between(
     return sorted(r.path for r in listed.select("path").collect())
 
 
-def _read_one(
-    spark: SparkSession, files: str | list[str], path: str
-) -> tuple[DataFrame, list[str]]:
-    df = spark.read.options(header=True, enforceSchema=False, escape='"').csv(files)
-    names = {c: c.strip().lower() for c in df.columns}
-    missing = sorted(set(REQUIRED) - set(names.values()))
-    if missing:
-        raise ValueError(f"{path}: header lacks {', '.join(missing)}")
-    known = [F.col(f"`{c}`").alias(n) for c, n in names.items() if n in DAILY_COLUMNS]
-    extra = [n for n in names.values() if n not in DAILY_COLUMNS]
-    return df.select(F.col("_metadata.file_name").alias("source"), *known), extra
-
-
 # --- texts --------------------------------------------------------------------------------------
 
-_FIELDS = ", ".join(f"f{i} string" for i in range(MAX_FIELDS))
-_CSV_OPTIONS = {"escape": '"'}
+# a quoted field, in which "" is a quote, or what stands before the next comma
+_FIELD = r'(?:\s*"((?:[^"]|"")*+)"\s*|([^,]*))(?:,|$)'
 
 
 def _fields(line: Column) -> Column:
-    """Fields of one line as an array. The one-element transform has the line parsed just once."""
+    """Fields of one line, however many; empty ones are null. A last empty one may be added."""
+    quoted = F.regexp_extract_all(line, F.lit(_FIELD), F.lit(1))
+    plain = F.regexp_extract_all(line, F.lit(_FIELD), F.lit(2))
 
-    def listed(row: Column) -> Column:
-        return F.array(*[row[f"f{i}"] for i in range(MAX_FIELDS)])
+    def field(q: Column, p: Column) -> Column:
+        text = F.when(q != "", F.replace(q, F.lit('""'), F.lit('"'))).otherwise(p)
+        return F.when(text != "", text)
 
-    return F.get(F.transform(F.array(F.from_csv(line, _FIELDS, _CSV_OPTIONS)), listed), F.lit(0))
+    return F.when(line.contains('"'), F.zip_with(quoted, plain, field)).otherwise(
+        F.transform(F.split(line, ",", -1), lambda text: F.when(text != "", text))
+    )
 
 
 def header_places(header: Column) -> Column:
@@ -275,21 +291,40 @@ def read_daily_text(
 # --- archives -----------------------------------------------------------------------------------
 
 
+_ARCHIVE_FAULTS = (
+    zipfile.BadZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError, UnicodeDecodeError
+)
+
+
 def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """First member ending in .CSV (upper case) of each archive, in blocks of lines."""
+    """First member ending in .CSV (upper case) of each archive, in blocks of lines.
+
+    A member is read to its end, checksum included, before its first line is given out: an archive is loaded
+    whole or is one reject.
+    """
     for batch in batches:
         for source, content in zip(batch["path"], batch["content"]):
+            problem = None
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     members = [m for m in archive.namelist() if m.endswith(".CSV")]
-                    if not members:
-                        continue
-                    with archive.open(members[0]) as member:
-                        text = io.TextIOWrapper(member, encoding="utf-8")
-                        yield from _blocks(source, (x for x in text if x.strip()))
-            except (zipfile.BadZipFile, UnicodeDecodeError) as problem:
-                unread = [f"unreadable archive: {problem}"]
-                yield pd.DataFrame({"source": [source], "header": [None], "lines": [unread]})
+                    if members:
+                        for _ in _member_lines(archive, members[0]):
+                            pass
+            except _ARCHIVE_FAULTS as fault:
+                problem = f"unreadable archive: {fault}"
+            else:
+                problem = None if members else "archive without a member that ends in .CSV"
+            if problem:
+                yield pd.DataFrame({"source": [source], "header": [None], "lines": [[problem]]})
+                continue
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                yield from _blocks(source, _member_lines(archive, members[0]))
+
+
+def _member_lines(archive: zipfile.ZipFile, name: str) -> Iterator[str]:
+    with archive.open(name) as member:
+        yield from (x for x in io.TextIOWrapper(member, encoding="utf-8") if x.strip())
 
 
 def _blocks(source: str, lines: Iterable[str]) -> Iterator[pd.DataFrame]:

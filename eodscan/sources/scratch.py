@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,9 +10,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def scratch_dir(spark: SparkSession, label: str = "run") -> str:
-    """A new folder below the shared folder the session names; a local one only if none is named."""
-    root = spark.conf.get(SETTING, None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="eodscan-")
-        spark.conf.set(SETTING, root)
+    """A new folder below the shared folder the session names, else below the warehouse."""
+    root = spark.conf.get(SETTING, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{root.rstrip('/')}/eodscan-{label}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Remove a folder that scratch_dir named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import bisect
 import datetime as dt
+import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -16,7 +17,8 @@ from eodscan import schemas
 from eodscan.functions.text import is_series
 from eodscan.operators.membership import coverage_gaps, date_spine, new_dates_only
 from eodscan.plans.indicators import build_indicators
-from eodscan.sources.daily import read_daily
+from eodscan.sources.daily import one_row_per_key, read_daily
+from eodscan.sources.scratch import drop_dir, scratch_dir
 
 
 @dataclass(frozen=True)
@@ -106,33 +108,79 @@ def load_days(
     good: DataFrame,
     tables: Tables,
     rejects: DataFrame | None = None,
-    batch: str = "0",
+    batch: str | None = None,
+    merge: bool = False,
 ) -> list[dt.date]:
     """Load the days that are not in the ledger yet; returns them.
 
-    Facts and indicators replace their day partitions and the ledger is written last, so a load that
-    dies half-way is repeated without harm. Days already in the ledger are left alone. The list of
-    days is bounded by the calendar.
+    Rows of days that are in it are rejects ("day already loaded"), or with merge=True join the stored rows of
+    their day; of rows with one key the smallest is kept, whatever came first.
+
+    What arrived is written once to shared storage. Facts and indicators replace their day partitions and
+    the ledger is written last, so a load that dies half-way is repeated without harm. Rejects are kept under the
+    name of the batch, by default one of its own. The list of days is bounded by the calendar.
     """
-    fresh = new_dates_only(good, spark.table(tables.ledger)).persist(StorageLevel.MEMORY_AND_DISK)
+    batch = batch or f"load-{uuid.uuid4().hex}"
+    scratch = scratch_dir(spark, "load")
     try:
-        days = sorted(r.date1 for r in fresh.select("date1").distinct().collect())
-        if days:
+        good.write.parquet(f"{scratch}/arrived")
+        arrived = spark.read.schema(good.schema).parquet(f"{scratch}/arrived")
+        ledger = spark.table(tables.ledger)
+        fresh = new_dates_only(arrived, ledger)
+        known = arrived.join(ledger.select("date1").distinct(), "date1", "left_semi")
+        days, changed = _days(fresh), []
+        refused = [] if rejects is None else [rejects]
+        if merge:
+            changed = _days(known)
+            if changed:
+                fresh, surplus = _merged(spark, tables, fresh, known, changed, f"{scratch}/merged")
+                refused.append(surplus)
+        else:
+            refused.append(_reported(known, "day already loaded"))
+        if days or changed:
             regular = is_series(F.col("series"))
             overwrite_partitions(fresh.filter(~regular), tables.bars_other, "date1")
             overwrite_partitions(fresh.filter(regular), tables.bars, "date1")
-            refresh_after_late_load(spark, tables, days)
-        if rejects is not None:
-            stamped = rejects.withColumn("batch", F.lit(batch))
-            overwrite_partitions(stamped, tables.rejects, "batch")
+            refresh_after_late_load(spark, tables, [*days, *changed])
+        stamped = reduce(DataFrame.unionByName, refused).withColumn("batch", F.lit(batch))
+        overwrite_partitions(stamped, tables.rejects, "batch")
         if days:
             listed = spark.createDataFrame([(d,) for d in days], schemas.LEDGER)
             listed.coalesce(1).write.mode("append").insertInto(tables.ledger)
     finally:
-        fresh.unpersist()
+        drop_dir(spark, scratch)
     return days
 
 
+def _days(rows: DataFrame) -> list[dt.date]:
+    return sorted(r.date1 for r in rows.select("date1").distinct().collect())
+
+
+def _reported(rows: DataFrame, reason: str) -> DataFrame:
+    shown = F.to_json(F.struct(*schemas.DAILY_COLUMNS))
+    return rows.select(
+        F.lit(None).cast("string").alias("source"),
+        F.lit(reason).alias("reason"),
+        shown.alias("raw"),
+        F.lit(1).cast("bigint").alias("copies"),
+    )
+
+
+def _merged(
+    spark: SparkSession, tables: Tables, fresh: DataFrame, known: DataFrame, days: list[dt.date], path: str
+) -> tuple[DataFrame, DataFrame]:
+    """Fresh rows and, for known days, stored and new rows with one per key; and the rows beyond these."""
+    of_days = F.col("date1").isin(days)
+    stored = spark.table(tables.bars).unionByName(spark.table(tables.bars_other)).filter(of_days)
+    both = stored.unionByName(known.select(*stored.columns))
+    # a row that comes again unchanged is no news
+    kept = one_row_per_key(both.distinct()).select(*known.columns)
+    kept.unionByName(fresh).write.parquet(path)
+    merged = spark.read.schema(fresh.schema).parquet(path)
+    surplus = both.distinct().exceptAll(merged.select(*both.columns))
+    return merged, _reported(surplus, "duplicate key")
+
+
 def refresh_after_late_load(
     spark: SparkSession,
     tables: Tables,
@@ -159,7 +207,7 @@ def load_folder(
     start: dt.date | str,
     end: dt.date | str,
     tables: Tables,
-    batch: str = "0",
+    batch: str | None = None,
 ) -> DataFrame:
     """Load the files named for start..end; returns the days of the range still without data."""
     good, rejects = read_daily(spark, folder, start, end)

@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from eodscan.functions.text import strip
-from eodscan.sources.daily import REQUIRED, header_places, split_lines
+from eodscan.sources.daily import split_lines, with_headers
 from eodscan.sources.tables import Tables, load_days
 
 FILES_PER_BATCH = 64
 
 
-def is_header(line: Column) -> Column:
-    """A line naming the required columns is a header, wherever they stand in it."""
-    found = F.lit(True)
-    for c in REQUIRED:
-        found = found & line.rlike(rf'(?i)(^|,)\s*"?{c}"?\s*(,|$)')
-    return found
-
-
-def with_headers(lines: DataFrame) -> DataFrame:
-    """Lines (source, value) of a micro-batch -> (source, places, line).
-
-    One header per file, and a micro-batch has at most `max_files` files: that bounds the broadcast.
-    """
-    headers = (
-        lines.filter(is_header(F.col("value")))
-        .groupBy("source")
-        .agg(F.min("value").alias("header"))
-        .select("source", header_places(F.col("header")).alias("places"))
-    )
-    content = lines.filter(~is_header(F.col("value")) & (strip(F.col("value")) != ""))
-    return content.join(F.broadcast(headers), "source", "left").select(
-        "source", "places", F.col("value").alias("line")
-    )
-
-
 def stream_days(
     spark: SparkSession,
     landing: str,
@@ -48,10 +24,11 @@ def stream_days(
 ) -> StreamingQuery:
     """Load everything in the landing folder that was not loaded yet, then stop.
 
-    A micro-batch may be run twice after a failure: its days are then either absent from the ledger
-    (their partitions are replaced) or present (they are skipped). A day belongs in one micro-batch;
-    later files for a loaded day are skipped, as in a batch load.
+    Later files of a loaded day are merged into it, so the tables do not depend on how many files a
+    micro-batch takes; running one twice after a failure changes nothing. Rejects are kept per stream (its
+    checkpoint) and micro-batch.
     """
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
     lines = (
         spark.readStream.format("text")
         .option("maxFilesPerTrigger", max_files)
@@ -61,8 +38,12 @@ def stream_days(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        good, rejects = split_lines(with_headers(batch), bad_values)
-        load_days(batch.sparkSession, good, tables, rejects, f"stream-{batch_id}")
+        batch = batch.persist()
+        try:
+            good, rejects = split_lines(with_headers(batch), bad_values)
+            load_days(batch.sparkSession, good, tables, rejects, f"stream-{name}-{batch_id}", merge=True)
+        finally:
+            batch.unpersist()
 
     return (
         lines.writeStream.foreachBatch(load)

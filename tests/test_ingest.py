@@ -148,8 +148,73 @@ def test_different_headers(spark, tmp_path):
     good, _ = read_daily(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     assert {r.symbol: r.close_price for r in good.collect()} == {"A": 10.5, "B": None}
     write_day(tmp_path / "c", 2, "no,good", header="X,Y")
-    with pytest.raises(ValueError):
-        read_daily(spark, str(tmp_path / "c"))
+    # a file without a usable header is refused line by line and stops no other
+    good, rejects = read_daily(spark, [str(tmp_path / "a"), str(tmp_path / "c")])
+    assert [r.symbol for r in good.collect()] == ["A"]
+    assert rejects.filter("reason like 'no usable header%'").count() == 2
+
+
+def test_swapped_columns_in_one_folder(spark, tmp_path):
+    write_day(tmp_path / "in", 0, line("A"))
+    swapped = "SERIES,SYMBOL,DATE1,NO_OF_TRADES,TTL_TRD_QNTY,CLOSE_PRICE"
+    write_day(tmp_path / "in", 1, "EQ,B,02-Jan-2024,2,9,7.5", header=swapped)
+    good, _ = read_daily(spark, str(tmp_path / "in"))
+    assert {r.symbol: r.close_price for r in good.collect()} == {"A": 10.5, "B": 7.5}
+
+
+def test_wide_text(spark):
+    """Known columns behind sixty others, one of them quoted with commas and quotes."""
+    wide = ",".join(f"x{i}" for i in range(60)) + "," + HEADER
+    body = ",".join(f'"a, ""{i}"""' for i in range(60)) + "," + line("A")
+    good, rejects = read_daily_text(spark.createDataFrame([(f"{wide}\n{body}\n",)], "t string"), "t")
+    assert [(r.symbol, r.close_price) for r in good.collect()] == [("A", 10.5)] and rejects.count() == 0
+
+
+def test_damaged_archive_is_one_reject(spark, tmp_path):
+    folder = tmp_path / "zips"
+    folder.mkdir()
+    with zipfile.ZipFile(folder / "day.zip", "w") as z:
+        z.writestr("DAY.CSV", text(*[line(f"S{i}") for i in range(30_000)]))
+    data = bytearray((folder / "day.zip").read_bytes())
+    at = data.rindex(b"S29999")
+    data[at] = ord("T")
+    (folder / "day.zip").write_bytes(bytes(data))
+    good, rejects = read_daily_zip(spark, str(folder))
+    assert good.count() == 0 and rejects.count() == 1
+
+
+def test_huge_number_is_refused_and_stops_nothing(spark, tmp_path):
+    tables = new_tables(spark, tmp_path)
+    write_day(tmp_path / "in", 0, line("A"), line("B", close="1e17"))
+    load_folder(spark, str(tmp_path / "in"), day(0), day(0), tables)
+    assert [r.symbol for r in spark.table(tables.bars).collect()] == ["A"]
+    assert spark.table(tables.rejects).filter("reason = 'bad number in close_price'").count() == 1
+
+
+def test_rejects_of_every_load_are_kept(spark, tmp_path):
+    tables = new_tables(spark, tmp_path)
+    for n in (0, 1):
+        write_day(tmp_path / f"in{n}", n, line("A", n=n), line("BAD", n=n, close="x"))
+        load_folder(spark, str(tmp_path / f"in{n}"), day(n), day(n), tables)
+    assert spark.table(tables.rejects).count() == 2
+    load_folder(spark, str(tmp_path / "in0"), day(0), day(0), tables)
+    again = spark.table(tables.rejects).filter("reason = 'day already loaded'")
+    assert again.count() == 1 and '"A"' in again.first().raw
+
+
+@pytest.mark.parametrize("max_files", [1, 8])
+def test_stream_merges_the_files_of_a_day(spark, tmp_path, max_files):
+    tables = new_tables(spark, tmp_path)
+    landing = tmp_path / "in"
+    landing.mkdir()
+    for i, name in enumerate("ABC"):
+        (landing / f"part{i}.csv").write_text(text(line(name), line("SAME", close=str(10 + i)), line(name, n=1)))
+    stream_days(spark, str(landing), tables, str(tmp_path / "ck"), max_files=max_files).awaitTermination()
+    stored = {(r.symbol, r.date1): r.close_price for r in spark.table(tables.bars).collect()}
+    want = {(s, day(n)): 10.5 for s in "ABC" for n in (0, 1)} | {("SAME", day(0)): 10.0}
+    assert stored == want
+    assert spark.table(tables.indicators).count() == len(want)
+    assert spark.table(tables.rejects).filter("reason = 'duplicate key'").count() == 2
 
 
 def test_load_is_idempotent_and_split_by_series(spark, tmp_path):
