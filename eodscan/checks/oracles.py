@@ -6,7 +6,7 @@ row count), not the way the Spark job computes it.
 
 from __future__ import annotations
 
-from eodscan.checks.settings import LINK_BASE, SPINE_END, SPINE_START
+from eodscan.checks.settings import LAST_DAY, LINK_BASE, SPINE_END, SPINE_START
 from eodscan.fixtures import LEDGER_CUTOFF
 from eodscan.schemas import (
     HISTORY_LOOKBACK,
@@ -31,7 +31,8 @@ _JOINS = {
 LEDGER = f"""ledger AS (
   SELECT DISTINCT CAST(l_shipdate AS DATE) AS date1 FROM lineitem
   WHERE CAST(l_shipdate AS DATE) < DATE '{LEDGER_CUTOFF}')"""
-MONTHS = LEDGER + """,
+ALL_DAYS = "ledger AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date1 FROM lineitem)"
+MONTHS = ALL_DAYS + """,
 as_ofs AS (SELECT max(date1) AS as_of FROM ledger GROUP BY date_trunc('month', date1))"""
 
 
@@ -424,11 +425,16 @@ def oracle_sql() -> dict[str, str]:
             SELECT sr_no AS "Sr.No", symbol AS "Symbol", day2_3 AS "Day23", day2_5 AS "Day25",
               current_price AS "Cur Price", change_of_percent AS "% Change",
               avg_turnover_20_days AS "Avg1 Vol", turnover_today AS "Vol",
-              volume_signal AS "Vol Sgnl", highvol_signal AS "HVol Sgnl" FROM shown""",
+              volume_signal AS "Vol Sgnl", highvol_signal AS "HVol Sgnl",
+              close_price1 AS "Cl Pri1", close_price2 AS "Cl Pri2",
+              delivery1_percent AS "Delvry1 %", delivery2_percent AS "Delvry2 %",
+              ratio1 AS "Ratio1", ratio2 AS "Ratio2", avg_price1 AS "Avg Pri1", avg_price2 AS "Avg Pri2",
+              volume1 AS "Volume1", volume2 AS "Volume2" FROM shown""",
         "column_layout": f"""WITH {indicators("r_name")}
             SELECT date1, symbol, price_change, CAST(NULL AS VARCHAR) AS remark FROM indicators""",
         "parameterised_sql": f"""WITH {bars()}, ranked AS (
-              SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date1 DESC) AS rn FROM eq)
+              SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date1 DESC) AS rn FROM eq
+              WHERE date1 BETWEEN DATE '{LAST_DAY}' - 65 AND DATE '{LAST_DAY}')
             SELECT symbol, max(CASE WHEN rn = 1 THEN date1 END) AS last_date,
               {d("max(CASE WHEN rn = 1 THEN ratio END)")} AS ratio_today,
               {d("max(CASE WHEN rn = 2 THEN ratio END)")} AS ratio_prev_row

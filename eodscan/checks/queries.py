@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from eodscan import fixtures as fx
 from eodscan.checks.oracles import BAD_CLOSE, BAR_NUMBERS, HIGHLIGHTED, MOVING, TWENTY, TWO_ROWS
-from eodscan.checks.settings import LINK_BASE, SPINE_END, SPINE_START
+from eodscan.checks.settings import LAST_DAY, LINK_BASE, SPINE_END, SPINE_START
 from eodscan.functions import alpha_first, deep_link, is_series, strip, unit_ratio
 from eodscan.operators import (
     available,
@@ -228,7 +228,7 @@ def dashboard_(spark, sf):
 
 @query
 def dashboard_one_date(spark, sf):
-    ledger = fx.ledger(spark, sf, "9999-12-31")
+    ledger = fx.ledger(spark, sf)
     latest = ledger.agg(F.max("date1").alias("d")).first().d
     return plain(dashboard(fx.bars(spark, sf, "n_name"), ledger, latest))
 
@@ -258,7 +258,7 @@ def display_flags_(spark, sf):
 @query
 def display_names(spark, sf):
     shown = relabel(plain(_month_end_dashboard(spark, sf)), DASHBOARD_LABELS)
-    return shown.select(*[f"`{c}`" for c in list(DASHBOARD_LABELS.values())[:10]])
+    return shown.select(*[f"`{c}`" for c in DASHBOARD_LABELS.values()])
 
 
 @query
@@ -294,7 +294,7 @@ def parameterised_sql(spark, sf):
           CAST(max(CASE WHEN rn = 1 THEN ratio END) AS DOUBLE) AS ratio_today,
           CAST(max(CASE WHEN rn = 2 THEN ratio END) AS DOUBLE) AS ratio_prev_row
         FROM ranked WHERE rn <= 2 GROUP BY symbol"""
-    args = {"as_of": pd.Timestamp(SPINE_END).date(), "days": 20_000, "series": "EQ"}
+    args = {"as_of": pd.Timestamp(LAST_DAY).date(), "days": SCREEN_LOOKBACK, "series": "EQ"}
     return spark.sql(text, args=args, bars=rows)
 
 
@@ -366,17 +366,18 @@ def symbol_list_(spark, sf):
 @query
 def date_available(spark, sf):
     asked = fx.read(spark, sf, "orders").select(F.col("o_orderdate").cast("date").alias("date1"))
-    return available(asked.distinct(), fx.ledger(spark, sf))
+    return available(asked.distinct(), fx.ledger(spark, sf, fx.LEDGER_CUTOFF))
 
 
 @query
 def coverage_gaps_(spark, sf):
-    return coverage_gaps(date_spine(spark, SPINE_START, SPINE_END), fx.ledger(spark, sf))
+    return coverage_gaps(date_spine(spark, SPINE_START, SPINE_END), fx.ledger(spark, sf, fx.LEDGER_CUTOFF))
 
 
 @query
 def new_dates_only_(spark, sf):
-    return new_dates_only(fx.bars(spark, sf).select(*KEYS), fx.ledger(spark, sf)).select(*KEYS)
+    loaded = fx.ledger(spark, sf, fx.LEDGER_CUTOFF)
+    return new_dates_only(fx.bars(spark, sf).select(*KEYS), loaded).select(*KEYS)
 
 
 # --- files, archives, tables, stream ------------------------------------------------------------------
@@ -420,7 +421,7 @@ def csv_round_trip(spark, sf):
 @query
 def csv_rejects(spark, sf):
     folder = _write_csv(_spoiled(fx.bars(spark, sf)), scratch_dir(spark, "csv"))
-    day = F.to_date(F.trim(F.get_json_object("raw", "$.date1")), "dd-MMM-yyyy")
+    day = F.to_date(F.trim(F.get(F.split("raw", ","), F.lit(2))), "dd-MMM-yyyy")
     rejects = read_daily(spark, folder)[1]
     return rejects.groupBy("reason", day.alias("date1")).agg(F.sum("copies").alias("n"))
 

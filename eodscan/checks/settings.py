@@ -2,3 +2,4 @@
 
 LINK_BASE = "http://localhost/symbol"
 SPINE_START, SPINE_END = "1994-12-01", "2001-12-31"
+LAST_DAY = "2001-06-29"

@@ -101,10 +101,11 @@ def fno_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER_CUTOFF = "2001-07-01"
 
 
-def ledger(spark: SparkSession, sf_dir: str, cutoff: str = LEDGER_CUTOFF) -> DataFrame:
-    """Loaded days: every ship date before the cutoff."""
+def ledger(spark: SparkSession, sf_dir: str, cutoff: str | None = None) -> DataFrame:
+    """Loaded days: every ship date, or those before the cutoff."""
     dates = read(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date1"))
-    return dates.filter(F.col("date1") < F.lit(cutoff)).distinct()
+    loaded = dates if cutoff is None else dates.filter(F.col("date1") < F.lit(cutoff))
+    return loaded.distinct()
 
 
 def month_ends(ledger_df: DataFrame) -> list:

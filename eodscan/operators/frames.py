@@ -51,10 +51,21 @@ def lookback(
     )
     if len(dates) * (days + 1) <= SPAN_BROADCAST_ROWS:
         spans = F.broadcast(spans)
-    if dates:
-        first = F.date_sub(F.lit(dates[0]), days)
-        df = df.filter(F.col("date1").between(first, F.lit(dates[-1])))
-    return df.join(spans, "date1")
+    return df.filter(in_spans(F.col("date1"), dates, days)).join(spans, "date1")
+
+
+def in_spans(day: Column, dates: Iterable[dt.date], days: int) -> Column:
+    """Whether a day lies in one of the spans date-days .. date; touching spans are one range."""
+    reach, ranges = dt.timedelta(days=days), []
+    for date in sorted(dates):
+        if ranges and date - reach <= ranges[-1][1] + dt.timedelta(days=1):
+            ranges[-1][1] = date
+        else:
+            ranges.append([date - reach, date])
+    inside = F.lit(False)
+    for first, last in ranges:
+        inside = inside | day.between(F.lit(first), F.lit(last))
+    return inside
 
 
 def recency_rank(df: DataFrame, by: Iterable[str] = ("symbol",), name: str = "rn") -> DataFrame:

@@ -62,11 +62,13 @@ def bands(df: DataFrame) -> DataFrame:
 
 def top2_flags(df: DataFrame, cols: Iterable[str], by: Iterable[str]) -> DataFrame:
     """top2_<col>: is the value one of the two largest of its group (ties with them included)?"""
-    by = list(by)
+    # a group holds the days of one lookback; its second largest value decides, ties included
+    group = Window.partitionBy(*by)
     new = {}
     for c in cols:
-        largest_first = Window.partitionBy(*by).orderBy(F.col(c).desc_nulls_last())
-        new[f"top2_{c}"] = F.col(c).isNotNull() & (F.rank().over(largest_first) <= 2)
+        values = F.sort_array(F.collect_list(c).over(group), asc=False)
+        second = F.coalesce(F.get(values, F.lit(1)), F.get(values, F.lit(0)))
+        new[f"top2_{c}"] = F.coalesce(F.col(c) >= second, F.lit(False))
     return df.withColumns(new)
 
 

@@ -13,6 +13,7 @@ from eodscan.operators.frames import (
     add_averages,
     equity,
     from_chunks,
+    in_spans,
     prev_day,
     to_chunks,
 )
@@ -46,9 +47,7 @@ def build_indicators(
         if isinstance(as_of, (str, dt.date)):
             as_of = [as_of]
         wanted = sorted({_as_date(d) for d in as_of})
-        if wanted:
-            reach = dt.timedelta(days=lookback_days)
-            rows = rows.filter(F.col("date1").between(wanted[0] - reach, wanted[-1]))
+        rows = rows.filter(in_spans(F.col("date1"), wanted, lookback_days))
     rows = with_price_change(rows.select(*KEYS, "prev_close", *_stored_measures()))
 
     chunks = to_chunks(rows, lookback_days, chunk_days)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from eodscan.functions.numbers import percent_change, two_decimals
 from eodscan.functions.text import alpha_first
-from eodscan.operators.frames import equity, lookback
+from eodscan.operators.frames import equity, in_spans, lookback
 from eodscan.operators.membership import available, fno_flag
 from eodscan.operators.shapes import latest_pivot, serial_number
 from eodscan.operators.signals import label
@@ -165,7 +165,9 @@ def hot_cake(
         .withColumns(_screen_columns(spike))
         .filter((F.col("day2_3") == spike) | (F.col("day2_5") == spike))
     )
-    of_that_day = indicators.select(
+    dates = [as_of] if isinstance(as_of, (str, dt.date)) else as_of
+    dates = [d if isinstance(d, dt.date) else dt.date.fromisoformat(d) for d in dates]
+    of_that_day = indicators.filter(in_spans(F.col("date1"), dates, lookback_days)).select(
         "symbol",
         "series",
         F.col("date1").alias("last_date"),

@@ -96,11 +96,15 @@ def signal_history(
     days: int = HISTORY_LOOKBACK,
     symbols: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Bands, spikes and highlights over the last `days` days, latest first."""
+    """Bands, spikes and highlights over the last `days` days.
+
+    Sorted, latest first, for named symbols; the rows of all symbols are left as they lie.
+    """
     joined = _narrow(_facts_with_indicators(bars, indicators, HISTORY_FACTS), symbols, None)
     history = bands(lookback(joined, as_of, days))
     flagged = top2_flags(history, HIGHLIGHTED, ("as_of", "symbol"))
-    return reindex(flagged, HISTORY_COLUMNS).orderBy("symbol", "as_of", F.col("date1").desc())
+    shown = reindex(flagged, HISTORY_COLUMNS)
+    return shown if symbols is None else shown.orderBy("symbol", "as_of", F.col("date1").desc())
 
 
 def symbol_list(bars: DataFrame) -> DataFrame:
