@@ -168,7 +168,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.max("toxic").cast("int").alias("toxic")
     )
     rows = docs.select("doc_id", "text").filter(common.crc_mod(F.col("doc_id"), 4) != 2)
-    return rows.join(known, F.col("doc_id") == F.col("llm_id")).select("text", "toxic")
+    # labels grow with the corpus: never broadcast, whatever their size here
+    return rows.join(known.hint("merge"), F.col("doc_id") == F.col("llm_id")).select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
