@@ -11,12 +11,13 @@ bounds are ids that occur; the first document of each range is sent to the range
 is walked by itself, as a sorted stream that holds two texts at a time.
 
 Edge cases: null text is an empty one. Rows with a null doc_id stand outside the order: their successor is empty.
-Rows with equal doc_id follow each other by text. The only document succeeds itself. Extra columns are ignored.
+Rows with equal doc_id follow each other in a fixed order. The only document succeeds itself. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_successors(docs: DataFrame) -> DataFrame:
-    """llm_range, llm_role, doc_id, text: 0 a document of the range, 1 what follows its last one, 2 without an id."""
+    """llm_range, llm_role, doc_id, packed (the compressed text). Roles: 0 a document of the range, 1 what follows its last one, 2 without an id."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id").filter("doc_id is not null")
     rows, first = ids.agg(F.count("*"), F.min("doc_id")).first()
@@ -102,14 +103,20 @@ def with_successors(docs: DataFrame) -> DataFrame:
             before = (where[heads] - 1) % (len(bounds) + 1)
             rows = np.concatenate([np.arange(len(values)), heads])
             role = np.concatenate([np.where(known, 0, 2), np.ones(len(heads), np.int64)])
-            part = batch.take(pa.array(rows))
+            texts = batch.column("text").take(pa.array(rows))
+            packed = [zlib.compress(text.as_buffer() or b"", 1) for text in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([where, before]), pa.int32()), pa.array(role, pa.int32()), part.column("doc_id"), part.column("text")],
-                names=["llm_range", "llm_role", "doc_id", "text"],
+                [
+                    pa.array(np.concatenate([where, before]), pa.int32()),
+                    pa.array(role, pa.int32()),
+                    ids.take(pa.array(rows)),
+                    pa.array(packed, pa.binary()),
+                ],
+                names=["llm_range", "llm_role", "doc_id", "packed"],
             )
 
     return docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-        deal, "llm_range int, llm_role int, doc_id long, text string"
+        deal, "llm_range int, llm_role int, doc_id long, packed binary"
     )
 
 
@@ -140,9 +147,10 @@ def successors(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=FIELDS)
 
         for batch in batches:
-            for part, role, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for part, role, doc_id, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if role == 1 and (held is None or held[0] != part):
                     continue  # a second row of the following id
+                text = zlib.decompress(packed).decode()
                 hashes, positions = winnow(text)
                 if role == 2:
                     held = (None, doc_id, text, hashes, positions)
@@ -158,7 +166,7 @@ def successors(docs: DataFrame) -> DataFrame:
         if out:
             yield flushed()
 
-    dealt = with_successors(docs).repartition("llm_range").sortWithinPartitions("llm_range", "llm_role", "doc_id", "text")
+    dealt = with_successors(docs).repartition("llm_range").sortWithinPartitions("llm_range", "llm_role", "doc_id", "packed")
     return dealt.mapInArrow(
         walk,
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
