@@ -34,7 +34,7 @@ SPAN = 100
 GRAM = 32
 WINDOW = SPAN - GRAM + 1
 LETTER = 10  # bytes; SPAN is a multiple
-CHUNK_BYTES = 1 << 20  # of segments merged at once (one anchor's segments stay together)
+CHUNK_BYTES = 1 << 19  # of segments merged at once (one anchor's segments stay together)
 NO_ID = -(1 << 63)
 
 # ---------------------------------------------------------------- segments
@@ -295,11 +295,14 @@ def merge(docs: DataFrame, open_: DataFrame) -> DataFrame:
 def removed(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text) with kept_text (bytes) and the counts of the query."""
     keyed = docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    # not stored: this join and the one in merge() then share one exchange of the texts
+    runs = repeats(keyed).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    own_id = F.when(F.col("doc") != NO_ID, F.col("doc")).cast(docs.schema["doc_id"].dataType)
+    joined = keyed.join(runs.hint("merge"), "doc", "left").select(
+        own_id.alias("doc_id"), F.col("text").cast("binary").alias("text"), "runs"
     )
-    runs = repeats(keyed.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    runs = common.stored(runs, "runs")
-    joined = keyed.join(runs.hint("merge"), "doc", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "runs")
 
     def cut(batches):
         for batch in batches:
