@@ -6,7 +6,7 @@ row count), not the way the Spark job computes it.
 
 from __future__ import annotations
 
-from eodscan.checks.settings import LAST_DAY, LINK_BASE, SPINE_END, SPINE_START
+from eodscan.checks.settings import LADDER_SYMBOLS, LAST_DAY, LINK_BASE, SPINE_END, SPINE_START
 from eodscan.fixtures import LEDGER_CUTOFF
 from eodscan.schemas import (
     HISTORY_LOOKBACK,
@@ -405,6 +405,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT symbol, series, date1, symbol IN (SELECT symbol FROM fno) AS is_fno FROM bars""",
         "symbol_snapshot": snapshot("s_name") + f" SELECT {_SNAPSHOT_COLUMNS} FROM joined",
         "ladder": ladder("n_name"),
+        "symbol_filter": f"""SELECT * FROM ({ladder("n_name")}) WHERE symbol IN
+            ({", ".join(f"'{x}'" for x in LADDER_SYMBOLS)}) AND date1 = DATE '{LAST_DAY}'""",
         "bands": f"{snapshot('n_name')} SELECT symbol, date1, {BANDS} FROM joined",
         "top2_flags": f"""{history_ctes("s_name")} SELECT as_of, symbol, date1,
             {", ".join(top2(c) for c in HIGHLIGHTED)} FROM history""",
@@ -465,6 +467,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT symbol, date1, {", ".join(f"avg_value_{k}_days" for k in SHORT_TIERS)}
             FROM means""",
         "csv_round_trip": f"WITH {bars()} {_typed_bars(f'NOT ({BAD_CLOSE})')}",
+        "mixed_headers": f"WITH {bars('n_name')} {_typed_bars()}",
+        "many_paths": f"WITH {bars('r_name')} {_typed_bars()}",
         "csv_rejects": f"""WITH {bars()} SELECT 'bad number in close_price' AS reason, date1,
             count(*) AS n FROM bars WHERE {BAD_CLOSE} GROUP BY date1""",
         "text_scan": f"WITH {bars('n_name')} {_typed_bars()}",
@@ -482,6 +486,9 @@ def oracle_sql() -> dict[str, str]:
         "incremental_ingest": f"""WITH {indicators("n_name", "month")} SELECT symbol, date1,
             avg_close_1_days, avg_close_4_days, cmp_avg_p_signal1, cmp_avg_p_signal4
             FROM indicators""",
+        "split_days_stream": f"""WITH {indicators("n_name", "month")} SELECT symbol, date1,
+            avg_close_1_days, avg_close_4_days, cmp_avg_p_signal1, cmp_avg_p_signal4
+            FROM indicators""",
         "late_load": f"""WITH {indicators("n_name", "month")} SELECT symbol, date1,
             avg_close_1_days, avg_close_4_days, cmp_avg_p_signal1, cmp_avg_p_signal4
             FROM indicators""",

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from eodscan import fixtures as fx
 from eodscan.checks.oracles import BAD_CLOSE, BAR_NUMBERS, HIGHLIGHTED, MOVING, TWENTY, TWO_ROWS
-from eodscan.checks.settings import LAST_DAY, LINK_BASE, SPINE_END, SPINE_START
+from eodscan.checks.settings import LADDER_SYMBOLS, LAST_DAY, LINK_BASE, SPINE_END, SPINE_START
 from eodscan.functions import alpha_first, deep_link, is_series, strip, unit_ratio
 from eodscan.operators import (
     available,
@@ -316,6 +316,12 @@ def ladder(spark, sf):
     return symbol_ladder(*_both(spark, sf, "n_name"))
 
 
+@query
+def symbol_filter(spark, sf):
+    """The ladder of named symbols on named dates."""
+    return symbol_ladder(*_both(spark, sf, "n_name"), symbols=LADDER_SYMBOLS, dates=[LAST_DAY])
+
+
 @query
 def bands_(spark, sf):
     banded = bands(snapshot(*_both(spark, sf, "n_name")))
@@ -404,7 +410,7 @@ def _write_csv(text: DataFrame, folder: str) -> str:
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     text.withColumnsRenamed({**headers, "symbol": "SYMBOL"}).write.options(
         header=True, **keep
-    ).csv(folder)
+    ).mode("append").csv(folder)
     return folder
 
 
@@ -418,6 +424,26 @@ def csv_round_trip(spark, sf):
     return _loaded(read_daily(spark, folder)[0])
 
 
+@query
+def mixed_headers(spark, sf):
+    """Files of one folder with their columns in two orders."""
+    text = _as_text(fx.bars(spark, sf, "n_name"))
+    folder = _write_csv(text.filter("symbol < 'J'"), scratch_dir(spark, "csv"))
+    _write_csv(text.filter("symbol >= 'J'").select(*reversed(text.columns)), folder)
+    return _loaded(read_daily(spark, folder)[0])
+
+
+@query
+def many_paths(spark, sf):
+    text = _as_text(fx.bars(spark, sf, "r_name"))
+    folders = [
+        _write_csv(text.filter(F.month("date1_") % 2 == k).drop("date1_"), scratch_dir(spark, "csv"))
+        for text in [text.withColumn("date1_", F.to_date(F.trim("date1"), "dd-MMM-yyyy"))]
+        for k in (0, 1)
+    ]
+    return _loaded(read_daily(spark, folders)[0])
+
+
 @query
 def csv_rejects(spark, sf):
     folder = _write_csv(_spoiled(fx.bars(spark, sf)), scratch_dir(spark, "csv"))
@@ -530,6 +556,16 @@ def incremental_ingest(spark, sf):
     return spark.table(tables.indicators).select(*STORED_SAMPLE)
 
 
+@query
+def split_days_stream(spark, sf):
+    """Every day lies in three files, and a micro-batch takes one."""
+    text = _as_text(fx.bars(spark, sf, "n_name", "month").repartition(3, "symbol"))
+    landing = _write_csv(text, scratch_dir(spark, "landing"))
+    tables = _new_tables(spark)
+    stream_days(spark, landing, tables, scratch_dir(spark, "stream"), max_files=1).awaitTermination()
+    return spark.table(tables.indicators).select(*STORED_SAMPLE)
+
+
 @query
 def late_load(spark, sf):
     good = _typed(fx.bars(spark, sf, "n_name", "month"))
