@@ -9,8 +9,8 @@ A line is compared by its text without blanks (U+0020) at its ends; lines of few
 characters are never boilerplate.
 
 Edge cases: null text gives 0 lines and an empty kept text in the query, and stays null in the pipeline; a
-null source counts as one site of its own (all nulls together); a null doc_id sorts before all others; repeated
-rows are the same document (their lines share the place of the first). Extra columns pass through unused.
+null source counts as one site of its own (all nulls together); a text with a null doc_id counts for the
+spread but loses nothing; repeated rows are the same document (their lines share the place of the first). Extra columns pass through unused.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """doc, places (the line numbers to take out) of the documents that lose lines."""
-    found = lines_of(docs).join(boilerplate(docs, min_sites), ["h1", "h2"])
+    found = lines_of(docs).filter("doc is not null").join(boilerplate(docs, min_sites), ["h1", "h2"])
     mine = F.col("doc").eqNullSafe(F.col("first_doc"))
     # within the first document only the first occurrence stays
     first = found.filter(mine).groupBy("h1", "h2").agg(F.min("at").alias("first_at"))
