@@ -6,13 +6,14 @@ similarity s or more, the first n - ceil(s n) + 1 shingles in any fixed total or
 such shingle is a bucket. The order puts shingles that a count sketch of the whole corpus shows as frequent
 last, so passages that many texts share hardly make buckets; the sketch decides cost only, never results.
 
-Inside the buckets the join works by pivots. The first document of a bucket is its pivot, exact distances to
+Inside the buckets the join works by pivots. A document that meets many others is a bucket's pivot, exact distances to
 it are computed, and with e = 1 - s: documents within e of the pivot form its region and need no comparison among
 each other, since they are linked through it; documents further than 2e can't link to that region; between, a
 document y is held only against those x of the region with d(x, pivot) >= d(y, pivot) - e. What is
 open is joined again, round by round: members of other groups than a bucket's largest become pivots (PIVOTS at
 a time) and meet the members of other groups whose distance to the first pivot differs by at most e. A
-pivot is settled, a bucket of one group too. A pair is compared once, whatever the number of its buckets.
+pivot is settled, a bucket of one group too. From the third round on buckets that share
+documents are one where that is less work. A pair is compared once, whatever the number of its buckets.
 
 Equal sets are one class from the start. Shingles are 64-bit hashes, equal sets have equal 128-bit digests.
 
@@ -34,9 +35,11 @@ from . import common
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity at least NUM / DEN
-SKETCH_LOG2 = 22  # counters
+SKETCH_LOG2 = 20  # counters
+PARITY_LOG2 = 11, 24  # least and most bits of a set's parity map; in between about as many as elements
+SALTS = 64  # parts of a frequent shingle's rows while rows are counted
 SLICE = 1 << 16
-PIVOTS = 64  # of a bucket and round, after the first
+PIVOTS = 8, 256  # of a bucket in the second round, and in each later one
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; above it a shuffled join
 
 EPS = 1 - NUM / DEN
@@ -54,11 +57,13 @@ def overview(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             n = np.zeros(batch.num_rows, dtype=np.int64)
             keys = np.zeros((batch.num_rows, 2), dtype=np.int64)
+            maps = [np.zeros(0, np.int64)] * batch.num_rows
             pending, held = [], 0
             for row, own in common.shingle_sets(batch.column("text"), words):
                 n[row] = len(own)
                 if len(own):
                     keys[row] = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
+                    maps[row] = parity_map(own)
                     pending.append(own)
                     held += len(own)
                     if held > 1 << 18:
@@ -67,21 +72,31 @@ def overview(docs: DataFrame, words: int = WORDS) -> DataFrame:
             if pending:
                 np.add.at(sketch, (np.concatenate(pending) >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in maps])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *none], names=names
+                [batch.column("doc_id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *none], names=names
             )
         for nth in range(size // SLICE):
             part = sketch[nth * SLICE : (nth + 1) * SLICE]
             if part.any():
-                none = pa.nulls(1, arrow_kind), *(pa.nulls(1, pa.int64()) for _ in range(3))
+                none = pa.nulls(1, arrow_kind), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.list_(pa.int64()))
                 packed = zlib.compress(part.astype("<u8").tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([*none, pa.array([nth], pa.int32()), pa.array([packed])], names=names)
 
-    names = ["doc_id", "n", "k1", "k2", "slice", "counts"]
-    schema = f"doc_id {kind}, n long, k1 long, k2 long, slice int, counts binary"
+    names = ["doc_id", "n", "k1", "k2", "parity", "slice", "counts"]
+    schema = f"doc_id {kind}, n long, k1 long, k2 long, parity array<bigint>, slice int, counts binary"
     return common.stored(docs.select("doc_id", "text").mapInArrow(scan, schema), "overview")
 
 
+def parity_map(own: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each bit. Two maps differ in at most as many bits as the sets in
+    elements, so the maps bound the distance of the sets from below. A map folds in halves to one of half the size."""
+    bits = min(max(len(own).bit_length(), PARITY_LOG2[0]), PARITY_LOG2[1])
+    odd = np.bincount((own & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def frequency_classes(seen: DataFrame) -> np.ndarray:
     """For each counter 0, or 1 + log2 of how far it stands above the mean of all counters."""
     slices = seen.filter("slice is not null").select("slice", "counts")
@@ -196,12 +211,34 @@ def shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc {kind}, own array<bigint>")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with common: the exact number of shared shingles."""
+def compared(pairs: DataFrame, parity: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """pairs (a, b, na, nb) with differ (a lower bound of the number of elements in which they differ) and, if that
+    allows a link, common: the exact number of shared shingles."""
+    one = parity.select(F.col("doc").alias("a"), F.col("parity").alias("pa"))
+    other = parity.select(F.col("doc").alias("b"), F.col("parity").alias("pb"))
+    # sizes that allow a link give maps of one size or of twice the size
+    pa, pb = _folded("pa", F.size("pb")), _folded("pb", F.size("pa"))
+    bits = F.zip_with(pa, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bounded = pairs.join(other, "b").join(one, "a").select(
+        *pairs.columns, F.aggregate(bits, F.lit(0), lambda total, x: total + x).alias("differ")
+    )
+    bounded = common.stored(bounded, "bounded")
+    may = F.col("differ") * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
+    close = bounded.filter(may)
+    ids = common.stored(close.select(F.col("a").alias("doc")).union(close.select("b")).distinct(), "close")
+    sets = shingles(among(docs, ids), words).dropDuplicates(["doc"])
     left = sets.select(F.col("doc").alias("a"), F.col("own").alias("own_a"))
     right = sets.select(F.col("doc").alias("b"), F.col("own").alias("own_b"))
-    joined = pairs.join(right, "b").join(left, "a")
-    return joined.select(*pairs.columns, F.size(F.array_intersect("own_a", "own_b")).alias("common"))
+    exact = close.join(right, "b").join(left, "a").select(
+        *bounded.columns, F.size(F.array_intersect("own_a", "own_b")).alias("common")
+    )
+    return exact.unionByName(bounded.filter(~may).withColumn("common", F.lit(None).cast("int")))
+
+
+def _folded(name: str, size):
+    whole, half = F.col(name), F.floor(F.size(name) / 2).cast("int")
+    folded = F.zip_with(F.slice(whole, 1, half), F.slice(whole, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(name) > size, folded).otherwise(whole)
 
 
 def fits(n, m):
@@ -241,25 +278,33 @@ def join_groups(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFra
     reps = common.stored(own.join(classes, ["k1", "k2"]).select("doc_id", "n", "rep").distinct(), "reps")
 
     posted = postings(docs.filter("doc_id is not null"), frequency_classes(seen), words)
-    counted = posted.filter("not hot").selectExpr("h", "doc", "count(*) over (partition by h) as c")
-    shared = common.stored(counted.filter("c > 1").select("h", "doc").union(posted.filter("hot").select("h", "doc")), "shared")
+    # frequent shingles need no count; salts keep their rows apart
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + 1).otherwise(0)
+    counted = posted.withColumn("c", F.count("*").over(Window.partitionBy("h", salt)))
+    shared = common.stored(counted.filter("hot or c > 1").select("h", "doc"), "shared")
     as_rep = reps.select(F.col("doc_id").alias("doc"), "n", "rep")
     bucket = shared.join(as_rep, "doc").groupBy("h", F.col("rep").alias("doc")).agg(F.first("n").alias("n"))
-    bucket = common.stored(_open_buckets(bucket), "buckets")
+    bucket = common.stored(_central_first(_open_buckets(bucket)), "buckets")
 
-    involved = common.stored(bucket.select("doc").distinct(), "involved")
-    sets = common.stored(shingles(among(docs, involved), words).dropDuplicates(["doc"]), "sets")
-    tested_at = common.shared_dir(docs.sparkSession, "tested")
-    labels = None
+    parity = seen.filter("slice is null and n > 0").select(F.col("doc_id").alias("doc"), "parity").join(
+        reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"
+    ).dropDuplicates(["doc"])
+    spark, tested_at, labels = docs.sparkSession, [], None
     while not bucket.isEmpty():
-        pairs, ends = _star(bucket) if labels is None else _many_pivots(bucket)
+        if len(tested_at) == 2:
+            bucket = common.stored(_joined_buckets(bucket), "buckets")
+        pairs, ends = _star(bucket) if labels is None else _many_pivots(bucket, PIVOTS[len(tested_at) > 1])
         if labels is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = overlaps(pairs, sets)
-        found.write.mode("append").parquet(tested_at)
-        tested = docs.sparkSession.read.schema(found.schema).parquet(tested_at)
-        edges = tested.filter(linked(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b")
-        first, labels = labels is None, groups(edges)
+        found = compared(pairs, parity, docs, words)
+        tested_at.append(common.shared_dir(spark, "tested"))
+        found.write.parquet(tested_at[-1])
+        tested = spark.read.schema(found.schema).parquet(*tested_at)
+        link = linked(F.col("common"), F.col("na"), F.col("nb"))
+        first = labels is None
+        # only members of different groups were compared, so groups change if and only if there is a new link
+        if first or not spark.read.schema(found.schema).parquet(tested_at[-1]).filter(link).isEmpty():
+            labels = groups(tested.filter(link).select("a", "b"))
         rest = _outside_star(ends, tested) if first else ends
         bucket = common.stored(_open_between(rest, labels), "buckets")
     if labels is None:
@@ -275,24 +320,43 @@ def _open_buckets(bucket: DataFrame) -> DataFrame:
     return bucket.join(many, "h", "left_semi")
 
 
+def _central_first(bucket: DataFrame) -> DataFrame:
+    """Adds w: the share of its size in which a document meets others. What copies were made from shares all it has,
+    each copy less by its own changes, so the largest w of a bucket makes a pivot close to many."""
+    weight = bucket.groupBy("doc").agg((F.count("*") / F.first("n")).alias("w"))
+    return bucket.join(weight, "doc").select("h", "doc", "n", "w")
+
+
+def _ordered_pairs(one: str, n_one: str, other: str, n_other: str) -> list:
+    """Columns a, b, na, nb with a < b."""
+    lower = F.col(one) < F.col(other)
+    return [
+        F.least(one, other).alias("a"),
+        F.greatest(one, other).alias("b"),
+        F.when(lower, F.col(n_one)).otherwise(F.col(n_other)).alias("na"),
+        F.when(lower, F.col(n_other)).otherwise(F.col(n_one)).alias("nb"),
+    ]
+
+
 def _star(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, na, nb) of each bucket's first document, its pivot, and the others; the buckets with pivots."""
-    head = bucket.groupBy("h").agg(F.min(F.struct("doc", "n")).alias("head"))
-    starred = bucket.join(head, "h").select("h", "doc", "n", F.col("head.doc").alias("pivot"), F.col("head.n").alias("pn"))
+    """Pairs (a, b, na, nb) of each bucket's pivot and the others; the buckets with their pivots."""
+    head = bucket.groupBy("h").agg(F.max(F.struct("w", "doc", "n")).alias("head"))
+    starred = bucket.join(head, "h").select("h", "doc", "n", "w", F.col("head.doc").alias("pivot"), F.col("head.n").alias("pn"))
     starred = starred.filter("doc <> pivot")
-    pairs = starred.filter(fits(F.col("n"), F.col("pn"))).select(
-        F.col("pivot").alias("a"), F.col("doc").alias("b"), F.col("pn").alias("na"), F.col("n").alias("nb")
-    )
+    pairs = starred.filter(fits(F.col("n"), F.col("pn"))).select(*_ordered_pairs("pivot", "pn", "doc", "n"))
     return pairs.distinct(), starred
 
 
 def _outside_star(starred: DataFrame, tested: DataFrame) -> DataFrame:
     """What of each bucket is still open, with the distance d to its pivot: documents outside the pivot's region, and
     those inside that the triangle inequality allows to link to them."""
-    known = tested.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "common")
-    shared = F.coalesce("common", F.least("n", "pn"))  # no comparison: the sizes bound the distance from below
-    placed = starred.join(known, ["pivot", "doc"], "left").select(
-        "h", "doc", "n",
+    known = tested.select("a", "b", "common", "differ")
+    # no comparison: the bits that differ, or the sizes, bound the distance from below
+    most = F.floor((F.col("n") + F.col("pn") - F.coalesce("differ", F.abs(F.col("n") - F.col("pn")))) / 2)
+    shared = F.coalesce("common", most)
+    ends = starred.withColumn("a", F.least("pivot", "doc")).withColumn("b", F.greatest("pivot", "doc"))
+    placed = ends.join(known, ["a", "b"], "left").select(
+        "h", "doc", "n", "w",
         (1 - shared / (F.col("n") + F.col("pn") - shared)).alias("d"),
         F.col("common").isNotNull().alias("exact"),
         (F.col("common").isNotNull() & linked(shared, F.col("n"), F.col("pn"))).alias("inside"),
@@ -300,26 +364,48 @@ def _outside_star(starred: DataFrame, tested: DataFrame) -> DataFrame:
     nearest = placed.filter("not inside").groupBy("h").agg(F.min("d").alias("nearest"))
     near = (F.col("nearest") <= 2 * EPS + SLACK) & (F.col("d") >= F.col("nearest") - EPS - SLACK)
     left = placed.join(nearest, "h").filter(~F.col("inside") | near)
-    return left.select("h", "doc", "n", F.when(F.col("exact"), F.col("d")).alias("d"))
+    return left.select("h", "doc", "n", "w", F.when(F.col("exact"), F.col("d")).alias("d"))
 
 
 def _open_between(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, doc, n, d, label) of the buckets that hold more than one group."""
-    rest = rest.select("h", "doc", "n", "d").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
+    """(h, doc, n, w, d, label) of the buckets that hold more than one group."""
+    rest = rest.select("h", "doc", "n", "w", "d").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
     rest = rest.withColumn("label", F.coalesce("label", "doc"))
     still = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    return rest.join(still, "h", "left_semi").select("h", "doc", "n", "d", "label")
+    return rest.join(still, "h", "left_semi").select("h", "doc", "n", "w", "d", "label")
+
+
+def _joined_buckets(bucket: DataFrame) -> DataFrame:
+    """Buckets with documents in common become one where that makes fewer pairs: what is open after two rounds are a
+    few dense places whose documents share many buckets, and a pair should not come up in each of them."""
+    head = bucket.groupBy("h").agg(F.min("doc").alias("a"))
+    place = groups(bucket.join(head, "h").select("a", F.col("doc").alias("b")))
+    rows = common.stored(bucket.join(place.select(F.col("node").alias("doc"), F.col("label").alias("place")), "doc"), "places")
+    whole = rows.select("place", "doc", "n", "w", "label").distinct()
+
+    def pairs(members: DataFrame, *by: str) -> DataFrame:
+        sizes = members.groupBy(*by, "label").agg(F.count("*").alias("c"))
+        return sizes.groupBy(*by).agg((F.sum("c") * (F.sum("c") - F.max("c"))).alias("pairs"))
+
+    apart = pairs(rows, "place", "h").groupBy("place").agg(F.sum("pairs").alias("apart"))
+    dense = pairs(whole, "place").join(apart, "place").filter("pairs < apart").select("place")
+    dense = common.stored(dense, "dense")
+    merged = whole.join(dense, "place", "left_semi").select(
+        F.concat(F.lit("p"), "place").alias("h"), "doc", "n", "w", F.lit(None).cast("double").alias("d"), "label"
+    )
+    kept = rows.join(dense, "place", "left_anti").select(F.concat(F.lit("h"), "h").alias("h"), "doc", "n", "w", "d", "label")
+    return merged.unionByName(kept)
 
 
-def _many_pivots(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Up to PIVOTS documents of each bucket that aren't in its largest group are pivots: pairs of them and
+def _many_pivots(bucket: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Up to `most` documents of each bucket that aren't in its largest group are pivots: pairs of them and
     all members of other groups whose distances to the bucket's first pivot differ by at most e. What is left
     is the bucket without these pivots, which now are settled."""
     size = bucket.groupBy("h", "label").agg(F.count("*").alias("c"))
     main = size.groupBy("h").agg(F.max(F.struct("c", "label")).alias("main")).select("h", F.col("main.label").alias("main"))
-    rank = F.row_number().over(Window.partitionBy("h").orderBy("doc"))
+    rank = F.row_number().over(Window.partitionBy("h").orderBy(F.col("w").desc(), "doc"))
     pivots = common.stored(
-        bucket.join(main, "h").filter("label <> main").withColumn("place", rank).filter(F.col("place") <= PIVOTS)
+        bucket.join(main, "h").filter("label <> main").withColumn("place", rank).filter(F.col("place") <= most)
         .select("h", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("label").alias("lp")),
         "pivots",
     )
@@ -328,13 +414,7 @@ def _many_pivots(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
         & fits(F.col("n"), F.col("np"))
         & (F.coalesce(F.abs(F.col("d") - F.col("dp")), F.lit(0.0)) <= EPS + SLACK)
     )
-    lower = F.col("p") < F.col("doc")
-    pairs = met.select(
-        F.least("p", "doc").alias("a"),
-        F.greatest("p", "doc").alias("b"),
-        F.when(lower, F.col("np")).otherwise(F.col("n")).alias("na"),
-        F.when(lower, F.col("n")).otherwise(F.col("np")).alias("nb"),
-    )
+    pairs = met.select(*_ordered_pairs("p", "np", "doc", "n"))
     rest = bucket.join(pivots.select("h", F.col("p").alias("doc")), ["h", "doc"], "left_anti")
     return pairs.distinct(), rest
 

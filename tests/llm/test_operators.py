@@ -218,7 +218,7 @@ def test_jaccard_join_in_rounds(spark, monkeypatch):
     """Families of edited copies around the threshold, with many rounds of few pivots."""
     import random
 
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", (1, 2))
     rng = random.Random(4)
     docs = []
     for family in range(3):
