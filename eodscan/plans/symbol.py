@@ -98,13 +98,14 @@ def signal_history(
 ) -> DataFrame:
     """Bands, spikes and highlights over the last `days` days.
 
-    Sorted, latest first, for named symbols; the rows of all symbols are left as they lie.
+    Sorted, latest first, for one date or named symbols; bulk results of many dates are left as they lie.
     """
     joined = _narrow(_facts_with_indicators(bars, indicators, HISTORY_FACTS), symbols, None)
     history = bands(lookback(joined, as_of, days))
     flagged = top2_flags(history, HIGHLIGHTED, ("as_of", "symbol"))
     shown = reindex(flagged, HISTORY_COLUMNS)
-    return shown if symbols is None else shown.orderBy("symbol", "as_of", F.col("date1").desc())
+    bulk = symbols is None and not isinstance(as_of, (str, dt.date))
+    return shown if bulk else shown.orderBy("symbol", "as_of", F.col("date1").desc())
 
 
 def symbol_list(bars: DataFrame) -> DataFrame:
