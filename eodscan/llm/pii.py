@@ -5,10 +5,15 @@ a run of their characters starts and never give back what they took, so very lon
 the matches are those of the plain patterns. A match's place is the sum of the lengths before it: the pieces
 between matches are rows, and a window per document and kind adds them up.
 
-A term is the word right before such a match. Over the whole corpus, the share of documents with the term in which
-it stands before a match estimates how strongly it discloses one: P(entity | term), and its information
-log2(P(entity | term) / P(entity)). Terms of at least MIN_DOCS documents over both thresholds are sensitive:
-where they stand before a match they are spans as well (kind `term`), and are generalised with it.
+A term is a word of 3 to 40 letters, with a colon or equals sign right after it, outside e-mail addresses; one rule
+cuts the words that are counted and the words that are marked. Every distinct term of every document is counted:
+in how many documents it stands, in how many of these an entity (a valid match) stands anywhere, and in how many it
+stands right before one. The share of documents with the term that hold an entity estimates how strongly the
+term discloses one: P(entity | term), and its information log2(P(entity | term) / P(entity)). As every word of
+the corpus is a candidate, the lower end of the share's Wilson interval (Z standard deviations) is held against both
+thresholds. For a term right before an entity the share of documents in which it stands there is held
+against them as it is. Terms of at least MIN_DOCS documents over the thresholds are sensitive: every occurrence,
+in whatever document, is a span (kind `term`) and is generalised.
 
 Edge cases: null or empty text has no span. Identical rows each get the same result; rows are told apart by
 doc_id (null too) and a hash of the text. An empty table gives no rows. Extra columns are ignored.
@@ -24,6 +29,7 @@ from . import common
 MIN_DOCS = 5
 DISCLOSURE = 0.5  # P(entity | term) from which a term is sensitive
 BITS = 1.0  # and its information
+Z = 3.0  # standard deviations below the share of documents that hold an entity
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 PATTERNS = [
@@ -32,7 +38,8 @@ PATTERNS = [
     r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
-TERM = r"(\p{L}{3,40}[:=]?)(\s+)$"
+TERM = r"(?<!\p{L})\p{L}{3,40}+(?!\p{L})[:=]?+"
+BEFORE = rf"({TERM})\s+$"
 TAIL = 80
 
 
@@ -53,65 +60,109 @@ def _valid(kind: Column, found: Column) -> Column:
     return F.when(kind == 0, True).when(kind == 1, small).when(kind == 2, card).otherwise(phone)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """doc, th, kind (0 to 3), start, end (code points, end exclusive), tail (what stands before)."""
-    text = F.col("text")
-    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text").filter("text is not null")
+def _matches(text: Column) -> list[Column]:
+    """Of each pattern a struct (kind, found, gaps), null where the text can't have a match."""
     options = []
     for nth, (pattern, maybe) in enumerate(zip(PATTERNS, _maybe(text))):
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         gaps = F.split(text, pattern, -1)
         options.append(F.when(maybe, F.struct(F.lit(nth).alias("kind"), found.alias("found"), gaps.alias("gaps"))))
-    each = rows.select("doc", "th", F.explode(F.array(*options)).alias("k")).filter("k is not null and size(k.found) > 0")
+    return options
+
+
+def base_spans(docs: DataFrame) -> DataFrame:
+    """doc, th, kind (0 to 3), start, end (code points, end exclusive)."""
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text").filter("text is not null")
+    each = rows.select("doc", "th", F.explode(F.array(*_matches(F.col("text")))).alias("k")).filter("k is not null and size(k.found) > 0")
     pieces = each.select(
         "doc", "th", F.col("k.kind").alias("kind"), F.col("k.gaps").alias("gaps"), F.posexplode("k.found").alias("nth", "found")
-    ).select(
-        "doc", "th", "kind", "nth", "found",
-        F.length(F.get("gaps", F.col("nth"))).cast("long").alias("gap"),
-        F.right(F.get("gaps", F.col("nth")), F.lit(TAIL)).alias("tail"),
-    )
+    ).select("doc", "th", "kind", "nth", "found", F.length(F.get("gaps", F.col("nth"))).cast("long").alias("gap"))
     once = pieces.dropDuplicates(["doc", "th", "kind", "nth"])
     so_far = Window.partitionBy("doc", "th", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = once.withColumn("end", F.sum(F.col("gap") + F.length("found")).over(so_far))
     return placed.filter(_valid(F.col("kind"), F.col("found"))).select(
-        "doc", "th", "kind", (F.col("end") - F.length("found")).alias("start"), "end", "tail"
+        "doc", "th", "kind", (F.col("end") - F.length("found")).alias("start"), "end"
     )
 
 
-def term_places(found: DataFrame) -> DataFrame:
-    """doc, th, term, start, end of the words right before spans."""
-    word, blank = F.regexp_extract("tail", TERM, 1), F.regexp_extract("tail", TERM, 2)
-    cut = found.select("doc", "th", word.alias("word"), (F.col("start") - F.length(blank)).alias("end"))
-    return cut.filter("word <> ''").select(
-        "doc", "th", F.lower("word").alias("term"), (F.col("end") - F.length("word")).alias("start"), "end"
-    )
+def _terms(text: Column) -> Column:
+    """Distinct terms of a text, in lower case."""
+    outside = F.when(text.contains("@"), F.split(text, PATTERNS[0], -1)).otherwise(F.array(text))
+    found = F.flatten(F.transform(outside, lambda gap: F.regexp_extract_all(gap, F.lit(TERM), F.lit(0))))
+    return F.array_distinct(F.transform(found, F.lower))
 
 
-def sensitive_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
+def sensitive_terms(docs: DataFrame) -> DataFrame:
     """term, disclosure, bits of the terms over the thresholds."""
-    n_docs = docs.count()
-    n_with = found.select("doc", "th").distinct().count()
-    before = term_places(found).select("term", "doc", "th").distinct().groupBy("term").agg(F.count("*").alias("n_before"))
-    before = common.stored(before.filter(F.col("n_before") >= MIN_DOCS), "terms")
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("term"))
-    # counted before the join, which frequent words would blow up
-    everywhere = words.groupBy("term").agg(F.count("*").alias("n_docs")).join(before, "term")
-    share = F.least(F.col("n_before") / F.col("n_docs"), F.lit(1.0))
-    bits = F.log2(share / (n_with / n_docs if n_with else 1.0))
-    return everywhere.select("term", share.alias("disclosure"), bits.alias("bits")).filter(
-        (F.col("disclosure") >= DISCLOSURE) & (F.col("bits") >= BITS)
+
+    def tails(k: Column) -> Column:
+        nth = F.sequence(F.lit(0), F.size(k["found"]) - 1)
+        own = F.transform(nth, lambda i: F.when(_valid(k["kind"], F.get(k["found"], i)), F.right(F.get(k["gaps"], i), F.lit(TAIL))))
+        return F.when(F.size(k["found"]) > 0, F.filter(own, lambda t: t.isNotNull()))
+
+    rows = docs.select("text", F.array(*_matches(F.col("text"))).alias("k")).select(
+        "text", F.flatten(F.filter(F.transform("k", tails), lambda t: t.isNotNull())).alias("tails")
+    )
+    before = F.transform("tails", lambda t: F.lower(F.regexp_extract(t, BEFORE, 1)))
+    n_docs, n_with = rows.agg(F.count("*"), F.count_if(F.size("tails") > 0)).first()
+    rows = rows.select(_terms(F.col("text")).alias("terms"), (F.size("tails") > 0).alias("has"), before.alias("before"))
+    each = rows.select("has", "before", F.explode("terms").alias("term"))
+    counted = each.groupBy("term").agg(
+        F.count("*").alias("n_docs"), F.count_if("has").alias("n_with"), F.count_if(F.array_contains("before", F.col("term"))).alias("n_before")
     )
+    n, share = F.col("n_docs"), F.col("n_with") / F.col("n_docs")
+    middle = share + Z * Z / (2 * n)
+    low = (middle - Z * F.sqrt((share * (1 - share) + Z * Z / (4 * n)) / n)) / (1 + Z * Z / n)
+    elsewhere = F.when(F.col("n_with") >= MIN_DOCS, low).otherwise(0.0)
+    beside = F.when(F.col("n_before") >= MIN_DOCS, F.col("n_before") / n).otherwise(0.0)
+    disclosure = F.greatest(elsewhere, beside)
+    bits = F.log2(F.col("disclosure") / (n_with / n_docs if n_with else 1.0))
+    known = counted.select("term", disclosure.alias("disclosure")).filter(F.col("disclosure") >= DISCLOSURE)
+    return known.withColumn("bits", bits).filter(F.col("bits") >= BITS)
+
+
+def term_spans(docs: DataFrame, sensitive: DataFrame) -> DataFrame:
+    """doc, th, kind, start, end of every occurrence of the sensitive terms."""
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text").filter("text is not null")
+    each = rows.select("doc", "th", F.explode(_terms(F.col("text"))).alias("term"))
+    own = each.join(sensitive.select("term"), "term").groupBy("doc", "th").agg(F.collect_set("term").alias("terms"))
+    own = own.withColumnsRenamed({"doc": "own_doc", "th": "own_th"})
+    texts = rows.join(own, F.col("doc").eqNullSafe(F.col("own_doc")) & (F.col("th") == F.col("own_th")))
+
+    def pieces(gap: Column, closing: Column) -> Column:
+        """(skip, word) of each term of a gap, and what follows the last with the address that closes the gap."""
+        found, between = F.regexp_extract_all(gap, F.lit(TERM), F.lit(0)), F.split(gap, TERM, -1)
+        return F.zip_with(
+            between, found,
+            lambda skip, word: F.struct(
+                (F.length(skip) + F.when(word.isNull(), closing).otherwise(0)).alias("skip"), F.coalesce(word, F.lit("")).alias("word")
+            ),
+        )
+
+    text = F.col("text")
+    addresses = F.regexp_extract_all(text, F.lit(PATTERNS[0]), F.lit(0))
+    # stored in columns of their own first, so that they are made once a row
+    split = texts.select("doc", "th", "terms", F.split(text, PATTERNS[0], -1).alias("gaps"), addresses.alias("addresses"))
+    flat = F.flatten(F.zip_with("gaps", "addresses", lambda gap, address: pieces(gap, F.coalesce(F.length(address), F.lit(0)))))
+    kind = "array<struct<start:bigint,end:bigint>>"
+    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("spans"))
+
+    def step(acc, piece):
+        start = acc["at"] + piece["skip"]
+        end = start + F.length(piece["word"])
+        more = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
+        hit = F.array_contains("terms", F.lower(piece["word"]))
+        return F.struct(end.alias("at"), F.when(hit, more).otherwise(acc["spans"]).alias("spans"))
+
+    placed = split.select("doc", "th", F.explode(F.aggregate(flat, zero, step, lambda acc: acc["spans"])).alias("s"))
+    return placed.select("doc", "th", F.lit(4).alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """doc, th, spans: sorted distinct (kind, start, end) of every text with a span."""
     docs = docs.select("doc_id", "text")
-    found = common.stored(base_spans(docs), "spans")
-    sensitive = sensitive_terms(docs, found)
-    terms = term_places(found).join(sensitive.select("term"), "term", "left_semi")
-    both = found.select("doc", "th", "kind", "start", "end").unionByName(
-        terms.select("doc", "th", F.lit(4).alias("kind"), "start", "end")
-    )
+    sensitive = common.stored(sensitive_terms(docs), "terms")
+    both = base_spans(docs).unionByName(term_spans(docs, sensitive))
     return both.groupBy("doc", "th").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("spans"))
 
 

@@ -292,6 +292,18 @@ def test_pii_sensitive_terms(spark):
     assert clean[3] == "the meeting of day 3 is set, [TERM] [EMAIL] and more of the day" and clean[100] == rows[8][1]
 
 
+def test_pii_terms_anywhere(spark):
+    """A term after the entity or far from it counts, and is marked in documents without an entity too."""
+    rows = [(i, f"note {i} of the clinic: reach joe{i}@mail.example.com or wait, the Patient of ward {i} is in") for i in range(20)]
+    rows += [(100 + i, "note of the day or wait, reach the mail of ward in time for example") for i in range(60)]
+    rows += [(200, "nothing here but a (patient), PATIENT"), (None, "ä😀 the patient")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc: [(s.start, s.end) for s in r.spans if s.kind == 4] for r in pii.all_spans(docs).collect()}
+    for i, text in rows[:20]:
+        assert spans[i] == [(a, a + n) for a, n in ((text.index("clinic:"), 7), (text.index("Patient"), 7))]
+    assert spans[200] == [(20, 27), (30, 37)] and spans[None] == [(7, 14)] and len(spans) == 22
+
+
 def test_words_of_matches_numpy():
     import pyarrow as pa
 
