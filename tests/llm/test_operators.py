@@ -304,6 +304,16 @@ def test_pii_terms_anywhere(spark):
     assert spans[200] == [(20, 27), (30, 37)] and spans[None] == [(7, 14)] and len(spans) == 22
 
 
+def test_pii_terms_behind_punctuation(spark):
+    """The words before entities and the words of the corpus are cut by one rule."""
+    rows = [(i, f"some words (e-mail: joe{i}@a.example) and \"tel: +1 375 555 43{i:02}\"") for i in range(8)]
+    rows += [(100 + i, "some words and e-words") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text, clean = rows[3][1], {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[3] == text.replace("mail:", "[TERM]").replace("tel:", "[TERM]").replace("joe3@a.example", "[EMAIL]").replace("+1 375 555 4303", "[PHONE]")
+    assert clean[100] == rows[8][1]
+
+
 def test_words_of_matches_numpy():
     import pyarrow as pa
 
