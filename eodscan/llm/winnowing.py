@@ -82,14 +82,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
+def first_ids(ids: DataFrame, cuts: list[float]) -> list[int]:
+    """The smallest id of each range between cuts that has one, in order. Cuts are doubles, which don't hold every long."""
+    cuts = np.array(sorted({min(int(c), (1 << 63) - 1) for c in cuts}), dtype=np.int64)
+    shared = common.share(ids.sparkSession, cuts)
+
+    def smallest(batches):
+        cuts = shared()
+        for batch in batches:
+            values = np.sort(np.asarray(batch.column("doc_id")))
+            where, at = np.unique(np.searchsorted(cuts, values, side="right"), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(values[at])], names=["llm_range", "doc_id"])
+
+    found = ids.mapInArrow(smallest, "llm_range int, doc_id long").groupBy("llm_range").agg(F.min("doc_id").alias("doc_id"))
+    return sorted(r.doc_id for r in found.collect())
+
+
 def with_successors(docs: DataFrame) -> DataFrame:
     """llm_range, llm_role, doc_id, packed (the compressed text). Roles: 0 a document of the range, 1 what follows its last one, 2 without an id."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id").filter("doc_id is not null")
     rows, first = ids.agg(F.count("*"), F.min("doc_id")).first()
     ranges = max(1, min(MAX_RANGES, rows // RANGE_ROWS))
-    bounds = ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
-    bounds = np.array(sorted({int(b) for b in bounds} - {first}), dtype=np.int64)
+    cuts = ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
+    bounds = np.array(first_ids(ids, cuts)[1:], dtype=np.int64)
     shared = common.share(docs.sparkSession, (bounds, first))
 
     def deal(batches):
@@ -115,9 +131,7 @@ def with_successors(docs: DataFrame) -> DataFrame:
                 names=["llm_range", "llm_role", "doc_id", "packed"],
             )
 
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-        deal, "llm_range int, llm_role int, doc_id long, packed binary"
-    )
+    return docs.mapInArrow(deal, "llm_range int, llm_role int, doc_id long, packed binary")
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -150,6 +164,8 @@ def successors(docs: DataFrame) -> DataFrame:
             for part, role, doc_id, packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if role == 1 and (held is None or held[0] != part):
                     continue  # a second row of the following id
+                if held is not None and held[0] != part:
+                    raise RuntimeError(f"document {held[1]} has no successor in its range")
                 text = zlib.decompress(packed).decode()
                 hashes, positions = winnow(text)
                 if role == 2:
@@ -163,6 +179,8 @@ def successors(docs: DataFrame) -> DataFrame:
                 if weight > 1 << 22:
                     yield flushed()
                     weight = 0
+        if held is not None:
+            raise RuntimeError(f"document {held[1]} has no successor in its range")
         if out:
             yield flushed()
 

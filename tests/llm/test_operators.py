@@ -253,6 +253,21 @@ def test_winnowing(spark, odd):
     assert sum(map(len, got.values())) == len(rows)
 
 
+def test_winnowing_of_large_ids(spark):
+    """Ids that a double can't hold, over several ranges."""
+    import random
+
+    rng = random.Random(8)
+    ids = {rng.randint(-(1 << 63), (1 << 63) - 1) for _ in range(2500)} | set(range((1 << 63) - 1500, 1 << 63))
+    rows = [(i, f"text number {i} of some words") for i in sorted(ids)]
+    got = by_id(winnowing.successors(spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string")))
+    assert len(got) == len(rows)
+    for at, (i, t) in enumerate(rows):
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + rows[(at + 1) % len(rows)][1][:cut]
+        assert [v[1] for v in got[i]] == [hashlib.sha256(edited.encode()).hexdigest()], i
+
+
 def test_winnow_is_the_definition():
     import random
 
