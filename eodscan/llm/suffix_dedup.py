@@ -16,7 +16,7 @@ intervals of suffixes with SPAN bytes in common, and no suffix was sorted anew.
 earliest are repeats.
 
 Edge cases: null text is empty. A null doc_id precedes all others. Rows with the same doc_id and text are one
-document: they get the same result. Texts below SPAN bytes lose nothing. Extra columns are ignored.
+document: they get the same result. Different texts of one doc_id (null too) follow each other by a hash. Texts below SPAN bytes lose nothing. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -230,19 +230,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     copies = placed.filter(again | (F.col("doc") > F.col("first"))).select("doc", _low().alias("lo"), _high().alias("hi"))
     different = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     open_ = placed.filter(~again & (F.col("doc") == F.col("first"))).join(different, "h", "left_semi")
-    return copies.unionByName(merge(docs, open_.select("h", "doc", "at").distinct()))
+    return copies.unionByName(merge(pieces(docs, open_.select("h", "doc", "at").distinct())))
 
 
-def merge(docs: DataFrame, open_: DataFrame) -> DataFrame:
-    """doc, lo, hi for the segments (h, doc, at), whose contents differ."""
+def pieces(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """The segments (h, doc, at) with their bytes."""
     wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
     texts = docs.join(wanted.hint("merge"), "doc")
 
     def cut(batches):
+        last = None
         for batch in batches:
             rows = [[] for _ in range(4)]
             for doc, text, own in zip(*(batch.column(k) for k in ("doc", "text", "wanted"))):
                 data, doc = text.as_buffer(), doc.as_py()
+                if doc == last:
+                    continue  # a repeated row
+                last = doc
                 data = memoryview(data) if data is not None else memoryview(b"")
                 for one in own.as_py():
                     pos, before, reach = one["at"] >> 17, one["at"] >> 9 & 255, one["at"] >> 1 & 255
@@ -253,6 +257,14 @@ def merge(docs: DataFrame, open_: DataFrame) -> DataFrame:
                 [*(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())], names=["h", "doc", "at", "bytes"]
             )
 
+    return texts.select("doc", F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(
+        cut, "h long, doc long, at long, bytes binary"
+    )
+
+
+def merge(cut: DataFrame) -> DataFrame:
+    """doc, lo, hi for pieces whose contents differ."""
+
     def resolve(batches):
         held: list[tuple] = []
         weight = 0
@@ -267,6 +279,7 @@ def merge(docs: DataFrame, open_: DataFrame) -> DataFrame:
             yield resolved(held)
 
     def resolved(held):
+        held = list({row[:3]: row for row in held}.values())  # repeated rows may lie in several tasks
         held.sort(key=lambda row: (row[1], row[2] >> 17))
         strings = np.array([(row[2] >> 1 & 255) + 1 for row in held], dtype=np.int64)
         begin = np.cumsum([0, *(len(row[3]) for row in held)])
@@ -285,23 +298,34 @@ def merge(docs: DataFrame, open_: DataFrame) -> DataFrame:
                 a = end
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs_, lows, highs)], names=["doc", "lo", "hi"])
 
-    pieces = texts.select("doc", F.col("text").cast("binary").alias("text"), "wanted").mapInArrow(
-        cut, "h long, doc long, at long, bytes binary"
-    )
-    dealt = pieces.repartition("h").sortWithinPartitions("h")
+    dealt = cut.repartition("h").sortWithinPartitions("h")
     return dealt.mapInArrow(resolve, "doc long, lo long, hi long")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc, doc_id, text of every row; doc is one number for each document (doc_id and text), in their order.
+
+    It is the doc_id, unless one stands with different texts: then all documents are numbered anew."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "doc_id", text.alias("text"))
+    known = rows.select("doc", "doc_id", F.xxhash64("text").alias("th")).distinct()
+    if known.groupBy("doc").count().filter("count > 1").isEmpty():
+        return rows
+    # ascending over the sorted partitions
+    number = F.monotonically_increasing_id().alias("doc")
+    order = [F.col("doc_id").cast("long").asc_nulls_first(), "th"]
+    numbers = common.stored(known.orderBy(*order).select(F.col("doc_id").alias("own_id"), F.col("th").alias("own_th"), number), "numbers")
+    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))
+    return rows.drop("doc").withColumn("th", F.xxhash64("text")).join(numbers, same).select("doc", "doc_id", "text")
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text) with kept_text (bytes) and the counts of the query."""
-    keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")
-    )
+    keyed = numbered(docs)
     # not stored: this join and the one in merge() then share one exchange of the texts
-    runs = repeats(keyed).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    own_id = F.when(F.col("doc") != NO_ID, F.col("doc")).cast(docs.schema["doc_id"].dataType)
+    runs = repeats(keyed).groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     joined = keyed.join(runs.hint("merge"), "doc", "left").select(
-        own_id.alias("doc_id"), F.col("text").cast("binary").alias("text"), "runs"
+        "doc_id", F.col("text").cast("binary").alias("text"), "runs"
     )
 
     def cut(batches):

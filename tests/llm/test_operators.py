@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from eodscan.llm import common, decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, pii, toxicity, winnowing
+from eodscan.llm import common, decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, pii, suffix_dedup, toxicity, winnowing
 from eodscan.llm.queries import QUERIES
 
 from . import brute
@@ -59,6 +59,34 @@ def test_suffix_dedup(spark, odd):
     assert sum(map(len, got.values())) == len(rows)
 
 
+def different_contexts(n):
+    """Texts that share a passage, each within words of its own."""
+    import random
+
+    rng = random.Random(6)
+    words = lambda k: " ".join(f"{rng.randrange(10**9):x}" for _ in range(k))
+    passage = words(40)
+    return [f"{words(30)} {passage} {words(30)}" for _ in range(n)]
+
+
+def test_suffix_dedup_of_repeated_rows(spark):
+    """Repeated rows, rows without an id and different texts of one id whose anchors have different contents."""
+    texts = different_contexts(9)
+    rows = [(i, t) for i, t in enumerate(texts[:4])] + [(7, t) for t in texts[4:6]]
+    docs = spark.createDataFrame([*rows, *rows, *[(None, t) for t in [*texts[6:], texts[6]]]], "doc_id long, text string")
+    got = {}
+    for r in suffix_dedup.removed(docs).collect():
+        got.setdefault((r.doc_id, r.n_bytes, r.kept_sha256), []).append(bytes(r.kept_text).decode())
+    kept = [t for v in got.values() for t in v]
+    whole = {t for t in texts if t in kept}
+    assert len(whole) == 1 and whole < set(texts[6:]) and len(kept) == 16
+    for t in set(texts) - whole:  # the words around the passage stay
+        assert [k for k in kept if t.startswith(k[:150]) and t.endswith(k[-150:]) and len(k) < len(t)], t
+    twice = [(i, t) for i, t in rows[:4] for _ in range(2)]
+    got = by_id(suffix_dedup.removed(spark.createDataFrame(twice, "doc_id long, text string")).drop("kept_text"))
+    assert {i: set(v) for i, v in got.items()} == {i: {v} for i, v in brute.long_repeats(rows[:4]).items()}
+
+
 def test_language_id(spark, odd):
     path, rows, _ = odd
     got = by_id(QUERIES["op3_language_id"](spark, path))
