@@ -6,7 +6,9 @@ and every string belongs to one anchor. Consecutive strings of one anchor form a
 occurs once hold nothing repeated. Of equal segments all but the first are repeats as a whole, found by
 aggregation and an equi-join, so any number of copies is cheap.
 
-What is left are anchors with different segments. These are dealt out by anchor; a task takes the segments of
+What is left are anchors with different segments. Strings of an anchor with more than MANY of them (the border of a
+passage that many documents hold) are dealt out one by one, by the anchor's place in the string and content, and
+all but the first of each are repeats; so no group grows with the corpus. The others are dealt out by anchor; a task takes the segments of
 some anchors at a time, builds the Burrows-Wheeler transforms of two shards of them, and merges the
 transforms: the interleave of the shards starts as one after the other and is refined by a stable partition on the
 transformed symbols, which after k rounds has the suffixes of both shards sorted by k letters. Block borders
@@ -35,6 +37,7 @@ GRAM = 32
 WINDOW = SPAN - GRAM + 1
 LETTER = 10  # bytes; SPAN is a multiple
 CHUNK_BYTES = 1 << 19  # of segments merged at once (one anchor's segments stay together)
+MANY = CHUNK_BYTES // (SPAN + WINDOW)  # segments of one anchor, beyond which its strings are dealt out one by one
 NO_ID = -(1 << 63)
 
 # ---------------------------------------------------------------- segments
@@ -228,9 +231,32 @@ def repeats(docs: DataFrame) -> DataFrame:
     placed = common.stored(seen.join(firsts, ["h", "c"]), "placed")
     again = F.col("at").bitwiseAND(1) == 1
     copies = placed.filter(again | (F.col("doc") > F.col("first"))).select("doc", _low().alias("lo"), _high().alias("hi"))
-    different = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    open_ = placed.filter(~again & (F.col("doc") == F.col("first"))).join(different, "h", "left_semi")
-    return copies.unionByName(merge(pieces(docs, open_.select("h", "doc", "at").distinct())))
+    different = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    different = common.stored(different, "different")
+    open_ = placed.filter(~again & (F.col("doc") == F.col("first")))
+    few, many = different.filter(F.col("n") <= MANY).select("h"), different.filter(F.col("n") > MANY).select("h")
+    found = copies.unionByName(merge(pieces(docs, open_.join(few, "h", "left_semi").select("h", "doc", "at").distinct())))
+    if many.isEmpty():
+        return found
+    return found.unionByName(by_string(pieces(docs, open_.join(many, "h", "left_semi").select("h", "doc", "at").distinct())))
+
+
+def by_string(cut: DataFrame) -> DataFrame:
+    """doc, lo, hi for pieces of anchors with many contents. Equal strings have equal anchors at the same place, so the
+    strings are dealt out by anchor, place of the anchor and content, and no group is held in memory."""
+    reach = F.shiftright("at", 1).bitwiseAND(255).cast("int")
+    each = cut.select("h", "doc", "at", "bytes", F.explode(F.sequence(F.lit(0), reach)).alias("i"))
+    strings = each.select(
+        "h",
+        (F.shiftright("at", 9).bitwiseAND(255) - F.col("i")).cast("short").alias("before"),
+        F.xxhash64(F.expr(f"substring(bytes, i + 1, {SPAN})")).alias("s"),
+        F.struct("doc", (_low() + F.col("i")).alias("start")).alias("place"),
+    )
+    strings = common.stored(strings, "strings")
+    key = ["h", "before", "s"]
+    firsts = strings.groupBy(*key).agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = strings.join(firsts, key).filter(F.col("place") > F.col("first"))
+    return later.select("place.doc", F.col("place.start").alias("lo"), F.col("place.start").alias("hi"))
 
 
 def pieces(docs: DataFrame, open_: DataFrame) -> DataFrame:

@@ -87,6 +87,19 @@ def test_suffix_dedup_of_repeated_rows(spark):
     assert {i: set(v) for i, v in got.items()} == {i: {v} for i, v in brute.long_repeats(rows[:4]).items()}
 
 
+def test_suffix_dedup_of_anchors_with_many_contents(spark, monkeypatch):
+    """No group of segments to merge has more than MANY of one anchor."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 5)
+    merged = []
+    whole = suffix_dedup.merge
+    monkeypatch.setattr(suffix_dedup, "merge", lambda cut: merged.append(cut) or whole(cut))
+    texts = different_contexts(40)
+    rows = [*enumerate(texts), (90, texts[3][100:330]), (91, texts[5][60:] + texts[5][20:])]
+    got = by_id(suffix_dedup.removed(spark.createDataFrame(rows, "doc_id long, text string")).drop("kept_text"))
+    assert {i: v[0] for i, v in got.items()} == brute.long_repeats(rows)
+    assert all(r["count"] <= 5 for r in merged[0].groupBy("h").count().collect())
+
+
 def test_language_id(spark, odd):
     path, rows, _ = odd
     got = by_id(QUERIES["op3_language_id"](spark, path))
