@@ -6,7 +6,8 @@ document, template and diagonal, diagonals at most BAND apart are merged into on
 covers enough of the template and its words, compared exactly, hold enough of the template's words.
 Short phrases that name a license are found in every text besides (base labels).
 
-The templates are a fixed list in this module, so their table is of fixed size and is broadcast.
+The templates are fixed: notices in this module, of which the short ones count only as a whole, and whole license
+texts beside it, in parts of PART words. So their table is of fixed size and is broadcast.
 
 Edge cases: null or empty text has 0 words and no label. Rows that share a doc_id (null ids too) share the
 template labels found in any of them. Repeated places are all counted. Extra columns are ignored.
@@ -15,6 +16,7 @@ template labels found in any of them. Repeated places are all counted. Extra col
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ from . import common
 
 GRAM = 4
 BAND = 3
-COVERAGE = 0.5  # of a template's grams
+COVERAGE = 0.5  # of a template's grams; of a short notice's all
 WORDS_SHARED = 0.7  # of a template's distinct words
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,6 +56,26 @@ TEMPLATES = {
 }
 
 
+# Whole texts (files LABEL-VERSION.txt), in parts; a part that mostly stands in a text listed earlier keeps that one's label.
+TEXTS = ["mit-1", "isc-1", "bsd-3", "apache-2.0", "gpl-3", "gpl-2", "gpl-1", "lgpl-3", "lgpl-2.1", "lgpl-2", "mpl-2.0", "mpl-1.1", "cc0-1.0"]
+PART = 50  # words
+# Short notices, which differ by a word; they count only as a whole.
+NOTICES = {
+    "lgpl": [f"under the terms of the GNU {kind} General Public License" for kind in ("Lesser", "Library")],
+    "agpl": ["under the terms of the GNU Affero General Public License", "licensed under the GNU Affero General Public License"],
+    "isc": ["Licensed under the ISC License", "Released under the ISC License"],
+    "bsd": [f"{verb} under the {kind}BSD License" for verb in ("Licensed", "Released") for kind in ("", "2-Clause ", "3-Clause ", "New ", "Simplified ")],
+}
+CC = {"by": "Attribution", "nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+for _kind in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd"):
+    _name = "-".join(CC[k] for k in _kind.split("-"))
+    NOTICES[f"cc-{_kind}"] = [
+        notice
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0")
+        for notice in (f"under CC {_kind} {version}", f"under a CC {_kind} {version}", f"Creative Commons {_name} {version}")
+    ] + [f"creativecommons.org/licenses/{_kind}/{version}" for version in ("1.0", "2.0", "2.5", "3.0", "4.0")]
+
+
 def template_words(text: str) -> list[str]:
     return [w for w in re.split(SEPARATOR, text.lower()) if w]
 
@@ -68,21 +90,35 @@ def grams(own: Column, gram: int = GRAM) -> Column:
     return F.transform(at, lambda i: F.xxhash64(*[F.get(own, i + j) for j in range(gram)]))
 
 
+def listed() -> list[tuple[str, str, float, list[str]]]:
+    """template, label, needed coverage, words."""
+    rows = [(label, COVERAGE, template_words(text)) for label, texts in TEMPLATES.items() for text in texts]
+    rows += [(label, 1.0, template_words(text)) for label, texts in NOTICES.items() for text in texts]
+    seen: dict[tuple, str] = {}
+    for name in TEXTS:
+        label = name.rsplit("-", 1)[0]
+        whole = template_words((Path(__file__).parent / "licenses" / f"{name}.txt").read_text())
+        starts = range(0, max(1, len(whole) - PART // 2), PART)
+        for start in starts:
+            part = whole[start:] if start == starts[-1] else whole[start : start + PART]
+            runs = [tuple(part[i : i + GRAM]) for i in range(len(part) - GRAM + 1)]
+            if sum(run in seen for run in runs) < COVERAGE * len(runs):
+                rows.append((label, COVERAGE, part))
+        for i in range(len(whole) - GRAM + 1):
+            seen.setdefault(tuple(whole[i : i + GRAM]), label)
+    return [(f"{label}-{nth}", label, need, part) for nth, (label, need, part) in enumerate(rows)]
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """template, label, whole (its words), h, at: a row per gram position."""
-    rows = [
-        (f"{label}-{nth}", label, template_words(text))
-        for label, texts in TEMPLATES.items()
-        for nth, text in enumerate(texts)
-    ]
-    listed = spark.createDataFrame(rows, "template string, label string, whole array<string>")
-    return listed.select("template", "label", "whole", F.posexplode(grams(F.col("whole"))).alias("at", "h"))
+    """template, label, need, whole (its words), h, at: a row per gram position."""
+    known = spark.createDataFrame(listed(), "template string, label string, need double, whole array<string>")
+    return known.select("template", "label", "need", "whole", F.posexplode(grams(F.col("whole"))).alias("at", "h"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc, label, template, first, end (words), score of every verified span."""
     known = templates(docs.sparkSession)
-    sizes = known.groupBy("template").agg(F.count("*").alias("n_grams"))
+    sizes = known.groupBy("template", "need").agg(F.count("*").alias("n_grams"))
     texts = docs.select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("own"))
     rolled = texts.select("doc", F.posexplode(grams(F.col("own"))).alias("pos", "h"))
     hits = rolled.join(F.broadcast(known.select("template", "h", "at")), "h")
@@ -101,7 +137,7 @@ def spans(docs: DataFrame) -> DataFrame:
             F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("covered"),
         )
         .join(F.broadcast(sizes), "template")
-        .filter(F.col("covered") >= COVERAGE * F.col("n_grams"))
+        .filter(F.col("covered") >= F.col("need") * F.col("n_grams"))
     )
     wholes = known.select("template", "label", F.array_distinct("whole").alias("whole")).distinct()
     found = common.stored(merged, "spans")

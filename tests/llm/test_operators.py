@@ -222,6 +222,25 @@ def test_license_templates(spark):
     assert [got[i][0][5] for i in (1, 2, 3, 4)] == ["mit", "mit", "", "mit"]
 
 
+def test_license_texts_and_notices(spark):
+    """Passages from the middle of license texts, and short notices that differ by a word."""
+    from pathlib import Path
+
+    def middle(name):
+        own = (Path(license_scan.__file__).parent / "licenses" / f"{name}.txt").read_text().split()
+        return " ".join(own[len(own) // 2 : len(own) // 2 + 120])
+
+    want = {"apache-2.0": "apache", "gpl-3": "gpl", "gpl-2": "gpl", "lgpl-2.1": "lgpl", "mpl-2.0": "mpl", "bsd-3": "bsd", "isc-1": "isc", "mit-1": "mit"}
+    rows = [(f"some words {middle(name)} and more", label) for name, label in want.items()]
+    rows += [(f"Licensed under CC {kind.upper()} 4.0.", f"cc-{kind}") for kind in ("by", "by-nc", "by-nc-sa", "by-nc-nd", "by-sa", "by-nd")]
+    rows += [("Licensed under CC terms, by 4.0 words", ""), ("See the notice above", "")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = by_id(license_scan.scan(docs))
+    for i, (text, label) in enumerate(rows):
+        assert label in got[i][0][5].split(","), (text, got[i])
+    assert all(got[i][0][5] == label for i, (_, label) in enumerate(rows) if i >= len(want))
+
+
 def test_decontamination(spark, odd):
     path, rows, items = odd
     got = {(r.doc_id, r.item_id) for r in QUERIES["op7_decontamination"](spark, path).collect()}
