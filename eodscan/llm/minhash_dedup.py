@@ -136,10 +136,13 @@ def families(nodes: DataFrame) -> DataFrame:
     """node, label (of its family), shares (table keys it has in common with others); members of families of two or more."""
     keys = common.stored(table_keys(nodes), "keys")
     met = keys.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).filter("c > 1").select("key", "head")
-    shared = common.stored(keys.join(met, "key").groupBy("node", "head").agg(F.count("*").alias("shares")), "shared")
-    weight = shared.groupBy("node").agg(F.sum("shares").alias("shares"))
-    labels = groups(shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")))
-    return common.stored(labels.join(weight, "node"), "families")
+    shared = keys.join(met, "key").groupBy("node", "head").agg(F.count("*").alias("shares"))
+    # all heads of a node meet in its smallest one: many nodes of a dense family then give the same few links
+    stars = shared.groupBy("node").agg(F.sum("shares").alias("shares"), F.min("head").alias("a"), F.collect_set("head").alias("heads"))
+    stars = common.stored(stars, "stars")
+    among = stars.select("a", F.explode("heads").alias("b")).unionByName(stars.select("a", F.col("node").alias("b")))
+    labels = groups(common.stored(among.filter("a <> b").distinct(), "links"))
+    return common.stored(labels.join(stars.select("node", "shares"), "node"), "families")
 
 
 def family_sets(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
