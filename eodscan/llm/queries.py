@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, minhash_dedup, packing, pii, suffix_dedup, toxicity, whitening, winnowing
+from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, minhash_dedup, packing, phrase_mining, pii, suffix_dedup, toxicity, whitening, winnowing
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_winnowing": winnowing.query,
     "op10_pii": pii.query,
+    "op11_phrase_mining": phrase_mining.query,
     "op12_minhash_dedup": minhash_dedup.query,
     "op13_whitening": whitening.query,
 }
 
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
+    "op11_phrase_mining": phrase_mining.SQL,
 }
