@@ -16,9 +16,9 @@ def shingles(text, k=5):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def components(rows):
+def components(rows, k=5, num=75):
     """{doc_id: (n_shingles, component)} for distinct (doc_id, text)."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, k) for i, t in rows}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -30,7 +30,7 @@ def components(rows):
     for at, i in enumerate(ids):
         for j in ids[:at]:
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+            if both and 100 * both >= num * len(sets[i] | sets[j]):
                 a, b = root(i), root(j)
                 parent[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), root(i)) for i in ids}
@@ -125,3 +125,31 @@ def license_base(text):
     places = [i for i, _ in found]
     labels = sorted({label for _, label in found})
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(labels)
+
+
+def collocations(rows, least, longest, top):
+    """Rows (lang, rank, phrase, a, l, r, n, score) for (text, lang)."""
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + k])) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    often = {key: a for key, a in f.items() if a >= least and len(key[1]) > 1}
+    inside = Counter()
+    for (lang, p), a in often.items():
+        for k in range(2, len(p)):
+            for i in range(len(p) - k + 1):
+                inside[lang, p[i : i + k]] = max(inside[lang, p[i : i + k]], a)
+    out = []
+    for lang in n:
+        found = []
+        for (own, p), a in often.items():
+            if own == lang and inside[own, p] < a:
+                cuts = [(1000 * a * n[lang] // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p))]
+                score, k = min(cuts)
+                found.append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n[lang], -score))
+    return sorted(out)

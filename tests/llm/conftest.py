@@ -49,6 +49,14 @@ def odd_rows():
     return rows, [(1, item), (2, ""), (3, None), (4, "one two three"), (5, item)]
 
 
+def odd_vectors():
+    """(vec_id, vector): usable ones, repeated ones, and every kind that is dropped."""
+    rng = random.Random(11)
+    rows = [(i, [rng.gauss(0, 1 + j) for j in range(6)] + [0.25]) for i in range(40)]
+    bad = [None, [], [1.0, 2.0], [None] * 7, [float("nan")] + [0.0] * 6, [float("inf")] * 7, [0.0] * 6 + [float("-inf")]]
+    return rows + [rows[0], rows[0], (None, rows[1][1])] + [(100 + i, v) for i, v in enumerate(bad)]
+
+
 DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
@@ -64,6 +72,9 @@ def write_tables(spark, path, rows, items):
     labels += [(3, None, None), (4, 0, None), (None, 1, 1)] if rows else []
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    vectors = odd_vectors() if rows else []
+    kind = "vec_id long, embedding array<float>, label int, v string, component int, n long, task long"
+    spark.createDataFrame([(*r, None, "x", 1, 2, 3) for r in vectors], kind).repartition(3).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
