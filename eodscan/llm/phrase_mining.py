@@ -23,6 +23,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,6 +37,7 @@ LONGEST = 5
 TOP = 2000  # of each language
 WORD_BYTES = 32_000_000
 TRIE_NODES = 4_000_000
+SLICE = 1 << 18  # places of text worked on at once
 HELD = 1 << 20  # distinct next candidates that a task holds before it gives them out
 
 BREAKS = r"[.,;:!?\x0A-\x0D]"
@@ -222,6 +225,27 @@ def _by_join(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- phrases
 
 
+def run_slices(batches) -> Iterator[np.ndarray]:
+    """The runs of several rows, or a part of a long row, of about SLICE places; -1 stands between runs."""
+    for batch in batches:
+        column = batch.column("ids")
+        sizes = column.value_lengths().to_numpy().astype(np.int64)
+        values, ends = column.flatten().to_numpy(), np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            begin = ends[first] - sizes[first]
+            last = max(first + 1, int(np.searchsorted(ends, begin + SLICE, side="right")))
+            own = sizes[first:last]
+            ids = np.full(int(own.sum()) + len(own), -1, dtype=np.int64)
+            ids[np.arange(int(own.sum())) + np.repeat(np.arange(len(own)), own)] = values[begin : ends[last - 1]]
+            while len(ids) > 2 * SLICE:
+                cut = np.flatnonzero(ids[SLICE:] == -1)[0] + SLICE + 1
+                yield ids[:cut]
+                ids = ids[cut:]
+            yield ids
+            first = last
+
+
 def trie_pass(runs: DataFrame, trie: DoubleArray, length: int, entries: int) -> DataFrame:
     """Stored rows of a pass: (entry, null, count) of each candidate of `length` words, and (entry, last word, count) of
     the words that follow it where the candidate at the next place stands too."""
@@ -241,11 +265,7 @@ def trie_pass(runs: DataFrame, trie: DoubleArray, length: int, entries: int) ->
                 names=["entry", "last", "c"],
             )
 
-        for batch in batches:
-            column = batch.column("ids")
-            sizes = column.value_lengths().to_numpy()
-            ids = np.full(int(sizes.sum()) + len(sizes), -1, dtype=np.int64)  # rows are parted by -1 too
-            ids[np.arange(int(sizes.sum())) + np.repeat(np.arange(len(sizes)), sizes)] = column.flatten().to_numpy()
+        for ids in run_slices(batches):
             state = ids
             for level in range(1, length):
                 state = trie.step(state[:-1], ids[level:])

@@ -37,6 +37,7 @@ def test_phrase_mining(spark, monkeypatch, way):
     """The tries, and the ways beyond their size."""
     monkeypatch.setattr(phrase_mining, "MIN", 6)
     monkeypatch.setattr(phrase_mining, "HELD", 4)
+    monkeypatch.setattr(phrase_mining, "SLICE", 9)
     if way == "join":
         monkeypatch.setattr(phrase_mining, "WORD_BYTES", 5)
     if way == "shuffle":
