@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .jaccard_join import groups
+from .graph import groups
 
 WORDS = 4
 NUM, DEN = 80, 100  # similarity at least NUM / DEN
@@ -200,27 +200,18 @@ def forest(nodes: np.ndarray, values: np.ndarray, sizes: np.ndarray, others: np.
     group = np.full(count, -1) if same is None else same
     if others is None and same is None:
         return _searched(nodes, sizes, code, begins, marked, open_, links)
-    # union-find over the given groups; a pair is compared only while its groups differ
-    root = waiting.copy()
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    # a pair is compared only while the groups of its nodes differ
+    top = np.arange(count)
     known: dict[int, int] = {}
     for i in np.flatnonzero(group >= 0):
-        root[i] = known.setdefault(int(group[i]), i)
+        top[i] = known.setdefault(int(group[i]), i)
     for x in np.flatnonzero(active):
-        top = np.array([find(i) for i in waiting])
         rest = np.flatnonzero((top != top[x]) & (~active | (waiting > x)) & _sizes_fit(sizes, sizes[x]))
         if not len(rest):
             continue
         for y in rest[_linked_to(x, rest, sizes, code, begins, marked)]:
-            a, b = find(x), find(y)
-            if a != b:
-                root[max(a, b)] = min(a, b)
+            if top[x] != top[y]:
+                top[top == top[y]] = top[x]
                 links.append((nodes[x], nodes[y]))
     return links
 
