@@ -1,29 +1,33 @@
 """Exact n-gram Jaccard join and its connected groups, as a metric-space join.
 
 Jaccard distance is a metric, but texts that share no shingle all lie at distance 1, where the triangle
-inequality says nothing. So the space is first cut by what texts share, without losing a link: of two sets with
-similarity s or more, the first n - ceil(s n) + 1 shingles in any fixed total order have one in common. Each
-such shingle is a bucket. The order puts shingles that a count sketch of the whole corpus shows as frequent
-last, so passages that many texts share hardly make buckets; the sketch decides cost only, never results.
-
-Inside the buckets the join works by pivots. A document that meets many others is a bucket's pivot, exact distances to
-it are computed, and with e = 1 - s: documents within e of the pivot form its region and need no comparison among
-each other, since they are linked through it; documents further than 2e can't link to that region; between, a
-document y is held only against those x of the region with d(x, pivot) >= d(y, pivot) - e. What is
-open is joined again, round by round: members of other groups than a bucket's largest become pivots (PIVOTS at
-a time) and meet the members of other groups whose distance to the first pivot differs by at most e. A
-pivot is settled, a bucket of one group too. From the third round on buckets that share
-documents are one where that is less work. A pair is compared once, whatever the number of its buckets.
+inequality says nothing. So the space is first cut into what can be connected at all, without losing a link: of two
+sets with similarity s or more, the first n - ceil(s n) + 1 shingles in any fixed total order have one in common.
+Documents that share such a shingle, directly or through others, are a region. The order puts shingles that a count
+sketch of the whole corpus shows as frequent last, so a passage that many texts share hardly joins them; the sketch
+decides cost only, never results.
+
+A region is joined recursively, with e = 1 - s. Pivots far from each other are chosen and exact distances to them are
+computed; a document within e of a pivot is linked to it and needs no comparison with the others there. Every document
+belongs to its nearest pivot's region. Of a linked pair x, y with nearest pivots p, q the triangle inequality
+gives d(y, p) <= d(y, q) + 2 e, so a document is also replicated, as a guest, to every region whose pivot is at most
+2 e farther than its own. Guests outside the window of the region's own distances, less and plus e, are dropped.
+Regions are joined in turn: members of one group are not compared again, small regions are compared directly, and so
+are those that do not get smaller (where all distances to pivots are alike the inequality excludes nothing).
+
+Regions of up to REGION shingles are joined inside a task, several in one. Larger ones, which may hold a third of all
+documents, are split by the same rule as a Spark job, round by round. What does not shrink is dealt out as pairs
+of blocks of about BLOCK shingles. Tasks give back links that join their groups, fewer than documents, not pairs.
 
 Equal sets are one class from the start. Shingles are 64-bit hashes, equal sets have equal 128-bit digests.
 
 Edge cases: null text, or text without words: 0 shingles, linked with nothing. A null doc_id has a null component and
-takes no part. Rows with the same doc_id are one node. Extra columns are ignored.
+takes no part. Rows that share a doc_id are judged by their own text each; repeated rows come out as often as they
+stand. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -32,14 +36,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .graph import groups
+from .minhash_dedup import _by_label, _edges, _unpacked, digest, family_sets
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity at least NUM / DEN
 SKETCH_LOG2 = 20  # counters
-PARITY_LOG2 = 11, 24  # least and most bits of a set's parity map; in between about as many as elements
-SALTS = 64  # parts of a frequent shingle's rows while rows are counted
+SALTS = 64  # parts of a frequent shingle's rows, and of a large region's
 SLICE = 1 << 16
-PIVOTS = 8, 256  # of a bucket in the second round, and in each later one
+REGION = 1 << 21  # shingles of a region that one task joins
+BLOCK = 1 << 20  # shingles of a block of a region that pivots don't make smaller
+PIVOTS = 8  # of a large region in a round
+DIRECT = 48  # documents of a region that are compared directly
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; above it a shuffled join
 
 EPS = 1 - NUM / DEN
@@ -47,7 +55,7 @@ SLACK = 1e-9
 
 
 def overview(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Stored rows: (doc_id, n, k1, k2) of each document, and slices of each task's count sketch."""
+    """Stored rows: (row, doc_id, n, k1, k2) of each document, and slices of each task's count sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind, pa.int64())
     size = 1 << SKETCH_LOG2
@@ -57,13 +65,11 @@ def overview(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for batch in batches:
             n = np.zeros(batch.num_rows, dtype=np.int64)
             keys = np.zeros((batch.num_rows, 2), dtype=np.int64)
-            maps = [np.zeros(0, np.int64)] * batch.num_rows
             pending, held = [], 0
             for row, own in common.shingle_sets(batch.column("text"), words):
                 n[row] = len(own)
                 if len(own):
-                    keys[row] = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
-                    maps[row] = parity_map(own)
+                    keys[row] = digest(own)
                     pending.append(own)
                     held += len(own)
                     if held > 1 << 18:
@@ -72,29 +78,20 @@ def overview(docs: DataFrame, words: int = WORDS) -> DataFrame:
             if pending:
                 np.add.at(sketch, (np.concatenate(pending) >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in maps])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *none], names=names
+                [batch.column("doc_id"), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *none], names=names
             )
         for nth in range(size // SLICE):
             part = sketch[nth * SLICE : (nth + 1) * SLICE]
             if part.any():
-                none = pa.nulls(1, arrow_kind), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, pa.list_(pa.int64()))
+                none = pa.nulls(1, arrow_kind), *(pa.nulls(1, pa.int64()) for _ in range(3))
                 packed = zlib.compress(part.astype("<u8").tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([*none, pa.array([nth], pa.int32()), pa.array([packed])], names=names)
 
-    names = ["doc_id", "n", "k1", "k2", "parity", "slice", "counts"]
-    schema = f"doc_id {kind}, n long, k1 long, k2 long, parity array<bigint>, slice int, counts binary"
-    return common.stored(docs.select("doc_id", "text").mapInArrow(scan, schema), "overview")
-
-
-def parity_map(own: np.ndarray) -> np.ndarray:
-    """Whether an odd number of shingles falls on each bit. Two maps differ in at most as many bits as the sets in
-    elements, so the maps bound the distance of the sets from below. A map folds in halves to one of half the size."""
-    bits = min(max(len(own).bit_length(), PARITY_LOG2[0]), PARITY_LOG2[1])
-    odd = np.bincount((own & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    names = ["doc_id", "n", "k1", "k2", "slice", "counts"]
+    schema = f"doc_id {kind}, n long, k1 long, k2 long, slice int, counts binary"
+    scanned = docs.select("doc_id", "text").mapInArrow(scan, schema)
+    return common.stored(scanned.select(F.monotonically_increasing_id().alias("row"), "*"), "overview")
 
 
 def frequency_classes(seen: DataFrame) -> np.ndarray:
@@ -139,24 +136,22 @@ def ordered_prefix(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np
 
 
 def postings(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFrame:
-    """h, doc, hot: the prefix of each document; a task gives that of equal sets once (while it remembers)."""
+    """h, k1, hot: the prefix of each document's set; a task gives that of equal sets once (while it remembers)."""
     shared = common.share(docs.sparkSession, classes)
 
     def emit(batches):
         classes, known = shared(), set()
         for batch in batches:
-            ids = batch.column("doc_id")
-            hashes, rows, hots, held = [], [], [], 0
+            hashes, sets, hots, held = [], [], [], 0
 
             def flush():
-                at = pa.array(np.concatenate(rows))
                 return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes).view(np.int64)), ids.take(at), pa.array(np.concatenate(hots))],
-                    names=["h", "doc", "hot"],
+                    [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(sets)), pa.array(np.concatenate(hots))],
+                    names=["h", "k1", "hot"],
                 )
 
-            for row, own in common.shingle_sets(batch.column("text"), words):
-                if not len(own) or (key := hash(own.tobytes())) in known:
+            for _, own in common.shingle_sets(batch.column("text"), words):
+                if not len(own) or (key := int(digest(own)[0])) in known:
                     continue
                 if len(known) > 200_000:
                     known.clear()
@@ -164,16 +159,15 @@ def postings(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFr
                 prefix, hot = ordered_prefix(own, classes)
                 hashes.append(prefix)
                 hots.append(hot)
-                rows.append(np.full(len(prefix), row, dtype=np.int32))
+                sets.append(np.full(len(prefix), key, dtype=np.int64))
                 held += len(prefix)
                 if held > 1 << 17:
                     yield flush()
-                    hashes, rows, hots, held = [], [], [], 0
+                    hashes, sets, hots, held = [], [], [], 0
             if hashes:
                 yield flush()
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(emit, f"h long, doc {kind}, hot boolean")
+    return docs.select("text").mapInArrow(emit, "h long, k1 long, hot boolean")
 
 
 def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -185,247 +179,211 @@ def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("llm_doc"), how)
 
 
-def shingles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc, own (array of shingle hashes) of each row."""
-
-    def run(batches):
-        for batch in batches:
-            rows, values, sizes, held = [], [], [], 0
-            for row, own in common.shingle_sets(batch.column("text"), words):
-                rows.append(row)
-                values.append(own.view(np.int64))
-                sizes.append(len(own))
-                held += len(own)
-                if held > 1 << 18:
-                    yield out(batch, rows, values, sizes)
-                    rows, values, sizes, held = [], [], [], 0
-            if rows:
-                yield out(batch, rows, values, sizes)
-
-    def out(batch, rows, values, sizes):
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int32())), lists], names=["doc", "own"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc {kind}, own array<bigint>")
-
-
-def compared(pairs: DataFrame, parity: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """pairs (a, b, na, nb) with differ (a lower bound of the number of elements in which they differ) and, if that
-    allows a link, common: the exact number of shared shingles."""
-    one = parity.select(F.col("doc").alias("a"), F.col("parity").alias("pa"))
-    other = parity.select(F.col("doc").alias("b"), F.col("parity").alias("pb"))
-    # sizes that allow a link give maps of one size or of twice the size
-    pa, pb = _folded("pa", F.size("pb")), _folded("pb", F.size("pa"))
-    bits = F.zip_with(pa, pb, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    bounded = pairs.join(other, "b").join(one, "a").select(
-        *pairs.columns, F.aggregate(bits, F.lit(0), lambda total, x: total + x).alias("differ")
-    )
-    bounded = common.stored(bounded, "bounded")
-    may = F.col("differ") * (DEN + NUM) <= (F.col("na") + F.col("nb")) * (DEN - NUM)
-    close = bounded.filter(may)
-    ids = common.stored(close.select(F.col("a").alias("doc")).union(close.select("b")).distinct(), "close")
-    sets = shingles(among(docs, ids), words).dropDuplicates(["doc"])
-    left = sets.select(F.col("doc").alias("a"), F.col("own").alias("own_a"))
-    right = sets.select(F.col("doc").alias("b"), F.col("own").alias("own_b"))
-    exact = close.join(right, "b").join(left, "a").select(
-        *bounded.columns, F.size(F.array_intersect("own_a", "own_b")).alias("common")
-    )
-    return exact.unionByName(bounded.filter(~may).withColumn("common", F.lit(None).cast("int")))
-
+def linked(common_, n, m):
+    return common_ * DEN >= (n + m - common_) * NUM
 
-def _folded(name: str, size):
-    whole, half = F.col(name), F.floor(F.size(name) / 2).cast("int")
-    folded = F.zip_with(F.slice(whole, 1, half), F.slice(whole, half + 1, half), lambda x, y: x.bitwiseXOR(y))
-    return F.when(F.size(name) > size, folded).otherwise(whole)
 
+def connected(posted: DataFrame) -> DataFrame:
+    """k1, region: sets that share a posted shingle, directly or through others, in regions of two or more."""
+    # frequent shingles are cut into parts, which meet in their smallest members
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k1"), F.lit(SALTS)) + 1).otherwise(0)
+    part = Window.partitionBy("h", salt)
+    placed = posted.withColumns({"a": F.min("k1").over(part), "most": F.max("k1").over(part)})
+    placed = common.stored(placed.filter("hot or a <> most").select("h", "hot", "a", F.col("k1").alias("b")), "shared")
+    links = placed.filter("a <> b").select("a", "b").distinct()
+    heads = placed.filter("hot").select("h", F.col("a").alias("b")).distinct()
+    least = heads.groupBy("h").agg(F.min("b").alias("a"))
+    between = heads.join(least, "h").filter("a <> b").select("a", "b").distinct()
+    # all heads of a set meet in the smallest one, which leaves few different links in a dense place
+    stars = links.unionByName(between).groupBy("b").agg(F.min("a").alias("head"), F.collect_set("a").alias("heads"))
+    stars = common.stored(stars, "stars")
+    met = stars.select(F.col("head").alias("a"), F.explode("heads").alias("b")).unionByName(stars.select(F.col("head").alias("a"), "b"))
+    labels = groups(met.filter("a <> b").distinct())
+    return labels.select(F.col("node").alias("k1"), F.col("label").alias("region"))
+
+
+# ---------------------------------------------------------------- regions inside a task
+
+
+class Sets:
+    """The sets of a task's region: distances between them, and the groups found so far."""
+
+    def __init__(self, nodes: np.ndarray, values: np.ndarray, sizes: np.ndarray):
+        self.nodes, self.sizes, self.links = nodes, sizes, []
+        self.top = np.arange(len(nodes))
+        where = np.repeat(np.arange(len(nodes)), sizes)
+        _, code, times = np.unique(values, return_inverse=True, return_counts=True)
+        useful = times[code] > 1  # what stands in one set only is in no intersection
+        self.code = code[useful]
+        self.begins = np.searchsorted(where[useful], np.arange(len(nodes) + 1))
+        self.marked = np.zeros(len(times), dtype=bool)
+
+    def shared(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Numbers of elements that x has in common with each of the others."""
+        own = self.code[self.begins[x] : self.begins[x + 1]]
+        self.marked[own] = True
+        lengths = self.begins[others + 1] - self.begins[others]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[others] - (ends - lengths), lengths)
+        hits = np.concatenate([[0], np.cumsum(self.marked[self.code[at]])])
+        self.marked[own] = False
+        return hits[ends] - hits[ends - lengths]
+
+    def link(self, x: int, others: np.ndarray) -> None:
+        for y in others:
+            if self.top[x] != self.top[y]:
+                self.top[self.top == self.top[y]] = self.top[x]
+                self.links.append((self.nodes[x], self.nodes[y]))
+
+    def measure(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Distances of x to the others; what is linked to it joins its group."""
+        both, sizes = self.shared(x, others), self.sizes[others]
+        self.link(x, others[linked(both, sizes, self.sizes[x])])
+        return 1 - both / (sizes + self.sizes[x] - both)
+
+    def compare(self, members: np.ndarray, home: np.ndarray) -> None:
+        """Every home member against all members of other groups, each pair once."""
+        place = np.arange(len(members))
+        for at in np.flatnonzero(home):
+            x = members[at]
+            open_ = (self.top[members] != self.top[x]) & (~home | (place > at))
+            small, large = np.minimum(self.sizes[members], self.sizes[x]), np.maximum(self.sizes[members], self.sizes[x])
+            rest = members[open_ & (small * DEN >= large * NUM)]
+            if len(rest):
+                self.link(x, rest[linked(self.shared(x, rest), self.sizes[rest], self.sizes[x])])
+
+    def join(self, members: np.ndarray, home: np.ndarray) -> None:
+        """Links every home member with all members, region by region."""
+        if len(members) < 2 or not home.any() or len(np.unique(self.top[members])) < 2:
+            return
+        if len(members) <= DIRECT:
+            return self.compare(members, home)
+        count = min(16, max(2, len(members) // 16))
+        away = np.empty((count, len(members)))
+        pivot = int(np.flatnonzero(home)[0])
+        for k in range(count):  # each pivot is the home member farthest from those before it
+            away[k] = self.measure(members[pivot], members)
+            away[k, pivot] = 0
+            pivot = int(np.argmax(np.where(home, away[: k + 1].min(axis=0), -1)))
+        nearest, least = away.argmin(axis=0), away.min(axis=0)
+        parts, total = [], 0
+        for k in range(count):
+            own = home & (nearest == k)
+            if not own.any():
+                continue
+            low, high = away[k][own].min() - EPS - SLACK, away[k][own].max() + EPS + SLACK
+            guests = ~own & (away[k] - least <= 2 * EPS + SLACK) & (away[k] >= low) & (away[k] <= high)
+            inside = own | guests
+            if len(np.unique(self.top[members[inside]])) > 1:
+                parts.append((members[inside], own[inside]))
+                total += int(inside.sum())
+        if total > 2 * len(members) or any(len(m) > 0.8 * len(members) for m, _ in parts):
+            return self.compare(members, home)
+        for own_members, own_home in parts:
+            self.join(own_members, own_home)
+
+
+def joined_in_tasks(rows: DataFrame) -> DataFrame:
+    """a, b: links that join the groups of each region (region, node, own, home)."""
 
-def fits(n, m):
-    """Whether sizes allow a link."""
-    return F.least(n, m) * DEN >= F.greatest(n, m) * NUM
+    def run(batches):
+        for table in _by_label(batches, "region"):
+            home, links = table.column("home").to_numpy(), []
+            for at, nodes, values, sizes in _unpacked(table, "region"):
+                sets = Sets(nodes, values, sizes)
+                sets.join(np.arange(len(nodes)), home[at])
+                links += sets.links
+            yield _edges(links)
+
+    dealt = rows.select("region", "node", "own", "home").repartition("region").sortWithinPartitions("region")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+# ---------------------------------------------------------------- regions too large for a task
+
+
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round over large regions (region, node, n, own, home): the smaller regions with the size `before` of the
+    one they come from, and the links to pivots."""
+    order = Window.partitionBy("region").orderBy(F.xxhash64("node"), "node")
+    chosen = rows.filter("home").withColumn("llm_nth", F.row_number().over(order)).filter(F.col("llm_nth") <= PIVOTS)
+    pivots = chosen.groupBy("region").agg(F.collect_list(F.struct(F.col("node").alias("p"), F.col("own").alias("set"))).alias("pivots"))
+    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    met = salted.join(pivots, ["region", "salt"])
+    both = F.transform("pivots", lambda p: F.struct(p["p"].alias("p"), F.size(p["set"]).alias("m"), F.size(F.array_intersect("own", p["set"])).alias("c")))
+    met = met.select("region", "node", "n", "own", "home", "before", both.alias("to"))
+    away = F.transform("to", lambda t: 1 - t["c"] / (F.col("n") + t["m"] - t["c"]))
+    close = F.transform(F.filter("to", lambda t: linked(t["c"], F.col("n"), t["m"]) & (t["p"] != F.col("node"))), lambda t: t["p"])
+    met = common.stored(met.select("region", "node", "n", "own", "home", "before", away.alias("away"), close.alias("close")), "met")
+    links = met.select(F.explode("close").alias("a"), F.col("node").alias("b"))
+    nearest = met.withColumn("least", F.array_min("away")).withColumn("nearest", F.array_position("away", F.col("least")).cast("int") - 1)
+    at = F.sequence(F.lit(0), F.size("away") - 1)
+    goes = F.filter(at, lambda q: (F.get("away", q) - F.col("least") <= 2 * EPS + SLACK))
+    dealt = nearest.select("region", "node", "n", "own", "before", "home", "nearest", F.explode(goes).alias("q"))
+    dealt = dealt.select(
+        F.xxhash64("region", "q").alias("region"), "node", "n", "own", (F.col("home") & (F.col("q") == F.col("nearest"))).alias("home"), "before"
+    )
+    used = dealt.groupBy("region").agg(F.max("home").alias("used")).filter("used").select("region")
+    return dealt.join(used, "region", "left_semi"), links
 
 
-def linked(common_, n, m):
-    return common_ * DEN >= (n + m - common_) * NUM
+def by_blocks(rows: DataFrame) -> DataFrame:
+    """a, b: links of regions dealt out as pairs of blocks."""
+    blocks = rows.groupBy("region").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    own = rows.join(blocks, "region").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    pairs = own.select("region", "node", "own", "home", "block", other.alias("other"))
+    task = F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other"))
+    return joined_in_tasks(pairs.select(task.alias("region"), "node", "own", "home"))
 
 
-def groups(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) for edges (a, b): label propagation with pointer jumping."""
-    both = common.stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = common.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+def region_links(rows: DataFrame) -> DataFrame:
+    """a, b: links that join the groups of the regions (region, node, n, own)."""
+    rows = rows.withColumn("home", F.lit(True)).withColumn("before", F.lit(None).cast("long"))
+    found = None
     while True:
-        near = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
-        best = both.join(near, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        lower = labels.join(best, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
-        lower = lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("jumped", "label")).alias("label"))
-        lower = common.stored(lower, "labels")
-        labels = lower.select("node", "label")
-        if lower.filter("old <> label").isEmpty():
-            return labels
-
-
-def join_groups(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, n, rep: smallest id of an equal set) and the groups (node, label) of the reps that
-    have links."""
-    docs = docs.select("doc_id", "text")
+        totals = rows.groupBy("region").agg(F.sum("n").alias("total"))
+        sized = common.stored(rows.join(totals, "region"), "regions")
+        parts = [joined_in_tasks(sized.filter(F.col("total") <= REGION))]
+        large = sized.filter(F.col("total") > REGION)
+        more = not large.isEmpty()
+        if more:
+            shrinks = F.coalesce(F.col("total") <= 0.75 * F.col("before"), F.lit(True))
+            parts.append(by_blocks(large.filter(~shrinks)))
+            rows, links = split(large.filter(shrinks).withColumn("before", F.col("total")))
+            parts.append(links)
+        for part in parts:
+            part = common.stored(part, "links")
+            found = part if found is None else found.unionByName(part)
+        if not more:
+            return found
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def classed(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """The stored scan of docs, and its classes of equal sets (k1, k2, n, component: the smallest doc_id reachable)."""
     seen = overview(docs, words)
-    own = seen.filter("slice is null and doc_id is not null and n > 0").select("doc_id", "n", "k1", "k2")
-    classes = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    reps = common.stored(own.join(classes, ["k1", "k2"]).select("doc_id", "n", "rep").distinct(), "reps")
-
+    rows = seen.filter("slice is null and doc_id is not null and n > 0")
+    classes = common.stored(rows.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("node")), "classes")
     posted = postings(docs.filter("doc_id is not null"), frequency_classes(seen), words)
-    # frequent shingles need no count; salts keep their rows apart
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)) + 1).otherwise(0)
-    counted = posted.withColumn("c", F.count("*").over(Window.partitionBy("h", salt)))
-    shared = common.stored(counted.filter("hot or c > 1").select("h", "doc"), "shared")
-    as_rep = reps.select(F.col("doc_id").alias("doc"), "n", "rep")
-    bucket = shared.join(as_rep, "doc").groupBy("h", F.col("rep").alias("doc")).agg(F.first("n").alias("n"))
-    bucket = common.stored(_central_first(_open_buckets(bucket)), "buckets")
-
-    parity = seen.filter("slice is null and n > 0").select(F.col("doc_id").alias("doc"), "parity").join(
-        reps.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi"
-    ).dropDuplicates(["doc"])
-    spark, tested_at, labels = docs.sparkSession, [], None
-    while not bucket.isEmpty():
-        if len(tested_at) == 2:
-            bucket = common.stored(_joined_buckets(bucket), "buckets")
-        pairs, ends = _star(bucket) if labels is None else _many_pivots(bucket, PIVOTS[len(tested_at) > 1])
-        if labels is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        found = compared(pairs, parity, docs, words)
-        tested_at.append(common.shared_dir(spark, "tested"))
-        found.write.parquet(tested_at[-1])
-        tested = spark.read.schema(found.schema).parquet(*tested_at)
-        link = linked(F.col("common"), F.col("na"), F.col("nb"))
-        first = labels is None
-        # only members of different groups were compared, so groups change if and only if there is a new link
-        if first or not spark.read.schema(found.schema).parquet(tested_at[-1]).filter(link).isEmpty():
-            labels = groups(tested.filter(link).select("a", "b"))
-        rest = _outside_star(ends, tested) if first else ends
-        bucket = common.stored(_open_between(rest, labels), "buckets")
-    if labels is None:
-        labels = reps.select(F.col("rep").alias("node"), F.col("rep").alias("label")).limit(0)
-    return seen.filter("slice is null").select("doc_id", "n").join(
-        reps.select("doc_id", "rep").distinct(), "doc_id", "left"
-    ), labels
-
-
-def _open_buckets(bucket: DataFrame) -> DataFrame:
-    """Buckets (h, doc, n) of two documents or more."""
-    many = bucket.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1")
-    return bucket.join(many, "h", "left_semi")
-
-
-def _central_first(bucket: DataFrame) -> DataFrame:
-    """Adds w: the share of its size in which a document meets others. What copies were made from shares all it has,
-    each copy less by its own changes, so the largest w of a bucket makes a pivot close to many."""
-    weight = bucket.groupBy("doc").agg((F.count("*") / F.first("n")).alias("w"))
-    return bucket.join(weight, "doc").select("h", "doc", "n", "w")
-
-
-def _ordered_pairs(one: str, n_one: str, other: str, n_other: str) -> list:
-    """Columns a, b, na, nb with a < b."""
-    lower = F.col(one) < F.col(other)
-    return [
-        F.least(one, other).alias("a"),
-        F.greatest(one, other).alias("b"),
-        F.when(lower, F.col(n_one)).otherwise(F.col(n_other)).alias("na"),
-        F.when(lower, F.col(n_other)).otherwise(F.col(n_one)).alias("nb"),
-    ]
-
-
-def _star(bucket: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, na, nb) of each bucket's pivot and the others; the buckets with their pivots."""
-    head = bucket.groupBy("h").agg(F.max(F.struct("w", "doc", "n")).alias("head"))
-    starred = bucket.join(head, "h").select("h", "doc", "n", "w", F.col("head.doc").alias("pivot"), F.col("head.n").alias("pn"))
-    starred = starred.filter("doc <> pivot")
-    pairs = starred.filter(fits(F.col("n"), F.col("pn"))).select(*_ordered_pairs("pivot", "pn", "doc", "n"))
-    return pairs.distinct(), starred
-
-
-def _outside_star(starred: DataFrame, tested: DataFrame) -> DataFrame:
-    """What of each bucket is still open, with the distance d to its pivot: documents outside the pivot's region, and
-    those inside that the triangle inequality allows to link to them."""
-    known = tested.select("a", "b", "common", "differ")
-    # no comparison: the bits that differ, or the sizes, bound the distance from below
-    most = F.floor((F.col("n") + F.col("pn") - F.coalesce("differ", F.abs(F.col("n") - F.col("pn")))) / 2)
-    shared = F.coalesce("common", most)
-    ends = starred.withColumn("a", F.least("pivot", "doc")).withColumn("b", F.greatest("pivot", "doc"))
-    placed = ends.join(known, ["a", "b"], "left").select(
-        "h", "doc", "n", "w",
-        (1 - shared / (F.col("n") + F.col("pn") - shared)).alias("d"),
-        F.col("common").isNotNull().alias("exact"),
-        (F.col("common").isNotNull() & linked(shared, F.col("n"), F.col("pn"))).alias("inside"),
-    )
-    nearest = placed.filter("not inside").groupBy("h").agg(F.min("d").alias("nearest"))
-    near = (F.col("nearest") <= 2 * EPS + SLACK) & (F.col("d") >= F.col("nearest") - EPS - SLACK)
-    left = placed.join(nearest, "h").filter(~F.col("inside") | near)
-    return left.select("h", "doc", "n", "w", F.when(F.col("exact"), F.col("d")).alias("d"))
-
-
-def _open_between(rest: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, doc, n, w, d, label) of the buckets that hold more than one group."""
-    rest = rest.select("h", "doc", "n", "w", "d").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    rest = rest.withColumn("label", F.coalesce("label", "doc"))
-    still = rest.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    return rest.join(still, "h", "left_semi").select("h", "doc", "n", "w", "d", "label")
-
-
-def _joined_buckets(bucket: DataFrame) -> DataFrame:
-    """Buckets with documents in common become one where that makes fewer pairs: what is open after two rounds are a
-    few dense places whose documents share many buckets, and a pair should not come up in each of them."""
-    head = bucket.groupBy("h").agg(F.min("doc").alias("a"))
-    place = groups(bucket.join(head, "h").select("a", F.col("doc").alias("b")))
-    rows = common.stored(bucket.join(place.select(F.col("node").alias("doc"), F.col("label").alias("place")), "doc"), "places")
-    whole = rows.select("place", "doc", "n", "w", "label").distinct()
-
-    def pairs(members: DataFrame, *by: str) -> DataFrame:
-        sizes = members.groupBy(*by, "label").agg(F.count("*").alias("c"))
-        return sizes.groupBy(*by).agg((F.sum("c") * (F.sum("c") - F.max("c"))).alias("pairs"))
-
-    apart = pairs(rows, "place", "h").groupBy("place").agg(F.sum("pairs").alias("apart"))
-    dense = pairs(whole, "place").join(apart, "place").filter("pairs < apart").select("place")
-    dense = common.stored(dense, "dense")
-    merged = whole.join(dense, "place", "left_semi").select(
-        F.concat(F.lit("p"), "place").alias("h"), "doc", "n", "w", F.lit(None).cast("double").alias("d"), "label"
-    )
-    kept = rows.join(dense, "place", "left_anti").select(F.concat(F.lit("h"), "h").alias("h"), "doc", "n", "w", "d", "label")
-    return merged.unionByName(kept)
-
-
-def _many_pivots(bucket: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Up to `most` documents of each bucket that aren't in its largest group are pivots: pairs of them and
-    all members of other groups whose distances to the bucket's first pivot differ by at most e. What is left
-    is the bucket without these pivots, which now are settled."""
-    size = bucket.groupBy("h", "label").agg(F.count("*").alias("c"))
-    main = size.groupBy("h").agg(F.max(F.struct("c", "label")).alias("main")).select("h", F.col("main.label").alias("main"))
-    rank = F.row_number().over(Window.partitionBy("h").orderBy(F.col("w").desc(), "doc"))
-    pivots = common.stored(
-        bucket.join(main, "h").filter("label <> main").withColumn("place", rank).filter(F.col("place") <= most)
-        .select("h", F.col("doc").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"), F.col("label").alias("lp")),
-        "pivots",
-    )
-    met = bucket.join(pivots, "h").filter(
-        (F.col("label") != F.col("lp"))
-        & fits(F.col("n"), F.col("np"))
-        & (F.coalesce(F.abs(F.col("d") - F.col("dp")), F.lit(0.0)) <= EPS + SLACK)
-    )
-    pairs = met.select(*_ordered_pairs("p", "np", "doc", "n"))
-    rest = bucket.join(pivots.select("h", F.col("p").alias("doc")), ["h", "doc"], "left_anti")
-    return pairs.distinct(), rest
+    members = classes.join(connected(posted), "k1")
+    edges = region_links(family_sets(docs, members, words))
+    joined = classes.join(groups(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = joined.groupBy("label").agg(F.min("doc_id").alias("component"))
+    return seen.filter("slice is null").drop("slice", "counts"), joined.join(least, "label").select("k1", "k2", "n", "component")
 
 
 def components(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    rows, labels = join_groups(docs, words)
-    labelled = rows.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    return labelled.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep", "doc_id").alias("component_id")
-    )
+    docs = docs.select("doc_id", "text")
+    rows, classes = classed(docs, words)
+    # rows without an id take no part, though their text may be a class
+    known = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    labelled = rows.withColumn("known", known).join(classes.withColumn("known", F.lit(True)), ["k1", "k2", "n", "known"], "left")
+    return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -436,5 +394,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each group of near duplicates the document with the smallest id stays."""
     found = components(docs)
-    gone = common.stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("doc")), "copies")
+    gone = common.stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("doc")).distinct(), "copies")
     return among(docs, gone, "left_anti").select(*docs.columns)

@@ -274,11 +274,15 @@ def test_jaccard_join(spark, odd):
     assert sum(map(len, got.values())) == len(rows)
 
 
-def test_jaccard_join_in_rounds(spark, monkeypatch):
-    """Families of edited copies around the threshold, with many rounds of few pivots."""
+@pytest.mark.parametrize("region, block", [(1 << 21, 1 << 20), (1500, 1 << 20), (400, 900)])
+def test_jaccard_join_in_regions(spark, monkeypatch, region, block):
+    """Families of edited copies around the threshold: in tasks, split in rounds, and dealt out in blocks."""
     import random
 
-    monkeypatch.setattr(jaccard_join, "PIVOTS", (1, 2))
+    monkeypatch.setattr(jaccard_join, "REGION", region)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "DIRECT", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
     rng = random.Random(4)
     docs = []
     for family in range(3):
