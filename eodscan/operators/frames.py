@@ -75,24 +75,34 @@ def recency_rank(df: DataFrame, by: Iterable[str] = ("symbol",), name: str = "rn
 
 
 # --- exact means --------------------------------------------------------------------------------
-# Sums run over integers (the value times 10**SCALE), so they do not depend on the order of
-# addition, and the one division at the end is correctly rounded: the mean of equal values is
-# exactly that value, and "x > its average" is false for a flat series.
+# Sums run over integers: the whole part of a value, and its millionths. So they do not depend on
+# the order of addition, and the one division at the end is correctly rounded: the mean of equal
+# values is exactly that value, and "x > its average" is false for a flat series. Both parts are
+# plain longs, which windows add without boxing.
 
 _ONE = 10**SCALE
+_COUNTER = 1 << 20  # in running sums a part for the number of rows stands below the millionths
 
 
-def _units(col: Column) -> Column:
-    return (col.cast(f"decimal(22,{SCALE})") * F.lit(_ONE)).cast("decimal(28,0)")
+def _whole(col: Column) -> Column:
+    return F.floor(col.cast("double"))
 
 
-def _mean(total: Column, count: Column) -> Column:
-    return F.try_divide(total.cast("double"), count * F.lit(_ONE))
+def _millionths(col: Column) -> Column:
+    value = col.cast("double")
+    return F.round((value - F.floor(value)) * _ONE).cast("bigint")
+
+
+def _mean(whole: Column, millionths: Column, count: Column) -> Column:
+    in_long = F.abs(whole) < F.lit((1 << 63) // _ONE // 2)
+    wide = (whole.cast("decimal(20,0)") * F.lit(_ONE).cast("decimal(8,0)") + millionths).cast("double")
+    total = F.when(in_long, (whole * _ONE + millionths).cast("double")).otherwise(wide)
+    return F.try_divide(total, count * F.lit(_ONE))
 
 
 def exact_mean(col: Column) -> Column:
     """Aggregate: mean of the non-null values, independent of row order."""
-    return _mean(F.sum(_units(col)), F.count(col))
+    return _mean(F.sum(_whole(col)), F.sum(_millionths(col)), F.count(col))
 
 
 # --- chunked windows ----------------------------------------------------------------------------
@@ -146,16 +156,20 @@ def add_averages(
 
     extra = dict(extra or {})
     kept = [*chunks.columns, *extra]
-    running = chunks.select("*", *[_units(F.col(m)).alias(f"_u_{m}") for m in names]).select(
+    counted = chunks.select(
+        "*",
+        *[F.coalesce(_whole(F.col(m)), F.lit(0)).alias(f"_w_{m}") for m in names],
+        *[F.coalesce(_millionths(F.col(m)) * _COUNTER + 1, F.lit(0)).alias(f"_p_{m}") for m in names],
+    )
+    running = counted.select(
         *chunks.columns,
         *[column.alias(name) for name, column in extra.items()],
         F.row_number().over(order).alias("_pos"),
-        *[F.coalesce(F.sum(f"_u_{m}").over(upto_now), F.lit(0)).alias(f"_s_{m}") for m in names],
-        *[F.count(f"_u_{m}").over(upto_now).alias(f"_c_{m}") for m in names],
+        *[F.sum(f"_{part}_{m}").over(upto_now).alias(f"_s{part}_{m}") for part in "wp" for m in names],
     )
 
     def state(of: list[str]) -> Column:
-        return F.struct("_pos", *[f"_s_{m}" for m in of], *[f"_c_{m}" for m in of])
+        return F.struct("_pos", *[f"_s{part}_{m}" for part in "wp" for m in of])
 
     def using(n: int) -> list[str]:
         return [m for m in names if n in measures[m][1].values()]
@@ -169,13 +183,12 @@ def add_averages(
     def average(m: str, n: int) -> Column:
         rows_decide = F.col(f"_back_{n}._pos") >= F.coalesce(F.col("_old._pos"), F.lit(0))
 
-        def since_start(prefix: str) -> Column:
-            before = F.when(rows_decide, F.col(f"_back_{n}.{prefix}{m}")).otherwise(
-                F.col(f"_old.{prefix}{m}")
-            )
-            return F.col(f"{prefix}{m}") - F.coalesce(before, F.lit(0))
+        def since_start(name: str) -> Column:
+            before = F.when(rows_decide, F.col(f"_back_{n}.{name}")).otherwise(F.col(f"_old.{name}"))
+            return F.col(name) - F.coalesce(before, F.lit(0))
 
-        return _mean(since_start("_s_"), since_start("_c_"))
+        parts = since_start(f"_sp_{m}")
+        return _mean(since_start(f"_sw_{m}"), F.shiftright(parts, 20), parts.bitwiseAND(F.lit(_COUNTER - 1)))
 
     return bounded.select(
         *kept,

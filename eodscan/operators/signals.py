@@ -62,14 +62,19 @@ def bands(df: DataFrame) -> DataFrame:
 
 def top2_flags(df: DataFrame, cols: Iterable[str], by: Iterable[str]) -> DataFrame:
     """top2_<col>: is the value one of the two largest of its group (ties with them included)?"""
-    # a group holds the days of one lookback; its second largest value decides, ties included
+    # the largest, whether it stands twice, and the largest below it: all kept in bounded state, two passes of one window
     group = Window.partitionBy(*by)
-    new = {}
-    for c in cols:
-        values = F.sort_array(F.collect_list(c).over(group), asc=False)
-        second = F.coalesce(F.get(values, F.lit(1)), F.get(values, F.lit(0)))
-        new[f"top2_{c}"] = F.coalesce(F.col(c) >= second, F.lit(False))
-    return df.withColumns(new)
+    cols = list(cols)
+    df = df.withColumns({f"_max_{c}": F.max(c).over(group) for c in cols})
+    below = {f"_below_{c}": F.max(F.when(F.col(c) < F.col(f"_max_{c}"), F.col(c))).over(group) for c in cols}
+    ties = {f"_ties_{c}": F.count_if(F.col(c) == F.col(f"_max_{c}")).over(group) for c in cols}
+    df = df.withColumns(below | ties)
+
+    def second(c: str) -> Column:
+        return F.when(F.col(f"_ties_{c}") > 1, F.col(f"_max_{c}")).otherwise(F.coalesce(f"_below_{c}", f"_max_{c}"))
+
+    flagged = df.withColumns({f"top2_{c}": F.coalesce(F.col(c) >= second(c), F.lit(False)) for c in cols})
+    return flagged.drop(*[f"_{part}_{c}" for part in ("max", "below", "ties") for c in cols])
 
 
 # --- fixed values: which content marks a cell of a report ---------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from eodscan.operators.frames import equity, lookback
 from eodscan.operators.shapes import ladder, reindex
@@ -22,19 +22,11 @@ HIGHLIGHTED = ["deliv_per", "ratio", "deliv_qty", "volume"]
 def _facts_with_indicators(bars: DataFrame, indicators: DataFrame, facts: list[str]) -> DataFrame:
     """Inner join on all three keys; turnover is called volume in these reports.
 
-    Indicators exist for EQ rows only, so the facts are narrowed to those before the join.
+    Indicators exist for EQ rows only, so the facts are narrowed to those before the join. Both sides hold
+    a key once (the loader sees to it), so the join can't repeat rows.
     """
     narrow = equity(bars).select(*KEYS, *facts)
-    return indicators.join(one_per_key(narrow), KEYS).withColumnRenamed("turnover_lacs", "volume")
-
-
-def one_per_key(rows: DataFrame) -> DataFrame:
-    """Latest row per (symbol, series, date1), so a repeated key cannot fan out.
-
-    Done on the narrow side of the join: the join then finds it partitioned and sorted already.
-    """
-    order = Window.partitionBy(*KEYS).orderBy(F.col("date1").desc())
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return indicators.join(narrow, KEYS).withColumnRenamed("turnover_lacs", "volume")
 
 
 def _narrow(
