@@ -9,8 +9,8 @@ Short phrases that name a license are found in every text besides (base labels).
 The templates are fixed: notices in this module, of which the short ones count only as a whole, and whole license
 texts beside it, in parts of PART words. So their table is of fixed size and is broadcast.
 
-Edge cases: null or empty text has 0 words and no label. Rows that share a doc_id (null ids too) share the
-template labels found in any of them. Repeated places are all counted. Extra columns are ignored.
+Edge cases: null or empty text has 0 words and no label. Texts are told apart by doc_id (null too) and a hash, so rows
+that share an id, or have none, are labelled by their own text each. Repeated places are all counted. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -116,21 +116,21 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc, label, template, first, end (words), score of every verified span."""
+    """doc, th (hash of the text), label, template, first, end (words), score of every verified span."""
     known = templates(docs.sparkSession)
     sizes = known.groupBy("template", "need").agg(F.count("*").alias("n_grams"))
-    texts = docs.select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("own"))
-    rolled = texts.select("doc", F.posexplode(grams(F.col("own"))).alias("pos", "h"))
+    texts = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), words(F.col("text")).alias("own"))
+    rolled = texts.select("doc", "th", F.posexplode(grams(F.col("own"))).alias("pos", "h"))
     hits = rolled.join(F.broadcast(known.select("template", "h", "at")), "h")
-    votes = hits.groupBy("doc", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
+    votes = hits.groupBy("doc", "th", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("ats")
     )
-    by_diagonal = Window.partitionBy("doc", "template").orderBy("diagonal")
+    by_diagonal = Window.partitionBy("doc", "th", "template").orderBy("diagonal")
     opens = F.when(F.col("diagonal") - F.lag("diagonal").over(by_diagonal) <= BAND, 0).otherwise(1)
     merged = (
         votes.withColumn("opens", opens)
         .withColumn("span", F.sum("opens").over(by_diagonal))
-        .groupBy("doc", "template", "span")
+        .groupBy("doc", "th", "template", "span")
         .agg(
             F.min("first").alias("first"),
             (F.max("last") + GRAM).alias("end"),
@@ -141,16 +141,17 @@ def spans(docs: DataFrame) -> DataFrame:
     )
     wholes = known.select("template", "label", F.array_distinct("whole").alias("whole")).distinct()
     found = common.stored(merged, "spans")
-    mine = texts.join(found.select("doc").distinct().withColumnRenamed("doc", "hit"), F.col("doc").eqNullSafe(F.col("hit")), "left_semi")
+    hit = found.withColumnsRenamed({"doc": "hit", "th": "hit_th"})
+    same = F.col("doc").eqNullSafe(F.col("hit")) & (F.col("th") == F.col("hit_th"))
+    mine = texts.join(hit.select("hit", "hit_th").distinct(), same, "left_semi").dropDuplicates(["doc", "th"])
     verified = (
-        found.withColumnRenamed("doc", "hit")
-        .join(mine, F.col("doc").eqNullSafe(F.col("hit")))
+        hit.join(mine, same)
         .join(F.broadcast(wholes), "template")
         .withColumn("inside", F.slice("own", F.col("first") + 1, F.col("end") - F.col("first")))
         .withColumn("score", F.size(F.array_intersect("whole", "inside")) / F.size("whole"))
         .filter(F.col("score") >= WORDS_SHARED)
     )
-    return verified.select("doc", "label", "template", "first", "end", "score").distinct()
+    return verified.select("doc", "th", "label", "template", "first", "end", "score")
 
 
 def phrase_places(own: Column, phrase: str) -> Column:
@@ -169,14 +170,15 @@ def phrase_places(own: Column, phrase: str) -> Column:
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, places (array per phrase) of every row; places are looked for where the text has the word
+    """doc_id, th, n_words, places (array per phrase) of every row; places are looked for where the text has the word
     `license` at all."""
     own = words(F.col("text"))
     maybe = F.lower(F.col("text")).contains("license")
-    split = docs.select("doc_id", own.alias("own"), F.coalesce(maybe, F.lit(False)).alias("maybe"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("th"), own.alias("own"), F.coalesce(maybe, F.lit(False)).alias("maybe"))
     none = F.array().cast("array<int>")
     return split.select(
         "doc_id",
+        "th",
         F.size("own").cast("long").alias("n_words"),
         *[F.when(F.col("maybe"), phrase_places(F.col("own"), p)).otherwise(none).alias(f"llm_{label}") for label, p in PHRASES.items()],
     )
@@ -184,15 +186,15 @@ def base(docs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """The columns of the query for every row of docs."""
-    found = spans(docs).groupBy("doc").agg(F.collect_set("label").alias("extra"), F.max("score").alias("best"))
+    found = spans(docs).groupBy("doc", F.col("th").alias("doc_th")).agg(F.collect_set("label").alias("extra"), F.max("score").alias("best"))
     rows = base(docs)
     columns = [F.col(f"llm_{label}") for label in PHRASES]
     places = F.concat(*columns)
     named = F.filter(
         F.array(*[F.when(F.size(c) > 0, F.lit(label)) for label, c in zip(PHRASES, columns)]), lambda x: x.isNotNull()
     )
-    rows = rows.select("doc_id", "n_words", places.alias("places"), named.alias("named"))
-    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
+    rows = rows.select("doc_id", "th", "n_words", places.alias("places"), named.alias("named"))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("th") == F.col("doc_th")), "left")
     return joined.select(
         "doc_id",
         "n_words",
