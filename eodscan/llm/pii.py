@@ -5,7 +5,7 @@ a run of their characters starts and never give back what they took, so very lon
 the matches are those of the plain patterns. A match's place is the sum of the lengths before it: the pieces
 between matches are rows, and a window per document and kind adds them up.
 
-A term is a word of 3 to 40 letters, with a colon or equals sign right after it, outside e-mail addresses; one rule
+A term is a word of three letters or more, with a colon or equals sign right after it, outside e-mail addresses; one rule
 cuts the words that are counted and the words that are marked. Every distinct term of every document is counted:
 in how many documents it stands, in how many of these an entity (a valid match) stands anywhere, and in how many it
 stands right before one. The share of documents with the term that hold an entity estimates how strongly the
@@ -38,9 +38,8 @@ PATTERNS = [
     r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,}+",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 ]
-TERM = r"(?<!\p{L})\p{L}{3,40}+(?!\p{L})[:=]?+"
-BEFORE = rf"({TERM})\s+$"
-TAIL = 80
+TERM = r"(?<!\p{L})\p{L}{3,}+[:=]?+"
+BEFORE = rf"({TERM})\s++$"
 
 
 def _maybe(text: Column) -> list[Column]:
@@ -97,15 +96,14 @@ def sensitive_terms(docs: DataFrame) -> DataFrame:
 
     def tails(k: Column) -> Column:
         nth = F.sequence(F.lit(0), F.size(k["found"]) - 1)
-        own = F.transform(nth, lambda i: F.when(_valid(k["kind"], F.get(k["found"], i)), F.right(F.get(k["gaps"], i), F.lit(TAIL))))
+        own = F.transform(nth, lambda i: F.when(_valid(k["kind"], F.get(k["found"], i)), F.lower(F.regexp_extract(F.get(k["gaps"], i), BEFORE, 1))))
         return F.when(F.size(k["found"]) > 0, F.filter(own, lambda t: t.isNotNull()))
 
     rows = docs.select("text", F.array(*_matches(F.col("text"))).alias("k")).select(
         "text", F.flatten(F.filter(F.transform("k", tails), lambda t: t.isNotNull())).alias("tails")
     )
-    before = F.transform("tails", lambda t: F.lower(F.regexp_extract(t, BEFORE, 1)))
     n_docs, n_with = rows.agg(F.count("*"), F.count_if(F.size("tails") > 0)).first()
-    rows = rows.select(_terms(F.col("text")).alias("terms"), (F.size("tails") > 0).alias("has"), before.alias("before"))
+    rows = rows.select(_terms(F.col("text")).alias("terms"), (F.size("tails") > 0).alias("has"), F.col("tails").alias("before"))
     each = rows.select("has", "before", F.explode("terms").alias("term"))
     counted = each.groupBy("term").agg(
         F.count("*").alias("n_docs"), F.count_if("has").alias("n_with"), F.count_if(F.array_contains("before", F.col("term"))).alias("n_before")
@@ -125,9 +123,9 @@ def term_spans(docs: DataFrame, sensitive: DataFrame) -> DataFrame:
     """doc, th, kind, start, end of every occurrence of the sensitive terms."""
     rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text").filter("text is not null")
     each = rows.select("doc", "th", F.explode(_terms(F.col("text"))).alias("term"))
-    own = each.join(sensitive.select("term"), "term").groupBy("doc", "th").agg(F.collect_set("term").alias("terms"))
-    own = own.withColumnsRenamed({"doc": "own_doc", "th": "own_th"})
-    texts = rows.join(own, F.col("doc").eqNullSafe(F.col("own_doc")) & (F.col("th") == F.col("own_th")))
+    own = each.join(sensitive.select("term"), "term").select(F.col("doc").alias("own_doc"), F.col("th").alias("own_th")).distinct()
+    texts = rows.join(own, F.col("doc").eqNullSafe(F.col("own_doc")) & (F.col("th") == F.col("own_th")), "left_semi")
+    texts = texts.dropDuplicates(["doc", "th"])
 
     def pieces(gap: Column, closing: Column) -> Column:
         """(skip, word) of each term of a gap, and what follows the last with the address that closes the gap."""
@@ -141,21 +139,13 @@ def term_spans(docs: DataFrame, sensitive: DataFrame) -> DataFrame:
 
     text = F.col("text")
     addresses = F.regexp_extract_all(text, F.lit(PATTERNS[0]), F.lit(0))
-    # stored in columns of their own first, so that they are made once a row
-    split = texts.select("doc", "th", "terms", F.split(text, PATTERNS[0], -1).alias("gaps"), addresses.alias("addresses"))
+    split = texts.select("doc", "th", F.split(text, PATTERNS[0], -1).alias("gaps"), addresses.alias("addresses"))
     flat = F.flatten(F.zip_with("gaps", "addresses", lambda gap, address: pieces(gap, F.coalesce(F.length(address), F.lit(0)))))
-    kind = "array<struct<start:bigint,end:bigint>>"
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(kind).alias("spans"))
-
-    def step(acc, piece):
-        start = acc["at"] + piece["skip"]
-        end = start + F.length(piece["word"])
-        more = F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        hit = F.array_contains("terms", F.lower(piece["word"]))
-        return F.struct(end.alias("at"), F.when(hit, more).otherwise(acc["spans"]).alias("spans"))
-
-    placed = split.select("doc", "th", F.explode(F.aggregate(flat, zero, step, lambda acc: acc["spans"])).alias("s"))
-    return placed.select("doc", "th", F.lit(4).alias("kind"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    each = split.select("doc", "th", F.posexplode(flat).alias("nth", "piece")).select("doc", "th", "nth", "piece.skip", "piece.word")
+    so_far = Window.partitionBy("doc", "th").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.withColumn("end", F.sum((F.col("skip") + F.length("word")).cast("long")).over(so_far)).filter("word <> ''")
+    marked = placed.join(sensitive.select(F.col("term").alias("known")), F.lower(F.col("word")) == F.col("known"), "left_semi")
+    return marked.select("doc", "th", F.lit(4).alias("kind"), (F.col("end") - F.length("word")).alias("start"), "end")
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
@@ -181,23 +171,32 @@ def _written(spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """doc_id, text with every span generalised to its kind in brackets; overlapping spans become the first one's."""
-    rows = _attached(docs, ["doc_id", "text"])
+    """doc_id, text with every span generalised to its kind in brackets; spans that overlap become one, of the first one's kind."""
+    rows = _attached(docs, ["doc_id", "text"]).withColumn("llm_row", F.monotonically_increasing_id())
+    rows = common.stored(rows, "attached")
+    none = F.size("spans") == 0
+    each = rows.filter(~none).select("llm_row", F.explode("spans").alias("s")).select("llm_row", "s.*")
+    order = Window.partitionBy("llm_row").orderBy("start", "end", "kind")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = each.withColumn("opens", F.when(F.col("start") < reached, 0).otherwise(1))
+    joined = opens.withColumn("group", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = joined.groupBy("llm_row", "group").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "end", "kind"))["kind"].alias("kind")
+    )
+    lists = whole.groupBy("llm_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+    # a text as an array of its characters, so that all slices together cost its length
+    texts = rows.filter(~none).select("llm_row", "doc_id", F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)).alias("chars")).join(lists, "llm_row")
     names = F.array(*map(F.lit, KINDS))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc, s):
-        between = F.col("text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        longer = F.struct(
-            F.concat(acc["out"], between, F.lit("["), F.upper(F.get(names, s["kind"])), F.lit("]")).alias("out"), s["end"].alias("at")
-        )
-        return F.when(s["start"] >= acc["at"], longer).otherwise(acc)
 
-    def finish(acc):
-        return F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text")))
+    def piece(cut, nth):
+        begin = F.when(nth > 0, F.get("cuts", nth - 1)["end"]).otherwise(0)
+        between = F.slice("chars", (begin + 1).cast("int"), (cut["start"] - begin).cast("int"))
+        return F.concat(F.array_join(between, ""), F.lit("["), F.upper(F.get(names, cut["kind"])), F.lit("]"))
 
-    return rows.select("doc_id", F.aggregate(ordered, start, step, finish).alias("text"))
+    last = F.element_at("cuts", -1)["end"].cast("int")
+    rest = F.array_join(F.slice("chars", last + 1, F.size("chars")), "")
+    cleaned = texts.select("doc_id", F.concat(F.array_join(F.transform("cuts", piece), ""), rest).alias("text"))
+    return cleaned.unionByName(rows.filter(none).select("doc_id", "text"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
