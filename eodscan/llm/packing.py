@@ -225,11 +225,13 @@ def place(lengths: np.ndarray, sequence: int = SEQUENCE) -> tuple[np.ndarray, np
 
 def pack(cut: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32)."""
-    cut = common.stored(cut, "pieces")
-    whole = cut.filter(F.col("length") == sequence)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
+    # the row's number deals out equal rows as well, so no group is larger than the others
+    cut = common.stored(cut.withColumn("llm_row", F.monotonically_increasing_id()), "pieces")
+    whole = cut.filter(F.col("length") == sequence).drop("llm_row")
     part = cut.filter(F.col("length") < sequence)
     groups = max(1, -(-part.count() // group))  # ceil
-    keyed = part.withColumn("llm_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    keyed = part.withColumn("llm_group", F.pmod(F.xxhash64("llm_row"), F.lit(groups)))
 
     def one_group(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
@@ -237,10 +239,9 @@ def pack(cut: DataFrame, sequence: int = SEQUENCE, group: int = GROUP) -> DataFr
         # odd: packed bins; the group is in the number, so numbers never meet
         frame["sequence_id"] = (number * groups + frame["llm_group"].to_numpy()) * 2 + 1
         frame["offset"] = offset
-        return frame.drop(columns="llm_group")
+        return frame.drop(columns=["llm_group", "llm_row"])
 
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in cut.schema)}, sequence_id long, offset long"
-    packed = keyed.groupBy("llm_group").applyInPandas(one_group, schema)
+    packed = keyed.groupBy("llm_group").applyInPandas(one_group, f"{fields}, sequence_id long, offset long")
     alone = whole.select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
 
