@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,11 +111,15 @@ def with_successors(docs: DataFrame) -> DataFrame:
 
     def deal(batches):
         bounds, first = shared()
+        seen = TaskContext.get().partitionId()
         for batch in batches:
             ids = batch.column("doc_id")
             known = np.asarray(ids.is_valid())
             values = np.asarray(ids.fill_null(0)).astype(np.int64)
             where = np.searchsorted(bounds, values, side="right")
+            # rows without an id need no order, so they are dealt out to all ranges in turn
+            where = np.where(known, where, (seen + np.arange(len(values))) % (len(bounds) + 1))
+            seen += len(values)
             heads = np.flatnonzero(known & ((values == first) | np.isin(values, bounds)))
             before = (where[heads] - 1) % (len(bounds) + 1)
             rows = np.concatenate([np.arange(len(values)), heads])
