@@ -247,8 +247,8 @@ def run_slices(batches) -> Iterator[np.ndarray]:
 
 
 def trie_pass(runs: DataFrame, trie: DoubleArray, length: int, entries: int) -> DataFrame:
-    """Stored rows of a pass: (entry, null, count) of each candidate of `length` words, and (entry, last word, count) of
-    the words that follow it where the candidate at the next place stands too."""
+    """Stored sums of a pass that reach MIN: (entry, null, c) of each candidate of `length` words, and (entry, last word,
+    c) of the words that follow it where the candidate at the next place stands too."""
     shared = common.share(runs.sparkSession, trie)
 
     def run(batches):
@@ -291,7 +291,8 @@ def trie_pass(runs: DataFrame, trie: DoubleArray, length: int, entries: int) ->
                 [pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.int32()), pa.array(accepted[some])], names=["entry", "last", "c"]
             )
 
-    return common.stored(runs.mapInArrow(run, "entry int, last int, c long"), "counts")
+    summed = runs.mapInArrow(run, "entry int, last int, c long").groupBy("entry", "last").agg(F.sum("c").alias("c"))
+    return common.stored(summed.filter(F.col("c") >= MIN), "counts")
 
 
 def shuffled_pass(runs: DataFrame, length: int) -> DataFrame:
@@ -322,12 +323,11 @@ def phrases(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
         size = len(levels[-1][0]) if levels else symbols
         counts = trie_pass(runs, built(symbols, nodes, fill), length, size)
         if length > 1:
-            f = counts.filter("last is null").groupBy("entry").agg(F.sum("c").alias("f")).filter(F.col("f") >= MIN)
+            f = counts.filter("last is null").select("entry", F.col("c").alias("f"))
             found.append(entries.join(f, "entry").select("ids", "f"))
         if length == LONGEST:
             break
-        safe = counts.filter("last is not null").groupBy("entry", "last").agg(F.sum("c").alias("most")).filter(F.col("most") >= MIN)
-        longer = safe.join(entries, "entry").select("entry", "last", F.concat("ids", F.array("last")).alias("ids"))
+        longer = counts.filter("last is not null").join(entries, "entry").select("entry", "last", F.concat("ids", F.array("last")).alias("ids"))
         following = numbered(longer, "number", "candidates")
         size = following.count()
         if not size:
