@@ -193,6 +193,15 @@ def test_packing(spark, odd):
     assert len(sequences) <= -(-total // 2048) + 1
 
 
+def test_packing_deals_out_repeated_rows(spark, monkeypatch):
+    """No group holds much more than its share when half of all rows are one row repeated."""
+    monkeypatch.setattr(packing, "place", lambda lengths, sequence: (len(lengths) + 0 * lengths, 0 * lengths))
+    rows = [(7, 0, 0, 10, 5)] * 3000 + [(i, 0, 0, 20, i) for i in range(3000)]
+    cut = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    sizes = Counter(r.sequence_id for r in packing.pack(cut, group=600).collect())
+    assert sum(sizes.values()) == 6000 and max(sizes.values()) < 750
+
+
 def test_best_two_fit_is_tight():
     import numpy as np
 
@@ -206,6 +215,7 @@ def test_best_two_fit_is_tight():
 def test_license_scan(spark, odd):
     path, rows, _ = odd
     got = by_id(QUERIES["op6_license_scan"](spark, path))
+    assert {r[:5] for r in got[None]} == {brute.license_base(t) for i, t, _, _ in rows if i is None}
     for i, t, _, _ in rows:
         if i is not None:
             n, n_base, first, last, base_labels, labels, score = got[i][0]
@@ -222,6 +232,57 @@ def test_license_templates(spark):
     assert [got[i][0][5] for i in (1, 2, 3, 4)] == ["mit", "mit", "", "mit"]
 
 
+def test_license_labels_of_null_and_shared_ids(spark):
+    grant = license_scan.TEMPLATES["mit"][0]
+    rows = [(None, grant), (None, "nothing at all here in this one"), (None, grant), (5, grant), (5, "other words"), (5, None)]
+    got = sorted((r.doc_id or 0, r.labels, r.n_words) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    n = len(license_scan.template_words(grant))
+    assert got == [(0, "", 7), (0, "mit", n), (0, "mit", n), (5, "", 0), (5, "", 2), (5, "mit", n)]
+
+
+def test_license_labels_are_those_of_plain_voting(spark):
+    """Template labels by a plain count of diagonals, on texts cut and edited from templates."""
+    import random
+
+    rng = random.Random(2)
+    known = license_scan.listed()
+    texts = []
+    for _ in range(60):
+        own = list(rng.choice(known)[3])
+        for _ in range(rng.randint(0, 4)):
+            own.insert(rng.randrange(len(own)), rng.choice(["other", "word"])) if rng.random() < 0.5 else own.pop(rng.randrange(len(own)))
+        cut = rng.randint(0, len(own) // 2)
+        texts.append(" ".join(["some", "start", *own[cut:], "end", *rng.choice(known)[3][:6]]))
+
+    def voted(text):
+        w, k, labels = license_scan.template_words(text), license_scan.GRAM, set()
+        at = {}
+        for i in range(len(w) - k + 1):
+            at.setdefault(tuple(w[i : i + k]), []).append(i)
+        for _, label, need, whole in known:
+            votes = {}
+            for j in range(len(whole) - k + 1):
+                for i in at.get(tuple(whole[j : j + k]), []):
+                    votes.setdefault(i - j, []).append((i, j))
+            spans, before = [], None
+            for diagonal in sorted(votes):
+                if before is None or diagonal - before > license_scan.BAND:
+                    spans.append([])
+                spans[-1] += votes[diagonal]
+                before = diagonal
+            for span in spans:
+                first, end = min(i for i, _ in span), max(i for i, _ in span) + k
+                shared = len(set(w[first:end]) & set(whole)) / len(set(whole))
+                if len({j for _, j in span}) >= need * (len(whole) - k + 1) and shared >= license_scan.WORDS_SHARED:
+                    labels.add(label)
+        return labels
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: v[0] for i, v in by_id(license_scan.scan(docs)).items()}
+    want = [voted(t) | set(filter(None, brute.license_base(t)[4].split(","))) for t in texts]
+    assert [set(filter(None, got[i][5].split(","))) for i in range(len(texts))] == want and sum(map(bool, want)) > 20
+
+
 def test_license_texts_and_notices(spark):
     """Passages from the middle of license texts, and short notices that differ by a word."""
     from pathlib import Path
@@ -332,6 +393,31 @@ def test_winnowing_of_large_ids(spark):
         assert [v[1] for v in got[i]] == [hashlib.sha256(edited.encode()).hexdigest()], i
 
 
+def test_winnowing_deals_out_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", 200)
+    rows = [(None, "a text without an id")] * 2000 + [(i, f"text {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = Counter(r.llm_range for r in winnowing.with_successors(docs).filter("llm_role = 2").select("llm_range").collect())
+    assert len(sizes) > 5 and max(sizes.values()) <= 2 * 2000 / len(sizes)
+    got = by_id(winnowing.successors(docs))
+    assert len(got[None]) == 2000 and len(set(got[None])) == 1 and len(got) == 2001
+
+
+def test_winnowing_likeness(spark):
+    """near_edited and near_next are the Jaccard similarity of the selected hashes."""
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 400))) for _ in range(30)] + ["", "x"]
+    got = by_id(winnowing.successors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    alike = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    chosen = lambda t: set(winnowing.winnow(t)[0].tolist())
+    for i, t in enumerate(texts):
+        follower = texts[(i + 1) % len(texts)]
+        edited = t[: len(t) - len(t) // 4] + follower[: len(t) // 4]
+        assert got[i][0][4:] == (alike(chosen(t), chosen(edited)), alike(chosen(t), chosen(follower)))
+
+
 def test_winnow_is_the_definition():
     import random
 
@@ -393,6 +479,27 @@ def test_pii_terms_behind_punctuation(spark):
     assert clean[100] == rows[8][1]
 
 
+def test_pii_of_a_long_text(spark):
+    """Many sensitive terms in one text: places as a plain search gives them, and no slow growth."""
+    import time
+
+    rows = [(i, f"the Patient of joe{i}@mail.example.com is in") for i in range(20)] + [(100 + i, "the day is in") for i in range(60)]
+    long = "ä Patient of x@y.example " * 30_000
+    docs = spark.createDataFrame([*rows, (500, long)], "doc_id long, text string")
+    began = time.time()
+    spans = {r.doc: [(s.start, s.end) for s in r.spans if s.kind == 4] for r in pii.all_spans(docs).collect()}
+    assert spans[500] == [(25 * k + 2, 25 * k + 9) for k in range(30_000)] and time.time() - began < 60
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[500] == "ä [TERM] of [EMAIL] " * 30_000 and clean[101] == rows[21][1]
+
+
+def test_pii_term_far_before_its_entity(spark):
+    rows = [(i, f"some words Kontakt{' ' * 200}joe{i}@mail.example.com") for i in range(8)] + [(100 + i, "some words") for i in range(20)]
+    rows += [(200 + i, "Kontakt" + " " * 90) for i in range(3)]
+    spans = {r.doc: [(s.start, s.end) for s in r.spans if s.kind == 4] for r in pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[3] == [(11, 18)] and spans[200] == [(0, 7)]
+
+
 def test_words_of_matches_numpy():
     import pyarrow as pa
 
