@@ -2,10 +2,11 @@
 
 Jaccard distance is a metric, but texts that share no shingle all lie at distance 1, where the triangle
 inequality says nothing. So the space is first cut into what can be connected at all, without losing a link: of two
-sets with similarity s or more, the first n - ceil(s n) + 1 shingles in any fixed total order have one in common.
-Documents that share such a shingle, directly or through others, are a region. The order puts shingles that a count
-sketch of the whole corpus shows as frequent last, so a passage that many texts share hardly joins them; the sketch
-decides cost only, never results.
+sets with similarity s or more, the first n - ceil(s n) + l shingles in any fixed total order have l in common. l is
+a share (EXTRA) of a set's size, and the sizes of linked sets differ by the factor s at most, so a set with fewer
+shingles in common with others than s l has no partner and goes at once; a passage that stands in other texts too is not
+enough. What is left and shares such a shingle, directly or through others, is a region. The order puts shingles
+that a count sketch of the whole corpus shows as frequent last; the sketch decides cost only, never results.
 
 A region is joined recursively, with e = 1 - s. Pivots far from each other are chosen and exact distances to them are
 computed; a document within e of a pivot is linked to it and needs no comparison with the others there. Every document
@@ -41,6 +42,7 @@ from .minhash_dedup import _by_label, _edges, _unpacked, digest, family_sets
 
 WORDS = 5
 NUM, DEN = 75, 100  # similarity at least NUM / DEN
+EXTRA_NUM, EXTRA_DEN = 5, 100  # share of a set that its prefix is longer than one common shingle needs
 SKETCH_LOG2 = 20  # counters
 SALTS = 64  # parts of a frequent shingle's rows, and of a large region's
 SLICE = 1 << 16
@@ -122,7 +124,14 @@ def frequency_classes(seen: DataFrame) -> np.ndarray:
 
 
 def prefix_length(n: int, num: int = NUM, den: int = DEN) -> int:
-    return n - -(-num * n // den) + 1 if n else 0
+    more = max(1, -(-EXTRA_NUM * n // EXTRA_DEN))
+    return min(n, n - -(-num * n // den) + more) if n else 0
+
+
+def least_shared(n):
+    """How many shingles of its prefix a set of n has in common with any partner at least: the smallest partner's share."""
+    smallest = F.ceil(n * NUM / DEN)
+    return F.greatest(F.lit(1), F.ceil(smallest * EXTRA_NUM / EXTRA_DEN))
 
 
 def ordered_prefix(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,19 +145,17 @@ def ordered_prefix(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np
 
 
 def postings(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFrame:
-    """h, k1, hot: the prefix of each document's set; a task gives that of equal sets once (while it remembers)."""
+    """h, k1, n, hot: the prefix of each document's set; a task gives that of equal sets once (while it remembers)."""
     shared = common.share(docs.sparkSession, classes)
 
     def emit(batches):
         classes, known = shared(), set()
         for batch in batches:
-            hashes, sets, hots, held = [], [], [], 0
+            hashes, sets, sizes, hots, held = [], [], [], [], 0
 
             def flush():
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(sets)), pa.array(np.concatenate(hots))],
-                    names=["h", "k1", "hot"],
-                )
+                columns = np.concatenate(hashes).view(np.int64), np.concatenate(sets), np.concatenate(sizes), np.concatenate(hots)
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "k1", "n", "hot"])
 
             for _, own in common.shingle_sets(batch.column("text"), words):
                 if not len(own) or (key := int(digest(own)[0])) in known:
@@ -160,14 +167,15 @@ def postings(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFr
                 hashes.append(prefix)
                 hots.append(hot)
                 sets.append(np.full(len(prefix), key, dtype=np.int64))
+                sizes.append(np.full(len(prefix), len(own), dtype=np.int32))
                 held += len(prefix)
                 if held > 1 << 17:
                     yield flush()
-                    hashes, sets, hots, held = [], [], [], 0
+                    hashes, sets, sizes, hots, held = [], [], [], [], 0
             if hashes:
                 yield flush()
 
-    return docs.select("text").mapInArrow(emit, "h long, k1 long, hot boolean")
+    return docs.select("text").mapInArrow(emit, "h long, k1 long, n int, hot boolean")
 
 
 def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -184,21 +192,20 @@ def linked(common_, n, m):
 
 
 def connected(posted: DataFrame) -> DataFrame:
-    """k1, region: sets that share a posted shingle, directly or through others, in regions of two or more."""
-    # frequent shingles are cut into parts, which meet in their smallest members
+    """k1, region: sets that share enough posted shingles with others, in regions of two or more that share one."""
+    # frequent shingles are cut into parts here; that they are shared needs no proof
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k1"), F.lit(SALTS)) + 1).otherwise(0)
     part = Window.partitionBy("h", salt)
-    placed = posted.withColumns({"a": F.min("k1").over(part), "most": F.max("k1").over(part)})
-    placed = common.stored(placed.filter("hot or a <> most").select("h", "hot", "a", F.col("k1").alias("b")), "shared")
-    links = placed.filter("a <> b").select("a", "b").distinct()
-    heads = placed.filter("hot").select("h", F.col("a").alias("b")).distinct()
-    least = heads.groupBy("h").agg(F.min("b").alias("a"))
-    between = heads.join(least, "h").filter("a <> b").select("a", "b").distinct()
+    met = posted.withColumns({"least": F.min("k1").over(part), "most": F.max("k1").over(part)})
+    met = common.stored(met.filter("hot or least <> most").select("h", "k1", "n"), "shared")
+    enough = met.groupBy("k1").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least_shared(F.col("n")))
+    left = common.stored(met.select("h", "k1").join(enough.select("k1"), "k1", "left_semi"), "left")
+    heads = left.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("most")).filter("a <> most").select("h", "a")
     # all heads of a set meet in the smallest one, which leaves few different links in a dense place
-    stars = links.unionByName(between).groupBy("b").agg(F.min("a").alias("head"), F.collect_set("a").alias("heads"))
+    stars = left.join(heads, "h").groupBy(F.col("k1").alias("b")).agg(F.min("a").alias("head"), F.collect_set("a").alias("heads"))
     stars = common.stored(stars, "stars")
-    met = stars.select(F.col("head").alias("a"), F.explode("heads").alias("b")).unionByName(stars.select(F.col("head").alias("a"), "b"))
-    labels = groups(met.filter("a <> b").distinct())
+    links = stars.select(F.col("head").alias("a"), F.explode("heads").alias("b")).unionByName(stars.select(F.col("head").alias("a"), "b"))
+    labels = groups(links.filter("a <> b").distinct())
     return labels.select(F.col("node").alias("k1"), F.col("label").alias("region"))
 
 

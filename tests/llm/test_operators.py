@@ -335,6 +335,24 @@ def test_jaccard_join(spark, odd):
     assert sum(map(len, got.values())) == len(rows)
 
 
+def test_prefixes_of_linked_sets_share_enough():
+    """The bound by which sets without a partner go, on pairs exactly at the threshold."""
+    import random
+
+    rng = random.Random(5)
+    for n in [*range(1, 60), 100, 333, 1000]:
+        for m in {n, -(-3 * n // 4), (n + -(-3 * n // 4)) // 2}:
+            both = -(-3 * (n + m) // 7)  # the fewest common elements of linked sets
+            if both > m:
+                continue
+            pool = rng.sample(range(10**6), n + m - both)
+            x, y = sorted(pool[:n]), sorted(pool[n - both :])
+            assert len(y) == m and 100 * both >= 75 * len(pool)
+            shared = len(set(x[: jaccard_join.prefix_length(n)]) & set(y[: jaccard_join.prefix_length(m)]))
+            small = -(-75 * n // 100)
+            assert shared >= max(1, -(-5 * small // 100)), (n, m)
+
+
 @pytest.mark.parametrize("region, block", [(1 << 21, 1 << 20), (1500, 1 << 20), (400, 900)])
 def test_jaccard_join_in_regions(spark, monkeypatch, region, block):
     """Families of edited copies around the threshold: in tasks, split in rounds, and dealt out in blocks."""
