@@ -46,7 +46,7 @@ EXTRA_NUM, EXTRA_DEN = 5, 100  # share of a set that its prefix is longer than o
 SKETCH_LOG2 = 20  # counters
 SALTS = 64  # parts of a frequent shingle's rows, and of a large region's
 SLICE = 1 << 16
-REGION = 1 << 21  # shingles of a region that one task joins
+REGION = 1 << 22  # shingles of a region that one task joins
 BLOCK = 1 << 20  # shingles of a block of a region that pivots don't make smaller
 PIVOTS = 8  # of a large region in a round
 DIRECT = 48  # documents of a region that are compared directly
@@ -192,17 +192,22 @@ def linked(common_, n, m):
 
 
 def connected(posted: DataFrame) -> DataFrame:
-    """k1, region: sets that share enough posted shingles with others, in regions of two or more that share one."""
+    """k1, region: sets that share enough posted shingles with sets of a fitting size, in regions of two or more that share one."""
     # frequent shingles are cut into parts here; that they are shared needs no proof
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k1"), F.lit(SALTS)) + 1).otherwise(0)
-    part = Window.partitionBy("h", salt)
-    met = posted.withColumns({"least": F.min("k1").over(part), "most": F.max("k1").over(part)})
-    met = common.stored(met.filter("hot or least <> most").select("h", "k1", "n"), "shared")
+    by_size = Window.partitionBy("h", salt).orderBy("n")
+    fits_below = F.lag("n").over(by_size) * DEN >= F.col("n") * NUM
+    fits_above = F.lead("n").over(by_size) * NUM <= F.col("n") * DEN
+    met = posted.withColumn("met", F.col("hot") | F.coalesce(fits_below, F.lit(False)) | F.coalesce(fits_above, F.lit(False)))
+    met = common.stored(met.filter("met").select("h", "k1", "n"), "shared")
     enough = met.groupBy("k1").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least_shared(F.col("n")))
-    left = common.stored(met.select("h", "k1").join(enough.select("k1"), "k1", "left_semi"), "left")
-    heads = left.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("most")).filter("a <> most").select("h", "a")
+    # sizes that fit lie in the same class or in neighbouring ones; a set goes to its own and the next
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + SLACK).cast("int")
+    left = met.join(enough.select("k1"), "k1", "left_semi").select("h", "k1", F.explode(F.array(size_class, size_class + 1)).alias("size_class"))
+    left = common.stored(left, "left")
+    heads = left.groupBy("h", "size_class").agg(F.min("k1").alias("a"), F.max("k1").alias("most")).filter("a <> most").drop("most")
     # all heads of a set meet in the smallest one, which leaves few different links in a dense place
-    stars = left.join(heads, "h").groupBy(F.col("k1").alias("b")).agg(F.min("a").alias("head"), F.collect_set("a").alias("heads"))
+    stars = left.join(heads, ["h", "size_class"]).groupBy(F.col("k1").alias("b")).agg(F.min("a").alias("head"), F.collect_set("a").alias("heads"))
     stars = common.stored(stars, "stars")
     links = stars.select(F.col("head").alias("a"), F.explode("heads").alias("b")).unionByName(stars.select(F.col("head").alias("a"), "b"))
     labels = groups(links.filter("a <> b").distinct())
