@@ -35,13 +35,13 @@ def rows_of(names: list[str], rows: list) -> list[tuple]:
     return sorted(repr(tuple(row[i] for i in order)) for row in rows)
 
 
-def compare(spark, sf_dir: str, name: str, run, sql: str | None) -> tuple[bool, str]:
+def compare(spark, sf_dir: str, name: str, run, sql: str | None) -> tuple[bool | None, str]:
     started = time.time()
     df = run(spark, sf_dir)
     got = df.collect()
     took = f"{time.time() - started:.1f}s"
     if sql is None:
-        return True, f"{len(got)} rows, no SQL, {took}"
+        return None, f"{len(got)} rows, no SQL, {took}"
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
@@ -70,8 +70,8 @@ def main(sf_dir: str, only: list[str]) -> int:
             ok, text = compare(spark, sf_dir, name, run, sql.get(name))
         except Exception as problem:  # report and go on with the next query
             ok, text = False, f"{type(problem).__name__}: {str(problem)[:600]}"
-        print(f"{'ok  ' if ok else 'FAIL'} {name}: {text}", flush=True)
-        failed += [] if ok else [name]
+        print(f"{'ran ' if ok is None else 'ok  ' if ok else 'FAIL'} {name}: {text}", flush=True)
+        failed += [name] if ok is False else []
     print(f"{len(failed)} failed: {' '.join(failed)}")
     return 1 if failed else 0
 

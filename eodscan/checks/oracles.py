@@ -6,8 +6,9 @@ row count), not the way the Spark job computes it.
 
 from __future__ import annotations
 
-from eodscan.checks.settings import LADDER_SYMBOLS, LAST_DAY, LINK_BASE, SPINE_END, SPINE_START
+from eodscan.checks.settings import LADDER_SYMBOLS, LAST_DAY, LINK_BASE, RANGE_END, RANGE_START, SPINE_END, SPINE_START
 from eodscan.fixtures import LEDGER_CUTOFF
+from eodscan.plans import HISTORY_LABELS, HOT_CAKE_LABELS, LADDER_LABELS
 from eodscan.schemas import (
     HISTORY_LOOKBACK,
     INDICATOR_LOOKBACK,
@@ -16,6 +17,7 @@ from eodscan.schemas import (
     SCREEN_LOOKBACK,
     SHORT_TIERS,
     TREND_FLAGS,
+    UPLOAD_LOOKBACK,
     average_column,
     average_columns,
     trend_columns,
@@ -355,6 +357,13 @@ def _typed_bars(where: str = "TRUE") -> str:
   FROM bars WHERE {where}"""
 
 
+LADDER_MARKED = list(TREND_FLAGS.values())
+
+
+def _as_shown(labels: dict[str, str]) -> str:
+    return ", ".join(f'{column} AS "{label}"' for column, label in labels.items())
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "unit_ratio": f"""WITH {bars()} SELECT symbol, series, date1,
@@ -457,7 +466,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN regexp_matches(symbol, '^[A-Za-z]') THEN 1 ELSE 2 END AS bucket, symbol
             FROM names""",
         "deep_link": f"""WITH {bars()}
-            SELECT symbol, date1, '{LINK_BASE}/?symbol=' || symbol || '&date=' ||
+            SELECT symbol, date1, '{LINK_BASE}/?symbol=' || url_encode(symbol) || '&date=' ||
               strftime(date1, '%Y-%m-%d') AS link FROM eq""",
         "events_panel": f"""WITH eq AS (
               SELECT user_id AS symbol, ' EQ' AS series, CAST(ts AS DATE) AS date1,
@@ -469,6 +478,18 @@ def oracle_sql() -> dict[str, str]:
         "csv_round_trip": f"WITH {bars()} {_typed_bars(f'NOT ({BAD_CLOSE})')}",
         "mixed_headers": f"WITH {bars('n_name')} {_typed_bars()}",
         "many_paths": f"WITH {bars('r_name')} {_typed_bars()}",
+        "quoted_breaks": f"""WITH {bars('n_name')} SELECT * REPLACE
+            (CASE WHEN no_of_trades % 2 = 1 THEN symbol || chr(10) || 'and, "more"' ELSE symbol END AS symbol)
+            FROM ({_typed_bars()})""",
+        "folder_range": f"""WITH {bars('r_name')} {_typed_bars(f"day(date1) <= 2 AND date1 BETWEEN DATE '{RANGE_START}' AND DATE '{RANGE_END}'")}""",
+        "zip_files": f"WITH {bars('r_name')} {_typed_bars()}",
+        "upload_span": f"""WITH {MONTHS} SELECT as_of AS end_date, date1 FROM as_ofs JOIN ledger
+            ON date1 BETWEEN as_of - {UPLOAD_LOOKBACK} AND as_of""",
+        "ladder_marks": f"""SELECT symbol, date1, avg_days, {", ".join(f"coalesce({c} = 1, FALSE) AS mark_{c}" for c in LADDER_MARKED)}
+            FROM ({ladder("n_name")})""",
+        "hot_cake_names": f"SELECT as_of, {_as_shown(HOT_CAKE_LABELS)} FROM ({hot_cake()})",
+        "ladder_names": f"SELECT symbol, date1, {_as_shown(LADDER_LABELS)} FROM ({ladder('r_name')})",
+        "history_names": f"SELECT as_of, symbol, {_as_shown(HISTORY_LABELS)} FROM ({history_ctes('r_name')} {HISTORY_SELECT})",
         "csv_rejects": f"""WITH {bars()} SELECT 'bad number in close_price' AS reason, date1,
             count(*) AS n FROM bars WHERE {BAD_CLOSE} GROUP BY date1""",
         "text_scan": f"WITH {bars('n_name')} {_typed_bars()}",
@@ -483,14 +504,8 @@ def oracle_sql() -> dict[str, str]:
             no_of_trades AS copies FROM bars""",
         "append_inferred": f"""WITH {bars("r_name")} SELECT symbol, date1, 2 * no_of_trades AS trades
             FROM eq""",
-        "incremental_ingest": f"""WITH {indicators("n_name", "month")} SELECT symbol, date1,
-            avg_close_1_days, avg_close_4_days, cmp_avg_p_signal1, cmp_avg_p_signal4
-            FROM indicators""",
-        "split_days_stream": f"""WITH {indicators("n_name", "month")} SELECT symbol, date1,
-            avg_close_1_days, avg_close_4_days, cmp_avg_p_signal1, cmp_avg_p_signal4
-            FROM indicators""",
-        "late_load": f"""WITH {indicators("n_name", "month")} SELECT symbol, date1,
-            avg_close_1_days, avg_close_4_days, cmp_avg_p_signal1, cmp_avg_p_signal4
-            FROM indicators""",
+        "incremental_ingest": f"WITH {indicators('n_name', 'month')} SELECT * REPLACE (trim(series) AS series) FROM indicators",
+        "split_days_stream": f"WITH {indicators('n_name', 'month')} SELECT * REPLACE (trim(series) AS series) FROM indicators",
+        "late_load": f"WITH {indicators('n_name', 'month')} SELECT * REPLACE (trim(series) AS series) FROM indicators",
     }
     return sql

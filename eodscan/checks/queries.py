@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from eodscan import fixtures as fx
 from eodscan.checks.oracles import BAD_CLOSE, BAR_NUMBERS, HIGHLIGHTED, MOVING, TWENTY, TWO_ROWS
-from eodscan.checks.settings import LADDER_SYMBOLS, LAST_DAY, LINK_BASE, SPINE_END, SPINE_START
+from eodscan.checks.settings import LADDER_SYMBOLS, LAST_DAY, LINK_BASE, RANGE_END, RANGE_START, SPINE_END, SPINE_START
 from eodscan.functions import alpha_first, deep_link, is_series, strip, unit_ratio
 from eodscan.operators import (
     available,
@@ -32,9 +32,13 @@ from eodscan.operators import (
     reindex,
     relabel,
     top2_flags,
+    upload_window,
 )
 from eodscan.plans import (
     DASHBOARD_LABELS,
+    HISTORY_LABELS,
+    HOT_CAKE_LABELS,
+    LADDER_LABELS,
     alpha_first_sort,
     build_indicators,
     dashboard,
@@ -47,6 +51,7 @@ from eodscan.plans import (
 )
 from eodscan.schemas import (
     BARS,
+    INDICATOR_COLUMNS,
     KEYS,
     MEASURES,
     SCREEN_LOOKBACK,
@@ -62,6 +67,7 @@ from eodscan.sources import (
     one_row_per_key,
     read_daily,
     read_daily_text,
+    read_daily_zip,
     scratch_dir,
     split_lines,
 )
@@ -353,6 +359,31 @@ def history_marks(spark, sf):
     return marked.select("symbol", "date1", *wanted)
 
 
+@query
+def ladder_marks(spark, sf):
+    marked = display_flags(symbol_ladder(*_both(spark, sf, "n_name")))
+    return marked.select("symbol", "date1", "avg_days", *[c for c in marked.columns if c.startswith("mark_")])
+
+
+@query
+def hot_cake_names(spark, sf):
+    shown = relabel(plain(_month_end_hot_cake(spark, sf)), HOT_CAKE_LABELS)
+    return shown.select("as_of", *[f"`{c}`" for c in HOT_CAKE_LABELS.values()])
+
+
+@query
+def ladder_names(spark, sf):
+    shown = relabel(symbol_ladder(*_both(spark, sf, "r_name")), LADDER_LABELS)
+    return shown.select("symbol", "date1", *[f"`{c}`" for c in LADDER_LABELS.values()])
+
+
+@query
+def history_names(spark, sf):
+    rows, indicators = _both(spark, sf, "r_name")
+    shown = relabel(plain(signal_history(rows, indicators, fx.month_ends(fx.ledger(spark, sf)))), HISTORY_LABELS)
+    return shown.select("as_of", "symbol", *[f"`{c}`" for c in HISTORY_LABELS.values()])
+
+
 @query
 def column_layout(spark, sf):
     built = build_indicators(fx.bars(spark, sf, "r_name")).drop("pricechange_per")
@@ -444,6 +475,67 @@ def many_paths(spark, sf):
     return _loaded(read_daily(spark, folders)[0])
 
 
+@query
+def quoted_breaks(spark, sf):
+    """Symbols with a line break and a quote in them, in quoted fields."""
+    text = _as_text(fx.bars(spark, sf, "n_name"))
+    broken = F.when(F.col("no_of_trades") % 2 == 1, F.concat("symbol", F.lit('\nand, "more"'))).otherwise(F.col("symbol"))
+    folder = scratch_dir(spark, "csv")
+    text.withColumn("symbol", broken).write.options(header=True, escape='"').csv(folder)
+    return _loaded(read_daily(spark, folder, quoted_breaks=True)[0])
+
+
+def _write_named(files: DataFrame, folder: str) -> str:
+    """Files (name, content) under their own names, which Spark's writers would choose themselves."""
+    spark = files.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    store = at(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for row in files.toLocalIterator():
+        out = store.create(at(f"{folder}/{row['name']}"))
+        out.write(bytes(row["content"]))
+        out.close()
+    return folder
+
+
+def _write_days(rows: DataFrame, folder: str) -> str:
+    """A daily file for each date of rows, named for it."""
+    text = _as_text(rows)
+    columns = F.array_join(F.array(*[F.coalesce(F.col(c), F.lit("")) for c in text.columns]), ",")
+    day = F.date_format(F.to_date(F.trim("date1"), "dd-MMM-yyyy"), "ddMMyyyy")
+    lines = text.select(day.alias("day"), columns.alias("line"))
+    header = ",".join(c.upper() for c in text.columns)
+    files = lines.groupBy("day").agg(F.concat_ws("\n", F.lit(header), F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("content"))
+    listed = files.select(F.concat(F.lit("sec_bhavdata_full_"), "day", F.lit(".csv")).alias("name"), "content")
+    return _write_named(listed.select("name", F.col("content").cast("binary").alias("content")), folder)
+
+
+@query
+def folder_range(spark, sf):
+    """Of a folder of daily files those named for a day in the range; the first two days of every month are written."""
+    rows = fx.bars(spark, sf, "r_name").filter(F.dayofmonth("date1") <= 2)
+    folder = _write_days(rows, scratch_dir(spark, "days"))
+    return _loaded(read_daily(spark, folder, RANGE_START, RANGE_END)[0])
+
+
+@query
+def zip_files(spark, sf):
+    """Archives on disk, written by tasks and read by the archive reader."""
+    rows = _as_text(fx.bars(spark, sf, "r_name"))
+    packed = rows.mapInPandas(_archives, "path string, content binary")
+    files = packed.select(F.concat("path", F.lit(".zip")).alias("name"), "content")
+    return _loaded(read_daily_zip(spark, _write_named(files, scratch_dir(spark, "zip")))[0])
+
+
+@query
+def upload_span(spark, sf):
+    """Loaded days of the upload window that ends on each month's last loaded day."""
+    ledger = fx.ledger(spark, sf)
+    ends = ledger.groupBy(F.trunc("date1", "month")).agg(F.max("date1").alias("end_date")).select("end_date")
+    first, last = upload_window(F.col("end_date"))
+    spans = ends.select("end_date", F.explode(F.sequence(first, last)).alias("date1"))
+    return available(spans, ledger)
+
+
 @query
 def csv_rejects(spark, sf):
     folder = _write_csv(_spoiled(fx.bars(spark, sf)), scratch_dir(spark, "csv"))
@@ -536,16 +628,6 @@ def append_inferred_(spark, sf):
     return spark.table(table).groupBy("symbol", "date1").agg(F.sum("no_of_trades").alias("trades"))
 
 
-STORED_SAMPLE = [
-    "symbol",
-    "date1",
-    "avg_close_1_days",
-    "avg_close_4_days",
-    "cmp_avg_p_signal1",
-    "cmp_avg_p_signal4",
-]
-
-
 @query
 def incremental_ingest(spark, sf):
     text = _as_text(fx.bars(spark, sf, "n_name", "month").repartitionByRange(3, "date1"))
@@ -553,7 +635,7 @@ def incremental_ingest(spark, sf):
     tables = _new_tables(spark)
     stream = stream_days(spark, landing, tables, scratch_dir(spark, "stream"), max_files=1)
     stream.awaitTermination()
-    return spark.table(tables.indicators).select(*STORED_SAMPLE)
+    return spark.table(tables.indicators).select(*INDICATOR_COLUMNS)
 
 
 @query
@@ -563,7 +645,7 @@ def split_days_stream(spark, sf):
     landing = _write_csv(text, scratch_dir(spark, "landing"))
     tables = _new_tables(spark)
     stream_days(spark, landing, tables, scratch_dir(spark, "stream"), max_files=1).awaitTermination()
-    return spark.table(tables.indicators).select(*STORED_SAMPLE)
+    return spark.table(tables.indicators).select(*INDICATOR_COLUMNS)
 
 
 @query
@@ -573,7 +655,7 @@ def late_load(spark, sf):
     tables = _new_tables(spark)
     load_days(spark, good.filter(~late), tables)
     load_days(spark, good.filter(late), tables)
-    return spark.table(tables.indicators).select(*STORED_SAMPLE)
+    return spark.table(tables.indicators).select(*INDICATOR_COLUMNS)
 
 
 def queries() -> dict[str, Query]:

@@ -23,7 +23,7 @@ def alpha_first(col: Column) -> Column:
 
 
 def deep_link(base_url: str, symbol: Column, day: Column) -> Column:
-    """Link to the detail page of one symbol on one day."""
+    """Link to the detail page of one symbol on one day; the symbol is encoded (`M&M`)."""
     return F.format_string(
-        "%s/?symbol=%s&date=%s", F.lit(base_url), symbol, F.date_format(day, "yyyy-MM-dd")
+        "%s/?symbol=%s&date=%s", F.lit(base_url), F.url_encode(symbol), F.date_format(day, "yyyy-MM-dd")
     )

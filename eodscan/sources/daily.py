@@ -13,7 +13,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from eodscan.functions.dates import FILE_PREFIX, FILE_SUFFIX, file_date, parse_trade_date
 from eodscan.functions.numbers import number_or_null, unit_ratio, whole_number_or_null
@@ -23,7 +23,8 @@ from eodscan.schemas import BARS, COUNT_COLUMNS, DAILY_COLUMNS, KEYS, PRICE_COLU
 REQUIRED = ["symbol", "series", "date1", "ttl_trd_qnty", "no_of_trades"]
 
 # fixed values: texts that mean "no number here" in a numeric column
-MISSING_MARKERS = ["", "-", "#N/A", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+MISSING_MARKERS = ["", "-", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN"]
+MISSING_MARKERS += ["<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 # an archive's lines reach Spark in blocks of this many
 LINES_PER_BLOCK = 20_000
@@ -145,11 +146,13 @@ def read_daily(
     start: dt.date | str | None = None,
     end: dt.date | str | None = None,
     bad_values: str = "reject",
+    quoted_breaks: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Daily CSV files under one or several paths -> (good, rejects).
 
     With start and end, only files named for a day in between are read; others are never opened.
-    Every file is read by its own header line; the lines of a file without a usable one are rejects.
+    Every file is read by its own header line; the lines of a file without one, or with several that differ,
+    are rejects. quoted_breaks: quoted fields may hold line breaks (one more shuffle of the lines).
     """
     paths = [path] if isinstance(path, str) else list(path)
     if start is not None or end is not None:
@@ -157,7 +160,8 @@ def read_daily(
     if not paths:
         lines = spark.createDataFrame([], "source string, value string")
     else:
-        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("source"), "value")
+        lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("source"), "value", *_place())
+        lines = whole_records(lines) if quoted_breaks else lines.select("source", "value")
     good, rejects = split_lines(with_headers(lines), bad_values)
     dropped = (
         file_headers(lines)
@@ -182,13 +186,50 @@ def is_header(line: Column) -> Column:
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """(source, header) of the files among lines (source, value) that have a header."""
-    return lines.filter(is_header(F.col("value"))).groupBy("source").agg(F.min("value").alias("header"))
+    """(source, header, one) of the files among lines (source, value) that have a header; one: all their headers name
+    the same columns in the same order."""
+    named = F.lower(F.regexp_replace("value", r'[\s"]', ""))
+    found = lines.filter(is_header(F.col("value"))).groupBy("source")
+    return found.agg(F.min("value").alias("header"), (F.min(named) == F.max(named)).alias("one"))
+
+
+def _place() -> list[Column]:
+    """Where a line stands: the part of the file that a task reads, and its place in there."""
+    return [F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")]
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """Lines (source, value, block, nth) -> records (source, value): a line that ends inside quotes goes on in the next.
+
+    A line begins inside quotes if an odd number of them stands before it in its file. They are counted per part of the
+    file first, so a large file stays split; a record may run over several parts.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    parts = lines.groupBy("source", "block").agg(F.sum(quotes).alias("inside"))
+    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("source", "block", F.coalesce(F.sum("inside").over(earlier), F.lit(0)).alias("ahead"))
+    in_part = Window.partitionBy("source", "block").orderBy("nth")
+    own = F.coalesce(F.sum("quotes").over(in_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.withColumn("quotes", quotes).join(parts, ["source", "block"])
+    opened = placed.withColumn("opens", F.when((F.col("ahead") + own) % 2 == 0, 1).otherwise(0))
+    numbered = opened.withColumn("record", F.sum("opens").over(in_part.rowsBetween(Window.unboundedPreceding, 0)))
+    # a part's lines before its first record belong to the last record of the parts before it
+    counts = opened.groupBy("source", "block").agg(F.sum("opens").alias("records"))
+    begun = F.when(F.col("records") > 0, F.struct(F.col("block").alias("in_block"), F.col("records").alias("number")))
+    last = counts.select("source", "block", F.last(begun, ignorenulls=True).over(earlier).alias("open"))
+    keyed = numbered.join(last, ["source", "block"]).select(
+        "source",
+        F.when(F.col("record") > 0, F.col("block")).otherwise(F.col("open.in_block")).alias("in_block"),
+        F.when(F.col("record") > 0, F.col("record")).otherwise(F.col("open.number")).alias("number"),
+        F.struct("block", "nth", "value").alias("part"),
+    )
+    records = keyed.groupBy("source", "in_block", "number").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return records.select("source", F.array_join(F.col("parts.value"), "\n").alias("value"))
 
 
 def with_headers(lines: DataFrame) -> DataFrame:
     """Lines (source, value) -> (source, places, line), each with the places of its own file's header."""
-    headers = file_headers(lines).select("source", header_places(F.col("header")).alias("places"))
+    headers = file_headers(lines).select("source", F.when(F.col("one"), header_places(F.col("header"))).alias("places"))
     content = lines.filter(~is_header(F.col("value")) & (strip(F.col("value")) != ""))
     return content.join(headers, "source", "left").select("source", "places", F.col("value").alias("line"))
 
