@@ -128,11 +128,13 @@ _SPIKES = f"""{_flag(f"{d('e.ratio')} > m.avg_ratio_7_days * 2")} AS spike_vs_av
     {_flag("e.ratio > coalesce(m.prev_ratio, 0) * 2")} AS spike_vs_prev_day"""
 
 
-def indicators(grain: str = "s_name", period: str = "day") -> str:
+def indicators(grain: str = "s_name", period: str = "day", stored: bool = False) -> str:
+    """stored: the prices come from a table of doubles, so their difference is one of doubles."""
+    change = f"{d('e.close_price')} - {d('e.prev_close')} AS price_change" if stored else "e.price_change"
     return f"""{bars(grain, period)},
 {means()},
 indicators AS (
-  SELECT e.symbol, e.series, e.date1, e.price_change, e.pricechange_per,
+  SELECT e.symbol, e.series, e.date1, {change}, e.pricechange_per,
     {", ".join(f"m.{c}" for c in average_columns())},
     {_trend_sql()},
     {_SPIKES}
@@ -504,8 +506,8 @@ def oracle_sql() -> dict[str, str]:
             no_of_trades AS copies FROM bars""",
         "append_inferred": f"""WITH {bars("r_name")} SELECT symbol, date1, 2 * no_of_trades AS trades
             FROM eq""",
-        "incremental_ingest": f"WITH {indicators('n_name', 'month')} SELECT * REPLACE (trim(series) AS series) FROM indicators",
-        "split_days_stream": f"WITH {indicators('n_name', 'month')} SELECT * REPLACE (trim(series) AS series) FROM indicators",
-        "late_load": f"WITH {indicators('n_name', 'month')} SELECT * REPLACE (trim(series) AS series) FROM indicators",
+        "incremental_ingest": f"WITH {indicators('n_name', 'month', True)} SELECT * REPLACE (trim(series) AS series) FROM indicators",
+        "split_days_stream": f"WITH {indicators('n_name', 'month', True)} SELECT * REPLACE (trim(series) AS series) FROM indicators",
+        "late_load": f"WITH {indicators('n_name', 'month', True)} SELECT * REPLACE (trim(series) AS series) FROM indicators",
     }
     return sql
