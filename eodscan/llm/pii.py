@@ -123,9 +123,9 @@ def term_spans(docs: DataFrame, sensitive: DataFrame) -> DataFrame:
     """doc, th, kind, start, end of every occurrence of the sensitive terms."""
     rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text").filter("text is not null")
     each = rows.select("doc", "th", F.explode(_terms(F.col("text"))).alias("term"))
-    own = each.join(sensitive.select("term"), "term").select(F.col("doc").alias("own_doc"), F.col("th").alias("own_th")).distinct()
-    texts = rows.join(own, F.col("doc").eqNullSafe(F.col("own_doc")) & (F.col("th") == F.col("own_th")), "left_semi")
-    texts = texts.dropDuplicates(["doc", "th"])
+    own = each.join(sensitive.select("term"), "term").groupBy(F.col("doc").alias("own_doc"), F.col("th").alias("own_th"))
+    own = own.agg(F.collect_set("term").alias("terms"))
+    texts = rows.dropDuplicates(["doc", "th"]).join(own, F.col("doc").eqNullSafe(F.col("own_doc")) & (F.col("th") == F.col("own_th")))
 
     def pieces(gap: Column, closing: Column) -> Column:
         """(skip, word) of each term of a gap, and what follows the last with the address that closes the gap."""
@@ -139,13 +139,41 @@ def term_spans(docs: DataFrame, sensitive: DataFrame) -> DataFrame:
 
     text = F.col("text")
     addresses = F.regexp_extract_all(text, F.lit(PATTERNS[0]), F.lit(0))
-    split = texts.select("doc", "th", F.split(text, PATTERNS[0], -1).alias("gaps"), addresses.alias("addresses"))
+    split = texts.select("doc", "th", "terms", F.split(text, PATTERNS[0], -1).alias("gaps"), addresses.alias("addresses"))
     flat = F.flatten(F.zip_with("gaps", "addresses", lambda gap, address: pieces(gap, F.coalesce(F.length(address), F.lit(0)))))
-    each = split.select("doc", "th", F.posexplode(flat).alias("nth", "piece")).select("doc", "th", "nth", "piece.skip", "piece.word")
-    so_far = Window.partitionBy("doc", "th").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    placed = each.withColumn("end", F.sum((F.col("skip") + F.length("word")).cast("long")).over(so_far)).filter("word <> ''")
-    marked = placed.join(sensitive.select(F.col("term").alias("known")), F.lower(F.col("word")) == F.col("known"), "left_semi")
-    return marked.select("doc", "th", F.lit(4).alias("kind"), (F.col("end") - F.length("word")).alias("start"), "end")
+
+    def once(df: DataFrame, name: str, value: Column, *kept: str) -> DataFrame:
+        """inline() of one struct: the value is made once a row, whatever uses it"""
+        return df.select("doc", "th", *kept, F.inline(F.array(F.struct(value.alias(name)))))
+
+    def size(piece: Column) -> Column:
+        return (piece["skip"] + F.length(piece["word"])).cast("long")
+
+    # places are running sums; in runs of about the root of their number, so that no growing array is copied often
+    rows = once(split, "flat", flat, "terms")
+    step = F.ceil(F.sqrt(F.size("flat"))).cast("int")
+    runs = F.transform(F.sequence(F.lit(1), F.size("flat"), step), lambda i: F.slice("flat", i, step))
+    rows = once(rows, "runs", runs, "terms")
+    zero = F.lit(0).cast("long")
+    sums = F.transform("runs", lambda run: F.aggregate(run, zero, lambda total, piece: total + size(piece)))
+    none = F.array().cast("array<bigint>")
+    starts = F.aggregate(
+        sums,
+        F.struct(zero.alias("at"), none.alias("out")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        lambda acc: acc["out"],
+    )
+    rows = once(rows, "starts", starts, "terms", "runs")
+    no_spans = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def mark(acc, piece):
+        end = acc["at"] + size(piece)
+        more = F.concat(acc["spans"], F.array(F.struct((end - F.length(piece["word"])).alias("start"), end.alias("end"))))
+        hit = F.array_contains("terms", F.lower(piece["word"]))
+        return F.struct(end.alias("at"), F.when(hit, more).otherwise(acc["spans"]).alias("spans"))
+
+    found = F.flatten(F.zip_with("runs", "starts", lambda run, at: F.aggregate(run, F.struct(at.alias("at"), no_spans.alias("spans")), mark, lambda acc: acc["spans"])))
+    return rows.select("doc", "th", F.explode(found).alias("s")).select("doc", "th", F.lit(4).alias("kind"), "s.start", "s.end")
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
