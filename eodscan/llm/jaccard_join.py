@@ -17,7 +17,8 @@ Regions are joined in turn: members of one group are not compared again, small r
 are those that do not get smaller (where all distances to pivots are alike the inequality excludes nothing).
 
 Regions of up to REGION shingles are joined inside a task, several in one. Larger ones, which may hold a third of all
-documents, are split by the same rule as a Spark job, round by round. What does not shrink is dealt out as pairs
+documents, are first cut by size (linked sets lie in one class of sizes or in neighbouring ones), then split by
+the same rule as a Spark job, round by round. What does not shrink is dealt out as pairs
 of blocks of about BLOCK shingles. Tasks give back links that join their groups, fewer than documents, not pairs.
 
 Equal sets are one class from the start. Shingles are 64-bit hashes, equal sets have equal 128-bit digests.
@@ -191,6 +192,11 @@ def linked(common_, n, m):
     return common_ * DEN >= (n + m - common_) * NUM
 
 
+def size_class(n):
+    """Sizes that allow a link lie in the same class or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(DEN / NUM)) + SLACK).cast("int")
+
+
 def connected(posted: DataFrame) -> DataFrame:
     """k1, region: sets that share enough posted shingles with sets of a fitting size, in regions of two or more that share one."""
     # frequent shingles are cut into parts here; that they are shared needs no proof
@@ -201,9 +207,8 @@ def connected(posted: DataFrame) -> DataFrame:
     met = posted.withColumn("met", F.col("hot") | F.coalesce(fits_below, F.lit(False)) | F.coalesce(fits_above, F.lit(False)))
     met = common.stored(met.filter("met").select("h", "k1", "n"), "shared")
     enough = met.groupBy("k1").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least_shared(F.col("n")))
-    # sizes that fit lie in the same class or in neighbouring ones; a set goes to its own and the next
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM)) + SLACK).cast("int")
-    left = met.join(enough.select("k1"), "k1", "left_semi").select("h", "k1", F.explode(F.array(size_class, size_class + 1)).alias("size_class"))
+    own = size_class(F.col("n"))
+    left = met.join(enough.select("k1"), "k1", "left_semi").select("h", "k1", F.explode(F.array(own, own + 1)).alias("size_class"))
     left = common.stored(left, "left")
     heads = left.groupBy("h", "size_class").agg(F.min("k1").alias("a"), F.max("k1").alias("most")).filter("a <> most").drop("most")
     # all heads of a set meet in the smallest one, which leaves few different links in a dense place
@@ -314,6 +319,16 @@ def joined_in_tasks(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- regions too large for a task
 
 
+def by_size(rows: DataFrame) -> DataFrame:
+    """Large regions cut by the sizes of their sets: a set is at home in its own class and a guest in the one below."""
+    own = size_class(F.col("n"))
+    goes = F.explode(F.array(F.struct(own.alias("c"), F.lit(True).alias("home")), F.struct((own - 1).alias("c"), F.lit(False).alias("home"))))
+    dealt = rows.select("region", "node", "n", "own", goes.alias("to"))
+    dealt = dealt.select(F.xxhash64("region", "to.c").alias("region"), "node", "n", "own", "to.home", F.lit(None).cast("long").alias("before"))
+    used = dealt.groupBy("region").agg(F.max("home").alias("used")).filter("used").select("region")
+    return dealt.join(used, "region", "left_semi")
+
+
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One round over large regions (region, node, n, own, home): the smaller regions with the size `before` of the
     one they come from, and the links to pivots."""
@@ -353,14 +368,16 @@ def by_blocks(rows: DataFrame) -> DataFrame:
 def region_links(rows: DataFrame) -> DataFrame:
     """a, b: links that join the groups of the regions (region, node, n, own)."""
     rows = rows.withColumn("home", F.lit(True)).withColumn("before", F.lit(None).cast("long"))
-    found = None
+    found, first = None, True
     while True:
         totals = rows.groupBy("region").agg(F.sum("n").alias("total"))
         sized = common.stored(rows.join(totals, "region"), "regions")
         parts = [joined_in_tasks(sized.filter(F.col("total") <= REGION))]
         large = sized.filter(F.col("total") > REGION)
         more = not large.isEmpty()
-        if more:
+        if more and first:
+            rows = by_size(large)
+        elif more:
             shrinks = F.coalesce(F.col("total") <= 0.75 * F.col("before"), F.lit(True))
             parts.append(by_blocks(large.filter(~shrinks)))
             rows, links = split(large.filter(shrinks).withColumn("before", F.col("total")))
@@ -370,6 +387,7 @@ def region_links(rows: DataFrame) -> DataFrame:
             found = part if found is None else found.unionByName(part)
         if not more:
             return found
+        first = False
 
 
 # ---------------------------------------------------------------- the operator
