@@ -47,8 +47,8 @@ EXTRA_NUM, EXTRA_DEN = 5, 100  # share of a set that its prefix is longer than o
 SKETCH_LOG2 = 20  # counters
 SALTS = 64  # parts of a frequent shingle's rows, and of a large region's
 SLICE = 1 << 16
-REGION = 1 << 22  # shingles of a region that one task joins
-BLOCK = 1 << 20  # shingles of a block of a region that pivots don't make smaller
+REGION = 1 << 24  # shingles of a region that one task joins
+BLOCK = 1 << 22  # shingles of a block of a region that pivots don't make smaller
 PIVOTS = 8  # of a large region in a round
 DIRECT = 48  # documents of a region that are compared directly
 BROADCAST_IDS = 1_000_000  # 8 MB of ids; above it a shuffled join
