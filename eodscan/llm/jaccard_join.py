@@ -222,6 +222,12 @@ def connected(posted: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- regions inside a task
 
 
+def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lengths), lengths)
+
+
 class Sets:
     """The sets of a task's region: distances between them, and the groups found so far."""
 
@@ -234,16 +240,23 @@ class Sets:
         self.code = code[useful]
         self.begins = np.searchsorted(where[useful], np.arange(len(nodes) + 1))
         self.marked = np.zeros(len(times), dtype=bool)
+        self.holders = where[useful][np.argsort(self.code, kind="stable")].astype(np.int32)
+        self.ends = np.cumsum(np.where(times > 1, times, 0))
+        self.times = times
 
     def shared(self, x: int, others: np.ndarray) -> np.ndarray:
-        """Numbers of elements that x has in common with each of the others."""
+        """Numbers of elements that x has in common with each of the others: by the holders of its own elements, or by
+        a look at all elements of the others, whichever are fewer."""
         own = self.code[self.begins[x] : self.begins[x + 1]]
-        self.marked[own] = True
         lengths = self.begins[others + 1] - self.begins[others]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[others] - (ends - lengths), lengths)
-        hits = np.concatenate([[0], np.cumsum(self.marked[self.code[at]])])
+        held = self.times[own]
+        if held.sum() + len(self.nodes) < lengths.sum():
+            at = _ranges(self.ends[own] - held, held)
+            return np.bincount(self.holders[at], minlength=len(self.nodes))[others]
+        self.marked[own] = True
+        hits = np.concatenate([[0], np.cumsum(self.marked[self.code[_ranges(self.begins[others], lengths)]])])
         self.marked[own] = False
+        ends = np.cumsum(lengths)
         return hits[ends] - hits[ends - lengths]
 
     def link(self, x: int, others: np.ndarray) -> None:
