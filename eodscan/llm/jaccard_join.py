@@ -201,19 +201,23 @@ def connected(posted: DataFrame) -> DataFrame:
     """k1, region: sets that share enough posted shingles with sets of a fitting size, in regions of two or more that share one."""
     # frequent shingles are cut into parts here; that they are shared needs no proof
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k1"), F.lit(SALTS)) + 1).otherwise(0)
-    by_size = Window.partitionBy("h", salt).orderBy("n")
-    fits_below = F.lag("n").over(by_size) * DEN >= F.col("n") * NUM
-    fits_above = F.lead("n").over(by_size) * NUM <= F.col("n") * DEN
-    met = posted.withColumn("met", F.col("hot") | F.coalesce(fits_below, F.lit(False)) | F.coalesce(fits_above, F.lit(False)))
+    by_set = Window.partitionBy("h", "salt").orderBy("n", "k1")
+    once = posted.withColumn("salt", salt).withColumn("before", F.lag("k1").over(by_set))
+    once = once.filter("before is null or before <> k1")  # equal sets of several tasks
+    fits_below = F.lag("n").over(by_set) * DEN >= F.col("n") * NUM
+    fits_above = F.lead("n").over(by_set) * NUM <= F.col("n") * DEN
+    met = once.withColumn("met", F.col("hot") | F.coalesce(fits_below, F.lit(False)) | F.coalesce(fits_above, F.lit(False)))
     met = common.stored(met.filter("met").select("h", "k1", "n"), "shared")
     enough = met.groupBy("k1").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least_shared(F.col("n")))
     own = size_class(F.col("n"))
-    left = met.join(enough.select("k1"), "k1", "left_semi").select("h", "k1", F.explode(F.array(own, own + 1)).alias("size_class"))
+    left = met.join(enough.select("k1"), "k1", "left_semi").select("h", "k1", "n", F.explode(F.array(own, own + 1)).alias("size_class"))
     left = common.stored(left, "left")
     heads = left.groupBy("h", "size_class").agg(F.min("k1").alias("a"), F.max("k1").alias("most")).filter("a <> most").drop("most")
-    # all heads of a set meet in the smallest one, which leaves few different links in a dense place
-    stars = left.join(heads, ["h", "size_class"]).groupBy(F.col("k1").alias("b")).agg(F.min("a").alias("head"), F.collect_set("a").alias("heads"))
-    stars = common.stored(stars, "stars")
+    # linked sets lie in one class together, so each of them has enough shared shingles in that class alone; all heads
+    # of a set meet in the smallest one, which leaves few different links in a dense place
+    of_set = left.join(heads, ["h", "size_class"]).groupBy(F.col("k1").alias("b"), "size_class")
+    stars = of_set.agg(F.min("a").alias("head"), F.collect_set("a").alias("heads"), F.count("*").alias("c"), F.max("n").alias("n"))
+    stars = common.stored(stars.filter(F.col("c") >= least_shared(F.col("n"))).select("b", "head", "heads"), "stars")
     links = stars.select(F.col("head").alias("a"), F.explode("heads").alias("b")).unionByName(stars.select(F.col("head").alias("a"), "b"))
     labels = groups(links.filter("a <> b").distinct())
     return labels.select(F.col("node").alias("k1"), F.col("label").alias("region"))
