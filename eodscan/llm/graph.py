@@ -9,18 +9,29 @@ from . import common
 
 
 def groups(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) for edges (a, b): label propagation with pointer jumping."""
-    both = common.stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = common.stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "labels")
+    """node, label (the smallest node reachable) for edges (a, b).
+
+    Every node points at its smallest neighbour or itself, pointers are doubled until they reach a root, and the links
+    are contracted to links between different roots; so each round handles only the links that are left."""
+    links = common.stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = None
     while True:
-        near = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
-        best = both.join(near, "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        lower = labels.join(best, "node").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jumped"))
-        lower = lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("jumped", "label")).alias("label"))
-        lower = common.stored(lower, "labels")
-        labels = lower.select("node", "label")
-        if lower.filter("old <> label").isEmpty():
+        roots = common.stored(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")), "labels")
+        while True:
+            up = roots.select(F.col("node").alias("label"), F.col("label").alias("above"))
+            lifted = roots.join(up, "label").select("node", F.col("above").alias("label"), (F.col("above") != F.col("label")).alias("moved"))
+            lifted = common.stored(lifted, "labels")
+            roots = lifted.select("node", "label")
+            if lifted.filter("moved").isEmpty():
+                break
+        if labels is None:
+            labels = roots
+        else:
+            now = roots.select(F.col("node").alias("label"), F.col("label").alias("now"))
+            labels = common.stored(labels.join(now, "label", "left").select("node", F.coalesce("now", "label").alias("label")), "labels")
+        of_a = roots.select(F.col("node").alias("a"), F.col("label").alias("root_a"))
+        of_b = roots.select(F.col("node").alias("b"), F.col("label").alias("root_b"))
+        left = links.join(of_a, "a").join(of_b, "b").filter("root_a <> root_b")
+        links = common.stored(left.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "edges")
+        if links.isEmpty():
             return labels
