@@ -96,7 +96,7 @@ def split_typed(
     refused = checked.filter("_fatal <> ''").select(
         "source", F.col("_fatal").alias("reason"), "raw", one
     )
-    rejects = refused.unionByName(surplus_rows(readable, good))
+    rejects = refused.unionByName(surplus_rows(readable))
     if numbers:
         reported = checked.filter("_fatal = '' and _kept <> ''").select(
             "source", F.concat(F.lit("kept as null: "), "_kept").alias("reason"), "raw", one
@@ -112,27 +112,37 @@ def _raw_text(raw: DataFrame, text: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*[text[c].alias(c) for c in DAILY_COLUMNS]))
 
 
-def one_row_per_key(rows: DataFrame) -> DataFrame:
-    """Smallest row of each key. min() combines on the map side, so copies never pile up."""
+def one_row_per_key(rows: DataFrame, many_copies: bool = False) -> DataFrame:
+    """Smallest row of each key. min() combines on the map side, so rows of one key never pile up in one task.
+
+    That sorts what a task holds; with many_copies equal rows are counted by hash first (one more shuffle of distinct rows).
+    """
     rest = [c for c in rows.columns if c not in KEYS]
     smallest = F.min(F.struct(*rest)).alias("_row")
+    if many_copies:
+        # the filter keeps all; a plain distinct() below min() is dropped by the optimizer
+        rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0").drop("_n")
     return rows.groupBy(*KEYS).agg(smallest).select(*KEYS, "_row.*")
 
 
-def surplus_rows(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows beyond the one kept per key, each distinct row once with its number of copies."""
-    columns = rows.columns
-    balance = (
-        rows.withColumn("_n", F.lit(1))
-        .unionByName(kept.select(*columns).withColumn("_n", F.lit(-1)))
-        .groupBy(*columns)
-        .agg(F.sum("_n").alias("copies"))
-        .filter("copies > 0")
-    )
-    return balance.select(
+def _beyond_first(rows: DataFrame, told: Iterable[str] = ()) -> DataFrame:
+    """Distinct rows with their `copies` beyond the first of each key; rows with values in `told` are all beyond."""
+    rest = [c for c in rows.columns if c not in KEYS and c not in told]
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
+    place = F.row_number().over(Window.partitionBy(*KEYS, *told).orderBy(*rest))
+    stays = F.col("_place") == 1
+    for c in told:
+        stays = stays & F.col(c).isNull()
+    left = F.col("copies") - F.when(stays, 1).otherwise(0)
+    return counted.withColumn("_place", place).withColumn("copies", left).drop("_place").filter("copies > 0")
+
+
+def surplus_rows(rows: DataFrame) -> DataFrame:
+    """Rows beyond the smallest of each key, each distinct row once with its number of copies."""
+    return _beyond_first(rows).select(
         F.lit(None).cast("string").alias("source"),
         F.lit("duplicate key").alias("reason"),
-        F.to_json(F.struct(*columns)).alias("raw"),
+        F.to_json(F.struct(*rows.columns)).alias("raw"),
         "copies",
     )
 
