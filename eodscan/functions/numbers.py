@@ -40,6 +40,17 @@ def whole_number_or_null(text: Column) -> Column:
     return F.when(exact == F.floor(exact), exact.try_cast("bigint"))
 
 
+def numbers_or_null(texts: Column) -> Column:
+    """number_or_null of each element, cast once; the texts are stripped."""
+    values = F.transform(texts, lambda t: t.try_cast("double"))
+    return F.transform(values, lambda v: F.when(F.abs(v) < LARGEST, v))
+
+
+def whole_numbers_or_null(texts: Column) -> Column:
+    """whole_number_or_null of each element; plain digits need no decimal."""
+    return F.transform(texts, lambda t: F.coalesce(t.try_cast("bigint"), whole_number_or_null(t)))
+
+
 def two_decimals(col: Column) -> Column:
     """Display text with two decimals; null stays null."""
     return F.when(col.isNotNull(), F.format_string("%.2f", col.cast("double")))

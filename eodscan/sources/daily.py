@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from eodscan.functions.dates import FILE_PREFIX, FILE_SUFFIX, file_date, parse_trade_date
-from eodscan.functions.numbers import number_or_null, unit_ratio, whole_number_or_null
+from eodscan.functions.numbers import numbers_or_null, unit_ratio, whole_numbers_or_null
 from eodscan.functions.text import strip
 from eodscan.schemas import BARS, COUNT_COLUMNS, DAILY_COLUMNS, KEYS, PRICE_COLUMNS, REJECTS
 
@@ -47,64 +47,94 @@ def split_typed(
     if bad_values not in ("reject", "null"):
         raise ValueError("bad_values must be 'reject' or 'null'")
     text = {c: F.col(c) if c in raw.columns else F.lit(None).cast("string") for c in DAILY_COLUMNS}
+
+    def stripped(names: list[str]) -> Column:
+        return F.transform(F.array(*[text[c] for c in names]), strip)
+
     texts = raw.select(
         "source",
         _raw_text(raw, text).alias("raw"),
         (F.lit(True) if header_ok is None else header_ok).alias("_ok"),
-        *[(text[c] if c == "symbol" else strip(text[c])).alias(f"_t_{c}") for c in DAILY_COLUMNS],
+        text["symbol"].alias("symbol"),
+        stripped(["series", "date1"]).alias("_days"),
+        stripped(_NUMBERS).alias("_numbers"),
+        stripped(COUNT_COLUMNS).alias("_counts"),
     )
-
-    def typed(c: str) -> Column:
-        t = F.col(f"_t_{c}")
-        if c == "date1":
-            return parse_trade_date(t)
-        if c in COUNT_COLUMNS:
-            return whole_number_or_null(t)
-        return number_or_null(t) if c in _NUMBERS else t
-
-    # inline() over one struct: the casts are evaluated once, and no filter below repeats them
-    parsed = texts.select(
-        "*", F.inline(F.array(F.struct(*[typed(c).alias(c) for c in DAILY_COLUMNS])))
+    # inline() over one struct: the casts are evaluated once, and no filter below repeats them. Columns of one type go
+    # through one expression; a cast for each column makes a method that the JVM does not compile
+    read = F.struct(
+        F.get("_days", F.lit(0)).alias("series"),
+        parse_trade_date(F.get("_days", F.lit(1))).alias("date1"),
+        numbers_or_null(F.col("_numbers")).alias("_number"),
+        whole_numbers_or_null(F.col("_counts")).alias("_count"),
     )
+    parsed = texts.select("*", F.inline(F.array(read)))
 
-    def unreadable(c: str) -> Column:
-        t = F.col(f"_t_{c}")
-        given = t.isNotNull() & ~t.isin(MISSING_MARKERS)
-        return F.when(given & F.col(c).isNull(), F.lit(f"bad number in {c}"))
+    def unreadable(names: list[str], given: str, values: str) -> Column:
+        def problem(t: Column, i: Column) -> Column:
+            bad = F.get(values, i).isNull() & t.isNotNull() & ~t.isin(MISSING_MARKERS)
+            return F.when(bad, F.concat(F.lit("bad number in "), F.get(F.array(*map(F.lit, names)), i)))
+
+        return F.transform(given, problem)
 
     fatal = [
         F.when(~F.col("_ok"), F.lit("no usable header")),
         F.when(F.col("date1").isNull(), F.lit("bad date in date1")),
     ]
-    numbers = [unreadable(c) for c in [*_NUMBERS, *COUNT_COLUMNS]]
+    numbers = [unreadable(_NUMBERS, "_numbers", "_number"), unreadable(COUNT_COLUMNS, "_counts", "_count")]
     if bad_values == "reject":
         fatal, numbers = [*fatal, *numbers], []
 
+    typed = {c: F.col(c) for c in KEYS}
+    typed |= {c: F.get("_number", F.lit(i)) for i, c in enumerate(_NUMBERS)}
+    typed |= {c: F.get("_count", F.lit(i)) for i, c in enumerate(COUNT_COLUMNS)}
     checked = parsed.select(
         "source",
         "raw",
-        *DAILY_COLUMNS,
+        *[typed[c].alias(c) for c in DAILY_COLUMNS],
         F.concat_ws("; ", *fatal).alias("_fatal"),
         F.concat_ws("; ", F.lit(None).cast("string"), *numbers).alias("_kept"),
     )
-    readable = checked.filter("_fatal = ''").select(
-        *DAILY_COLUMNS, unit_ratio(F.col("ttl_trd_qnty"), F.col("no_of_trades")).alias("ratio")
+    ratio = unit_ratio(F.col("ttl_trd_qnty"), F.col("no_of_trades"))
+    good = one_row_per_key(checked.filter("_fatal = ''").select(*DAILY_COLUMNS, ratio.alias("ratio")))
+
+    # refused lines keep their text, readable ones their values, and all are counted in one pass over the lines
+    refused = F.col("_fatal") != ""
+    told = {"_source": "source", "_reason": "_fatal", "_line": "raw"}
+    counted = checked.select(
+        *[F.when(refused, F.col(c)).alias(name) for name, c in told.items()],
+        *[F.when(~refused, F.col(c)).alias(c) for c in DAILY_COLUMNS],
+        F.when(~refused, ratio).alias("ratio"),
     )
-    good = one_row_per_key(readable)
-
-    one = F.lit(1).cast("bigint").alias("copies")
-    refused = checked.filter("_fatal <> ''").select(
-        "source", F.col("_fatal").alias("reason"), "raw", one
+    rejects = _each_refused(_beyond_first(counted, told)).select(
+        F.col("_source").alias("source"),
+        F.coalesce("_reason", F.lit("duplicate key")).alias("reason"),
+        F.when(F.col("_reason").isNull(), F.to_json(F.struct(*DAILY_COLUMNS, "ratio"))).otherwise(F.col("_line")).alias("raw"),
+        "copies",
     )
-    rejects = refused.unionByName(surplus_rows(readable))
     if numbers:
         reported = checked.filter("_fatal = '' and _kept <> ''").select(
-            "source", F.concat(F.lit("kept as null: "), "_kept").alias("reason"), "raw", one
+            "source",
+            F.concat(F.lit("kept as null: "), "_kept").alias("reason"),
+            "raw",
+            F.lit(1).cast("bigint").alias("copies"),
         )
         rejects = rejects.unionByName(reported)
     return good.select(*BARS.fieldNames()), rejects.select(*REJECTS.fieldNames())
 
 
+_PER_ARRAY = 10_000
+
+
+def _each_refused(rows: DataFrame) -> DataFrame:
+    """A refused line as often as it stands in its file, in arrays of bounded size."""
+    runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / _PER_ARRAY))
+    parts = rows.withColumn("_run", F.explode(F.when(F.col("_reason").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(runs)))
+    ones = F.least(F.lit(_PER_ARRAY), F.col("copies") - F.col("_run") * _PER_ARRAY).cast("int")
+    each = F.when(F.col("_reason").isNull(), F.array("copies")).otherwise(F.array_repeat(F.lit(1).cast("bigint"), ones))
+    return parts.withColumn("copies", F.explode(each)).drop("_run")
+
+
 def _raw_text(raw: DataFrame, text: dict[str, Column]) -> Column:
     """What a reject shows: the line itself where there is one, else its columns."""
     if "line" in raw.columns:

@@ -6,8 +6,9 @@ import io
 from pyspark.sql import functions as F
 
 from eodscan.schemas import BARS
-from eodscan.sources import one_row_per_key
+from eodscan.sources import one_row_per_key, read_daily
 from eodscan.sources.daily import surplus_rows
+from tests.test_ingest import line, text
 
 
 def plan_of(df):
@@ -31,3 +32,13 @@ def test_copies_are_counted_by_hash_before_they_are_sorted(spark):
     assert plan.rindex("HashAggregate") > plan.rindex("Sort [")
     assert [r.close_price for r in kept.collect()] == [0.0]
     assert sorted(r.copies for r in surplus_rows(rows).collect()) == [500, 500]
+
+
+def test_rejects_come_from_one_reading_of_the_lines(spark, tmp_path):
+    body = [line("GOOD"), line("BAD", close="ten"), line("BAD", close="ten"), line("TWICE"), line("TWICE"), line("TWICE", close="99")]
+    (tmp_path / "a.csv").write_text(text(*body))
+    rejects = read_daily(spark, str(tmp_path))[1]
+    # the lines, their headers, and the headers' own report
+    assert plan_of(rejects).count("FileScan text") <= 3
+    got = sorted((r.reason, r.copies) for r in rejects.collect())
+    assert got == [("bad number in close_price", 1)] * 2 + [("duplicate key", 1)] * 2
