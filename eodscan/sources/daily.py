@@ -219,7 +219,7 @@ def read_daily(
 
 def is_header(line: Column) -> Column:
     """A line naming the required columns is a header, wherever they stand in it."""
-    found = F.lit(True)
+    found = line.rlike(f"(?i){REQUIRED[0]}")  # spares most lines the patterns
     for c in REQUIRED:
         found = found & line.rlike(rf'(?i)(^|,)\s*"?{c}"?\s*(,|$)')
     return found
@@ -271,7 +271,8 @@ def with_headers(lines: DataFrame) -> DataFrame:
     """Lines (source, value) -> (source, places, line), each with the places of its own file's header."""
     headers = file_headers(lines).select("source", F.when(F.col("one"), header_places(F.col("header"))).alias("places"))
     content = lines.filter(~is_header(F.col("value")) & (strip(F.col("value")) != ""))
-    return content.join(headers, "source", "left").select("source", "places", F.col("value").alias("line"))
+    # a short row per file, as the list of files itself; lines must not be dealt out by file
+    return content.join(F.broadcast(headers), "source", "left").select("source", "places", F.col("value").alias("line"))
 
 
 def files_between(

@@ -42,3 +42,9 @@ def test_rejects_come_from_one_reading_of_the_lines(spark, tmp_path):
     assert plan_of(rejects).count("FileScan text") <= 3
     got = sorted((r.reason, r.copies) for r in rejects.collect())
     assert got == [("bad number in close_price", 1)] * 2 + [("duplicate key", 1)] * 2
+
+
+def test_lines_are_not_dealt_out_by_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(text(line("A")))
+    plan = plan_of(read_daily(spark, str(tmp_path))[0])
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
