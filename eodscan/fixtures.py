@@ -68,9 +68,10 @@ def bars(
         # rounded by plain double arithmetic, which every engine does alike
         return (F.floor(value * 1_000_000 + 0.5) / 1_000_000).cast(QUOTIENT)
 
-    # after the grouping a series has one row per day at most
+    # After the grouping a series has one row per day at most, so a symbol's rows are bounded by the calendar. Dealt out
+    # by symbol once, they serve every later window and join of a symbol as they lie.
     by_day = Window.partitionBy("symbol", "series").orderBy("date1")
-    return grouped.select(
+    return grouped.repartition("symbol").select(
         "symbol",
         "series",
         F.lag("close_price").over(by_day).alias("prev_close"),

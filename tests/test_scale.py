@@ -2,9 +2,12 @@
 
 import contextlib
 import io
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from eodscan.checks import queries as registered
 from eodscan.schemas import BARS
 from eodscan.sources import one_row_per_key, read_daily
 from eodscan.sources.daily import surplus_rows
@@ -48,3 +51,38 @@ def test_lines_are_not_dealt_out_by_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text(text(line("A")))
     plan = plan_of(read_daily(spark, str(tmp_path))[0])
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Small test tables are joined like large ones."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def small_market(spark, path):
+    lines = spark.range(200).selectExpr(
+        "id AS l_orderkey", "1 AS l_linenumber", "id % 3 AS l_partkey", "id % 2 AS l_suppkey",
+        "double(id) AS l_quantity", "double(id * 10) AS l_extendedprice",
+        "'N' AS l_returnflag", "'F' AS l_linestatus", "date_add(date'2001-01-01', int(id / 2)) AS l_shipdate",
+    )
+    lines.write.parquet(f"{path}/lineitem.parquet")
+    spark.range(2).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name").write.parquet(f"{path}/supplier.parquet")
+    return str(path)
+
+
+def dealt_by(plan, *keys):
+    return len(re.findall(r"Exchange hashpartitioning\(" + ", ".join(rf"{k}#\d+L?" for k in keys) + ",", plan))
+
+
+@pytest.mark.parametrize("name", ["symbol_snapshot", "signal_history"])
+def test_wide_rows_are_joined_where_they_lie(spark, tmp_path, no_broadcast, name):
+    shown = registered.queries()[name](spark, small_market(spark, tmp_path))
+    plan = plan_of(shown)
+    # once for the grouping into bars in each reading of them; neither spans nor the join deal anything out again
+    assert dealt_by(plan, "symbol", "series", "date1") == 2
+    assert dealt_by(plan, "symbol", "_chunk") == dealt_by(plan, "as_of", "symbol") == 0
+    assert shown.count() == {"symbol_snapshot": 200, "signal_history": 2 * (31 + 59 + 90 + 91)}[name]
