@@ -93,10 +93,13 @@ def signal_history(
     Sorted, latest first, for one date or named symbols; bulk results of many dates are left as they lie.
     """
     joined = _narrow(_facts_with_indicators(bars, indicators, HISTORY_FACTS), symbols, None)
-    history = bands(lookback(joined, as_of, days))
-    flagged = top2_flags(history, HIGHLIGHTED, ("as_of", "symbol"))
-    shown = reindex(flagged, HISTORY_COLUMNS)
     bulk = symbols is None and not isinstance(as_of, (str, dt.date))
+    banded = bands(joined)  # a row's bands are the same for every date that shows it
+    if bulk:
+        # dealt out before the dates repeat the rows; the groups of a symbol's dates are then served where they lie
+        banded = banded.select(*[c for c in HISTORY_COLUMNS if c in banded.columns]).repartition("symbol")
+    flagged = top2_flags(lookback(banded, as_of, days), HIGHLIGHTED, ("as_of", "symbol"))
+    shown = reindex(flagged, HISTORY_COLUMNS)
     return shown if bulk else shown.orderBy("symbol", "as_of", F.col("date1").desc())
 
 

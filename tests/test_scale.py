@@ -8,9 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from eodscan.checks import queries as registered
+from eodscan.plans import build_indicators, signal_history
 from eodscan.schemas import BARS
 from eodscan.sources import one_row_per_key, read_daily
 from eodscan.sources.daily import surplus_rows
+from tests.helpers import bar, bars, day
 from tests.test_ingest import line, text
 
 
@@ -86,3 +88,11 @@ def test_wide_rows_are_joined_where_they_lie(spark, tmp_path, no_broadcast, name
     assert dealt_by(plan, "symbol", "series", "date1") == 2
     assert dealt_by(plan, "symbol", "_chunk") == dealt_by(plan, "as_of", "symbol") == 0
     assert shown.count() == {"symbol_snapshot": 200, "signal_history": 2 * (31 + 59 + 90 + 91)}[name]
+
+
+def test_history_of_many_dates_is_dealt_out_before_dates_repeat_rows(spark, no_broadcast):
+    panel = bars(spark, [bar(s, n, ratio=n + 1.0) for s in "AB" for n in range(0, 120, 5)])
+    got = signal_history(panel, build_indicators(panel), [day(100), day(115)])
+    assert dealt_by(plan_of(got), "as_of", "symbol") == 0
+    marked = {(r.symbol, r.as_of, r.date1) for r in got.collect() if r.top2_ratio}
+    assert marked == {(s, day(a), day(d)) for s in "AB" for a in (100, 115) for d in (a, a - 5)}
