@@ -28,7 +28,7 @@ from . import common
 
 SEQUENCE = 2048
 GROUP = 32_768
-CACHE = 250_000  # words a worker remembers; twice as many between renewals
+CACHE = 200_000  # words a worker remembers; twice as many between renewals
 
 
 def tokenizer_path() -> str:
@@ -56,7 +56,8 @@ class Known(dict):
     def renewed(self) -> Known:
         if len(self) <= CACHE:
             return self
-        return Known(self.learn, dict(self))
+        self.old = {}  # before the new one fills up, so that two generations are held at most
+        return Known(self.learn, self)
 
 
 def packed(ids: list[int]) -> bytes:
@@ -68,14 +69,15 @@ class WordIds:
     text are those of its words in turn; words are tokenised once per worker while its memory lasts.
 
     A word of Latin letters with marks after it is one call of the vocabulary's model for the letters;
-    all other words go through the whole tokenizer."""
+    all other words go through the whole tokenizer. Letters and marks are words themselves, so one memory
+    holds all: it is what a worker's size depends on, as there are always new words."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.stems = Known(self.learn), Known(self.learn_stem)
+        self.known = Known(self.learn)
         letters = [chr(i) for i in range(0x80, ord(LATIN_END)) if chr(i).isalpha()]
         self.spelled = {
             ord(c): "".join(part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in letters
@@ -100,17 +102,13 @@ class WordIds:
         stem = lowered.rstrip(".,!?;:*#$%&")
         if not stem.isalpha() or not (stem.isascii() or max(stem) < LATIN_END):
             return self.whole(word)
-        if len(stem) == len(lowered):
-            return self.stems[stem]
-        marks = lowered[len(stem) :]
-        tail = self.stems.get(marks)  # marks are never a stem
-        if tail is None:
-            tail = self.stems[marks] = self.whole(marks)
-        return self.stems[stem] + tail
+        if stem != lowered:
+            return self.known[stem] + self.known[lowered[len(stem) :]]
+        return self.learn_stem(stem) if word == stem else self.known[stem]
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
-            self.known, self.stems = self.known.renewed(), self.stems.renewed()
+            self.known = self.known.renewed()
             yield b"".join(map(self.known.__getitem__, self.words(text))) + bytes(4)
 
 

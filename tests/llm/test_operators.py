@@ -193,6 +193,20 @@ def test_packing(spark, odd):
     assert len(sequences) <= -(-total // 2048) + 1
 
 
+def test_packing_remembers_two_generations_of_words_at_most(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 100)
+    coder = packing.WordIds(packing.tokenizer_path())
+    texts = [" ".join(f"w{chr(97 + n // 26)}{chr(97 + n % 26)}" for n in range(at, at + 10)) for at in range(0, 600, 10)]
+    got = list(coder.of(texts))
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    assert got == [packing.packed(tokenizer.encode(t, add_special_tokens=False).ids) + bytes(4) for t in texts]
+    held = [known for known in vars(coder).values() if isinstance(known, packing.Known)]
+    assert sum(len(known) + len(known.old) for known in held) <= 2 * (100 + 10)
+    assert not any(known.old.old for known in held if known.old)
+
+
 def test_packing_deals_out_repeated_rows(spark, monkeypatch):
     """No group holds much more than its share when half of all rows are one row repeated."""
     monkeypatch.setattr(packing, "place", lambda lengths, sequence: (len(lengths) + 0 * lengths, 0 * lengths))
