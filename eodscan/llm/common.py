@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 21  # texts worked on at once; a longer text is a block of its own
+BLOCK_BYTES = 1 << 18  # texts worked on at once, so that arrays of 8 bytes a byte stay in cache; a longer text is a block of its own
 
 WHITE = [0x20, *range(0x09, 0x0E)]
 

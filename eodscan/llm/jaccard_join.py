@@ -232,21 +232,41 @@ def _ranges(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lengths), lengths)
 
 
+def coded(values: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each place of a value that stands in several places (else -1); of each number how often it stands,
+    and the entries of `where` at its places, number by number.
+
+    Values are taken by their first byte, about a million at once, as sorting all of them takes several times their memory."""
+    code, times, holders, known = np.full(len(values), -1, dtype=np.int32), [], [], 0
+    bits = min(8, (len(values) >> 20).bit_length())
+    part = np.ascontiguousarray(values, dtype="<i8").view(np.uint8)[7::8] >> (8 - bits) if bits else np.zeros(len(values), np.uint8)
+    for nth in range(1 << bits):
+        at = np.flatnonzero(part == nth)
+        at = at[np.argsort(values[at], kind="stable")]
+        own = values[at]
+        begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+        n = np.diff(np.append(begins, len(own)))
+        at, n = at[np.repeat(n > 1, n)], n[n > 1]
+        code[at] = np.repeat(np.arange(known, known + len(n)), n)
+        times.append(n)
+        holders.append(where[at])
+        known += len(n)
+    return code, np.concatenate(times), np.concatenate(holders)
+
+
 class Sets:
     """The sets of a task's region: distances between them, and the groups found so far."""
 
     def __init__(self, nodes: np.ndarray, values: np.ndarray, sizes: np.ndarray):
         self.nodes, self.sizes, self.links = nodes, sizes, []
         self.top = np.arange(len(nodes))
-        where = np.repeat(np.arange(len(nodes)), sizes)
-        _, code, times = np.unique(values, return_inverse=True, return_counts=True)
-        useful = times[code] > 1  # what stands in one set only is in no intersection
+        where = np.repeat(np.arange(len(nodes), dtype=np.int32), sizes)
+        code, self.times, self.holders = coded(values, where)
+        useful = code >= 0  # what stands in one set only is in no intersection
         self.code = code[useful]
-        self.begins = np.searchsorted(where[useful], np.arange(len(nodes) + 1))
-        self.marked = np.zeros(len(times), dtype=bool)
-        self.holders = where[useful][np.argsort(self.code, kind="stable")].astype(np.int32)
-        self.ends = np.cumsum(np.where(times > 1, times, 0))
-        self.times = times
+        self.begins = np.searchsorted(where[useful], np.arange(len(nodes) + 1, dtype=np.int32))
+        self.marked = np.zeros(len(self.times), dtype=bool)
+        self.ends = np.cumsum(self.times)
 
     def shared(self, x: int, others: np.ndarray) -> np.ndarray:
         """Numbers of elements that x has in common with each of the others: by the holders of its own elements, or by

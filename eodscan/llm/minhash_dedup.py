@@ -282,8 +282,8 @@ def _unpacked(table: pa.Table, column: str):
     """For each value of column: node numbers, shingles, sizes, and the rows they stand in."""
     labels = table.column(column).to_numpy()
     nodes = table.column("node").to_numpy()
-    lists = table.column("own").combine_chunks()
-    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    chunks = table.column("own").chunks
+    lists = chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)  # not copied if it is one
     sizes = lists.value_lengths().to_numpy().astype(np.int64)
     values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
     cuts = np.flatnonzero(labels[1:] != labels[:-1]) + 1
