@@ -24,6 +24,7 @@ document: they get the same result. Different texts of one doc_id (null too) fol
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ SPAN = 100
 GRAM = 32
 WINDOW = SPAN - GRAM + 1
 LETTER = 10  # bytes; SPAN is a multiple
-CHUNK_BYTES = 1 << 19  # of segments merged at once (one anchor's segments stay together)
-MANY = CHUNK_BYTES // (SPAN + WINDOW)  # segments of one anchor, beyond which its strings are dealt out one by one
+CHUNK_BYTES = 1 << 16  # of segments merged at once (one anchor's segments stay together): their letters have 16-bit ranks
+MANY = (1 << 19) // (SPAN + WINDOW)  # segments of one anchor, beyond which its strings are dealt out one by one
 NO_ID = -(1 << 63)
 
 # ---------------------------------------------------------------- segments
@@ -288,20 +289,28 @@ def pieces(docs: DataFrame, open_: DataFrame) -> DataFrame:
     )
 
 
+def chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (h, doc, at, bytes) in order of h, about CHUNK_BYTES at a time; those of one h stay together.
+
+    What a merge costs a byte grows with the chunk: it sorts, and its arrays are many times as large."""
+    held: list[tuple] = []
+    weight = 0
+    for row in rows:
+        if weight > CHUNK_BYTES and row[0] != held[-1][0]:
+            yield held
+            held, weight = [], 0
+        held.append(row)
+        weight += len(row[3])
+    if held:
+        yield held
+
+
 def merge(cut: DataFrame) -> DataFrame:
     """doc, lo, hi for pieces whose contents differ."""
 
     def resolve(batches):
-        held: list[tuple] = []
-        weight = 0
-        for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("h", "doc", "at", "bytes"))):
-                if weight > CHUNK_BYTES and row[0] != held[-1][0]:
-                    yield resolved(held)
-                    held, weight = [], 0
-                held.append(row)
-                weight += len(row[3])
-        if held:
+        columns = ("h", "doc", "at", "bytes")
+        for held in chunks(row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in columns))):
             yield resolved(held)
 
     def resolved(held):

@@ -42,3 +42,11 @@ def test_block_takes_little_memory():
             suffix_dedup.segments(data, offsets)
 
     assert peak(scan) < 64_000_000
+
+
+def test_chunks_to_merge_are_small():
+    rows = [(h, i, 0, b"x" * 150) for h in range(2_000) for i in range(3)]
+    dealt = list(suffix_dedup.chunks(iter(rows)))
+    assert [row for held in dealt for row in held] == rows
+    assert max(sum(len(row[3]) for row in held) for held in dealt) <= (1 << 16) + 450
+    assert all(len({row[0] for row in a} & {row[0] for row in b}) == 0 for a, b in zip(dealt, dealt[1:]))
