@@ -8,7 +8,7 @@ and read by all later passes.
 Pass k holds the trie of the candidates of k - 1 words (its symbols are word numbers), takes the states of all positions
 through its levels at once, and counts the accepting states by bincount. Where the candidates of two neighbouring
 positions both stand, the k words they cover are a candidate of the next pass: all their parts are frequent, so no frequent
-phrase is missed (Apriori). Tasks add such places up before the shuffle; those that stay below MIN are no candidates. (The
+phrase is missed (Apriori). Tasks add such places up and shuffle them in packed blocks; those that stay below MIN are no candidates. (The
 usual self join of the frequent phrases would pair everything before a frequent word with everything behind it.) The
 tasks' counts are added up by Spark.
 
@@ -23,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ TOP = 2000  # of each language
 WORD_BYTES = 32_000_000
 TRIE_NODES = 4_000_000
 SLICE = 1 << 18  # places of text worked on at once
-HELD = 1 << 20  # distinct next candidates that a task holds before it gives them out
+HELD = 1 << 20  # distinct next candidates that a task holds before it gives them out; places a bucket
 
 BREAKS = r"[.,;:!?\x0A-\x0D]"
 BLANKS = r"[\x20\x09]+"
@@ -246,25 +247,56 @@ def run_slices(batches) -> Iterator[np.ndarray]:
             first = last
 
 
-def trie_pass(runs: DataFrame, trie: DoubleArray, length: int, entries: int) -> DataFrame:
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys and their counts in few bytes: steps from key to key and counts less 1, by bytes of like weight, deflated."""
+    out = []
+    for values in (np.diff(keys, prepend=0), counts - 1):
+        width = max(1, (int(values.max()).bit_length() + 7) // 8)
+        out += [bytes([width]), values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return len(keys).to_bytes(8, "little") + zlib.compress(b"".join(out), 1)
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, data, out, at = int.from_bytes(block[:8], "little"), np.frombuffer(zlib.decompress(block[8:]), dtype=np.uint8), [], 0
+    for _ in range(2):
+        width = int(data[at])
+        values = np.zeros((n, 8), dtype=np.uint8)
+        values[:, :width] = data[at + 1 : at + 1 + n * width].reshape(width, n).T
+        out.append(values.view("<u8")[:, 0].astype(np.int64))
+        at += 1 + n * width
+    return np.cumsum(out[0]), out[1] + 1
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys and the sums of their counts."""
+    keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    counts = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(counts, place, np.concatenate([c for _, c in parts]))
+    return keys, counts
+
+
+def dealt(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """A packed block for each bucket of the keys."""
+    own = (common.mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(own, kind="stable")
+    own, keys, counts = own[order], keys[order], counts[order]
+    some, begins = np.unique(own, return_index=True)
+    ends = np.append(begins[1:], len(own))
+    rows = [packed(keys[a:b], counts[a:b]) for a, b in zip(begins, ends)]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(rows, pa.binary())], names=["bucket", "block"])
+
+
+def trie_pass(runs: DataFrame, trie: DoubleArray, length: int, entries: int, buckets: int = 1) -> DataFrame:
     """Stored sums of a pass that reach MIN: (entry, null, c) of each candidate of `length` words, and (entry, last word,
-    c) of the words that follow it where the candidate at the next place stands too."""
+    c) of the words that follow it where the candidate at the next place stands too.
+
+    Most pairs of a task stand once in it, so its sums are as many as its places. They are shuffled as packed blocks, one for
+    each bucket of the keys (3 bytes a pair, where rows took 10)."""
     shared = common.share(runs.sparkSession, trie)
+    symbols = int((trie.check == -2).sum())  # a key is entry * (symbols + 1) + last + 1, without the last word + 0
 
     def run(batches):
         trie, accepted, following, held = shared(), np.zeros(entries, dtype=np.int64), [], 0
-
-        def flush():
-            keys, place = np.unique(np.concatenate([k for k, _ in following]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([c for _, c in following])).astype(np.int64)
-            return keys, counts
-
-        def rows(keys, counts):
-            return pa.RecordBatch.from_arrays(
-                [pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts)],
-                names=["entry", "last", "c"],
-            )
-
         for ids in run_slices(batches):
             state = ids
             for level in range(1, length):
@@ -275,24 +307,46 @@ def trie_pass(runs: DataFrame, trie: DoubleArray, length: int, entries: int) ->
             if length == LONGEST:
                 continue
             both = np.flatnonzero((entry[:-1] >= 0) & (entry[1:] >= 0))
-            following.append(np.unique((entry[both] << 32) | ids[both + length], return_counts=True))
+            following.append(np.unique(entry[both] * (symbols + 1) + ids[both + length] + 1, return_counts=True))
             held += len(following[-1][0])
             if held > HELD:
-                following = [flush()]
+                following = [summed(following)]
                 held = len(following[0][0])
                 if held > HELD // 2:
-                    yield rows(*following[0])
+                    yield dealt(*following[0], buckets)
                     following, held = [], 0
-        if held:
-            yield rows(*flush())
         some = np.flatnonzero(accepted)
-        if len(some):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some.astype(np.int32)), pa.nulls(len(some), pa.int32()), pa.array(accepted[some])], names=["entry", "last", "c"]
+        following.append((some * (symbols + 1), accepted[some]))
+        yield dealt(*summed(following), buckets)
+
+    def add(batches):
+        last, own, held = None, [], 0
+
+        def rows():
+            keys, counts = summed(own)
+            keys, counts = keys[counts >= MIN], counts[counts >= MIN]
+            word = keys % (symbols + 1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array((keys // (symbols + 1)).astype(np.int32)), pa.array((word - 1).astype(np.int32), mask=word == 0), pa.array(counts)],
+                names=["entry", "last", "c"],
             )
 
-    summed = runs.mapInArrow(run, "entry int, last int, c long").groupBy("entry", "last").agg(F.sum("c").alias("c"))
-    return common.stored(summed.filter(F.col("c") >= MIN), "counts")
+        for batch in batches:
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):
+                if bucket != last and own:
+                    yield rows()
+                    own, held = [], 0
+                last = bucket
+                own.append(unpacked(block.as_buffer()))
+                held += len(own[-1][0])
+                if held > 2 * HELD:
+                    own = [summed(own)]
+                    held = 0
+        if own:
+            yield rows()
+
+    blocks = runs.mapInArrow(run, "bucket int, block binary").repartition("bucket").sortWithinPartitions("bucket")
+    return common.stored(blocks.mapInArrow(add, "entry int, last int, c long"), "counts")
 
 
 def shuffled_pass(runs: DataFrame, length: int) -> DataFrame:
@@ -305,7 +359,8 @@ def shuffled_pass(runs: DataFrame, length: int) -> DataFrame:
 
 def phrases(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """ids, f of every phrase of 2 to LONGEST words with f of MIN or more."""
-    symbols = vocabulary.count()
+    symbols, places = vocabulary.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
+    buckets = 1 + places // HELD
     found, levels, tried = [], [], symbols <= TRIE_NODES
     entries = vocabulary.select(F.col("id").alias("entry"), F.array("id").alias("ids"))
     for length in range(1, LONGEST + 1):
@@ -321,7 +376,7 @@ def phrases(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
             trie.index[states] = np.arange(len(states))
 
         size = len(levels[-1][0]) if levels else symbols
-        counts = trie_pass(runs, built(symbols, nodes, fill), length, size)
+        counts = trie_pass(runs, built(symbols, nodes, fill), length, size, buckets)
         if length > 1:
             f = counts.filter("last is null").select("entry", F.col("c").alias("f"))
             found.append(entries.join(f, "entry").select("ids", "f"))

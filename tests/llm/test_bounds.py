@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from eodscan.llm import common, jaccard_join, suffix_dedup
+from eodscan.llm import common, jaccard_join, phrase_mining, suffix_dedup
 
 
 def peak(work):
@@ -50,3 +50,17 @@ def test_chunks_to_merge_are_small():
     assert [row for held in dealt for row in held] == rows
     assert max(sum(len(row[3]) for row in held) for held in dealt) <= (1 << 16) + 450
     assert all(len({row[0] for row in a} & {row[0] for row in b}) == 0 for a, b in zip(dealt, dealt[1:]))
+
+
+def test_phrase_sums_are_packed():
+    rng = np.random.default_rng(3)
+    keys, counts = np.unique(rng.integers(0, 1 << 33, 200_000)), rng.geometric(0.7, 200_000)
+    counts = counts[: len(keys)]
+    counts[5] = 1 << 40
+    batch = phrase_mining.dealt(keys, counts, 7)
+    assert batch.num_rows == 7 and batch.nbytes < 4 * len(keys)
+    got = phrase_mining.summed([phrase_mining.unpacked(b.as_buffer()) for b in batch.column("block")])
+    assert np.array_equal(got[0], keys) and np.array_equal(got[1], counts)
+    twice = phrase_mining.summed([(keys, counts), (keys, counts)])
+    assert np.array_equal(twice[0], keys) and np.array_equal(twice[1], 2 * counts)
+    assert phrase_mining.dealt(keys[:0], counts[:0], 7).num_rows == 0
