@@ -5,7 +5,10 @@ inequality says nothing. So the space is first cut into what can be connected at
 sets with similarity s or more, the first n - ceil(s n) + l shingles in any fixed total order have l in common. l is
 a share (EXTRA) of a set's size, and the sizes of linked sets differ by the factor s at most, so a set with fewer
 shingles in common with others than s l has no partner and goes at once; a passage that stands in other texts too is not
-enough. What is left and shares such a shingle, directly or through others, is a region. The order puts shingles
+enough. What is left is paired with whatever shares a shingle that few others hold, and the shared ones of each pair are
+counted; those that many hold count as shared by all of them. Pairs with enough are linked, sets with enough frequent ones
+through a set of those that hold them, and what is linked directly or through others is a region. So texts that have a
+chance shingle each in common with many others form no chain through the corpus. The order puts shingles
 that a count sketch of the whole corpus shows as frequent last; the sketch decides cost only, never results.
 
 A region is joined recursively, with e = 1 - s. Pivots far from each other are chosen and exact distances to them are
@@ -45,6 +48,7 @@ WORDS = 5
 NUM, DEN = 75, 100  # similarity at least NUM / DEN
 EXTRA_NUM, EXTRA_DEN = 5, 100  # share of a set that its prefix is longer than one common shingle needs
 SKETCH_LOG2 = 20  # counters
+FEW = 8  # holders of a shingle that are paired with each other
 SALTS = 64  # parts of a frequent shingle's rows, and of a large region's
 SLICE = 1 << 16
 REGION = 1 << 24  # shingles of a region that one task joins
@@ -135,6 +139,11 @@ def least_shared(n):
     return F.greatest(F.lit(1), F.ceil(smallest * EXTRA_NUM / EXTRA_DEN))
 
 
+def pair_shares(n):
+    """How many shingles of their prefixes a set of n and any linked one that is not smaller have in common at least."""
+    return F.greatest(F.lit(1), F.ceil(n * EXTRA_NUM / EXTRA_DEN))
+
+
 def ordered_prefix(own: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first shingles in the order (frequency class, hash), and whether each is frequent."""
     cls = classes[(own >> np.uint64(64 - SKETCH_LOG2)).astype(np.int64)]
@@ -198,7 +207,7 @@ def size_class(n):
 
 
 def connected(posted: DataFrame) -> DataFrame:
-    """k1, region: sets that share enough posted shingles with sets of a fitting size, in regions of two or more that share one."""
+    """k1, region: sets that share enough posted shingles with one set of a fitting size, in regions of such pairs."""
     # frequent shingles are cut into parts here; that they are shared needs no proof
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("k1"), F.lit(SALTS)) + 1).otherwise(0)
     by_set = Window.partitionBy("h", "salt").orderBy("n", "k1")
@@ -210,16 +219,30 @@ def connected(posted: DataFrame) -> DataFrame:
     met = common.stored(met.filter("met").select("h", "k1", "n"), "shared")
     enough = met.groupBy("k1").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least_shared(F.col("n")))
     own = size_class(F.col("n"))
-    left = met.join(enough.select("k1"), "k1", "left_semi").select("h", "k1", "n", F.explode(F.array(own, own + 1)).alias("size_class"))
-    left = common.stored(left, "left")
-    heads = left.groupBy("h", "size_class").agg(F.min("k1").alias("a"), F.max("k1").alias("most")).filter("a <> most").drop("most")
-    # linked sets lie in one class together, so each of them has enough shared shingles in that class alone; all heads
-    # of a set meet in the smallest one, which leaves few different links in a dense place
-    of_set = left.join(heads, ["h", "size_class"]).groupBy(F.col("k1").alias("b"), "size_class")
-    stars = of_set.agg(F.min("a").alias("head"), F.collect_set("a").alias("heads"), F.count("*").alias("c"), F.max("n").alias("n"))
-    stars = common.stored(stars.filter(F.col("c") >= least_shared(F.col("n"))).select("b", "head", "heads"), "stars")
-    links = stars.select(F.col("head").alias("a"), F.explode("heads").alias("b")).unionByName(stars.select(F.col("head").alias("a"), "b"))
-    labels = groups(links.filter("a <> b").distinct())
+    left = met.join(enough.select("k1"), "k1", "left_semi").select("h", "k1", "n", own.alias("own"), F.explode(F.array(own, own + 1)).alias("size_class"))
+    # linked sets lie in one class together, so they share enough in the class of the larger one
+    by_place = Window.partitionBy("h", "size_class").orderBy("n", "k1")
+    whole = by_place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier = F.collect_list(F.struct("k1", "n")).over(by_place.rowsBetween(1 - FEW, -1))
+    placed = left.select("k1", "n", "own", "size_class", F.count("*").over(whole).alias("held"), F.min("k1").over(whole).alias("head"), earlier.alias("earlier"))
+    fits = F.filter("earlier", lambda x: x["n"] * DEN >= F.col("n") * NUM)
+    none = F.lit(None).cast("long")
+    pairs = F.transform(fits, lambda x: F.struct(x["k1"].alias("a"), x["n"].alias("n"), none.alias("head")))
+    many = F.array(F.struct(none.alias("a"), F.col("n"), F.col("head")))
+    meets = F.when(F.col("held") > FEW, many).when(F.col("own") == F.col("size_class"), pairs)
+    met = common.stored(placed.select(F.col("k1").alias("b"), "size_class", F.explode(meets).alias("to")).select("b", "size_class", "to.*"), "meetings")
+    # all heads of a set meet in the smallest one, which leaves few different links in a dense place
+    of_set = met.filter("a is null").groupBy(F.col("b").alias("k1"), "size_class")
+    frequent = of_set.agg(F.count("*").alias("c"), F.max("n").alias("n"), F.min("head").alias("head"), F.collect_set("head").alias("heads"))
+    frequent = common.stored(frequent.withColumn("heads", F.when(F.col("c") >= least_shared(F.col("n")), F.col("heads"))), "frequent")
+    stars = frequent.filter("heads is not null").select("k1", "head", "heads")
+    links = stars.select(F.col("head").alias("a"), F.explode("heads").alias("b")).unionByName(stars.select(F.col("head").alias("a"), F.col("k1").alias("b")))
+    counted = met.filter("a is not null").groupBy("a", "b", "size_class").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    for end in "ab":
+        counted = counted.join(frequent.select(F.col("k1").alias(end), "size_class", F.col("c").alias(f"{end}_frequent")), [end, "size_class"], "left")
+    most = F.col("c") + F.least(F.coalesce("a_frequent", F.lit(0)), F.coalesce("b_frequent", F.lit(0)))
+    linked_ = counted.filter(most >= pair_shares(F.col("n"))).select("a", "b")
+    labels = groups(links.unionByName(linked_).filter("a <> b").distinct())
     return labels.select(F.col("node").alias("k1"), F.col("label").alias("region"))
 
 

@@ -367,6 +367,35 @@ def test_prefixes_of_linked_sets_share_enough():
             assert shared >= max(1, -(-5 * small // 100)), (n, m)
 
 
+def test_chance_shingles_make_no_region(spark):
+    """Sets that share one shingle with each of many others, pairs that share enough of rare and of frequent ones together."""
+    import itertools
+
+    n, names = 100, iter(range(10**6))
+    assert jaccard_join.prefix_length(n) == 30
+
+    def each_pair_shares_one(ids):
+        sets = {i: [] for i in ids}
+        for i, j in itertools.combinations(ids, 2):
+            shared = next(names)
+            sets[i].append(shared)
+            sets[j].append(shared)
+        return sets
+
+    chain = each_pair_shares_one(range(25))
+    dense = {100 + i: [10**7 + k for k in range(5)] for i in range(20)}  # more holders than are paired
+    pair = {200 + i: [2 * 10**7 + k for k in range(5)] for i in range(2)}
+    # one rare shingle in common, and four that many others hold, each with other ones
+    mixed = {300 + i: [3 * 10**7, *(4 * 10**7 + k for k in range(4))] for i in range(2)}
+    holders = {i: [*own, 4 * 10**7 + k] for k in range(4) for i, own in each_pair_shares_one(range(400 + 10 * k, 409 + 10 * k)).items()}
+    posted = [(h, k1, n, False) for sets in (chain, dense, pair, mixed, holders) for k1, own in sets.items() for h in own]
+    got = jaccard_join.connected(spark.createDataFrame(posted, "h long, k1 long, n int, hot boolean")).collect()
+    regions = {}
+    for r in got:
+        regions.setdefault(r.region, set()).add(r.k1)
+    assert sorted(map(sorted, regions.values())) == [sorted(dense), sorted(pair), sorted(mixed)]
+
+
 @pytest.mark.parametrize("region, block", [(1 << 21, 1 << 20), (1500, 1 << 20), (400, 900)])
 def test_jaccard_join_in_regions(spark, monkeypatch, region, block):
     """Families of edited copies around the threshold: in tasks, split in rounds, and dealt out in blocks."""
