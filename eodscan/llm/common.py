@@ -29,14 +29,36 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """The rows written to shared storage and read back: cuts lineage, survives lost executors."""
+    """The rows written to shared storage and read back: cuts lineage, survives lost executors.
+
+    The shuffles of the write go with its end; else they stay on disk until the driver happens to collect its garbage."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_IDS = 1_000_000  # 8 MB of ids; above it a shuffled join
+
+
+def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """docs whose doc_id is (left_semi) or is not (left_anti) among ids (doc); ids must be stored.
+
+    The ids are broadcast only if they were counted and are few: else the texts are shuffled."""
+    ids = ids.select(F.col("doc").alias("llm_doc"))
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("llm_doc"), how)
+
+
 def share(spark: SparkSession, value) -> Callable:
     """Broadcasts a value of bounded size; tasks call the result once to get it. Classes travel by value."""
     packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -55,7 +55,6 @@ REGION = 1 << 24  # shingles of a region that one task joins
 BLOCK = 1 << 22  # shingles of a block of a region that pivots don't make smaller
 PIVOTS = 8  # of a large region in a round
 DIRECT = 48  # documents of a region that are compared directly
-BROADCAST_IDS = 1_000_000  # 8 MB of ids; above it a shuffled join
 
 EPS = 1 - NUM / DEN
 SLACK = 1e-9
@@ -188,15 +187,6 @@ def postings(docs: DataFrame, classes: np.ndarray, words: int = WORDS) -> DataFr
     return docs.select("text").mapInArrow(emit, "h long, k1 long, n int, hot boolean")
 
 
-def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """docs whose doc_id is (left_semi) or is not (left_anti) among ids (doc); ids must be stored.
-
-    The ids are broadcast only if they were counted and are few."""
-    ids = ids.select(F.col("doc").alias("llm_doc"))
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("llm_doc"), how)
-
-
 def linked(common_, n, m):
     return common_ * DEN >= (n + m - common_) * NUM
 
@@ -386,7 +376,7 @@ def by_size(rows: DataFrame) -> DataFrame:
     dealt = rows.select("region", "node", "n", "own", goes.alias("to"))
     dealt = dealt.select(F.xxhash64("region", "to.c").alias("region"), "node", "n", "own", "to.home", F.lit(None).cast("long").alias("before"))
     used = dealt.groupBy("region").agg(F.max("home").alias("used")).filter("used").select("region")
-    return dealt.join(used, "region", "left_semi")
+    return dealt.join(F.broadcast(used), "region", "left_semi")
 
 
 def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -412,7 +402,7 @@ def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.xxhash64("region", "q").alias("region"), "node", "n", "own", (F.col("home") & (F.col("q") == F.col("nearest"))).alias("home"), "before"
     )
     used = dealt.groupBy("region").agg(F.max("home").alias("used")).filter("used").select("region")
-    return dealt.join(used, "region", "left_semi"), links
+    return dealt.join(F.broadcast(used), "region", "left_semi"), links
 
 
 def by_blocks(rows: DataFrame) -> DataFrame:
@@ -425,29 +415,31 @@ def by_blocks(rows: DataFrame) -> DataFrame:
     return joined_in_tasks(pairs.select(task.alias("region"), "node", "own", "home"))
 
 
-def region_links(rows: DataFrame) -> DataFrame:
-    """a, b: links that join the groups of the regions (region, node, n, own)."""
-    rows = rows.withColumn("home", F.lit(True)).withColumn("before", F.lit(None).cast("long"))
-    found, first = None, True
+def region_links(docs: DataFrame, members: DataFrame, words: int = WORDS) -> DataFrame:
+    """a, b: links that join the groups of the regions of members (region, node, doc_id, k1, k2, n)."""
+    # the sets themselves come in only where they are joined: with regions that a task joins, they are not stored
+    totals = members.groupBy("region").agg(F.sum("n").alias("total"))
+    members = common.stored(members.join(totals, "region"), "members")
+    small, large = members.filter(F.col("total") <= REGION), members.filter(F.col("total") > REGION)
+    found = common.stored(joined_in_tasks(family_sets(docs, small, words).withColumn("home", F.lit(True))), "links")
+    if large.isEmpty():
+        return found
+    rows = by_size(common.stored(family_sets(docs, large, words).select("region", "node", "n", "own"), "large"))
     while True:
         totals = rows.groupBy("region").agg(F.sum("n").alias("total"))
-        sized = common.stored(rows.join(totals, "region"), "regions")
+        sized = common.stored(rows.join(F.broadcast(totals), "region"), "regions")  # a row for each part of a large region
         parts = [joined_in_tasks(sized.filter(F.col("total") <= REGION))]
         large = sized.filter(F.col("total") > REGION)
         more = not large.isEmpty()
-        if more and first:
-            rows = by_size(large)
-        elif more:
+        if more:
             shrinks = F.coalesce(F.col("total") <= 0.75 * F.col("before"), F.lit(True))
             parts.append(by_blocks(large.filter(~shrinks)))
             rows, links = split(large.filter(shrinks).withColumn("before", F.col("total")))
             parts.append(links)
         for part in parts:
-            part = common.stored(part, "links")
-            found = part if found is None else found.unionByName(part)
+            found = found.unionByName(common.stored(part, "links"))
         if not more:
             return found
-        first = False
 
 
 # ---------------------------------------------------------------- the operator
@@ -460,7 +452,7 @@ def classed(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     classes = common.stored(rows.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("node")), "classes")
     posted = postings(docs.filter("doc_id is not null"), frequency_classes(seen), words)
     members = classes.join(connected(posted), "k1")
-    edges = region_links(family_sets(docs, members, words))
+    edges = region_links(docs, members, words)
     joined = classes.join(groups(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = joined.groupBy("label").agg(F.min("doc_id").alias("component"))
     return seen.filter("slice is null").drop("slice", "counts"), joined.join(least, "label").select("k1", "k2", "n", "component")
@@ -485,4 +477,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: of each group of near duplicates the document with the smallest id stays."""
     found = components(docs)
     gone = common.stored(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("doc")).distinct(), "copies")
-    return among(docs, gone, "left_anti").select(*docs.columns)
+    return common.among(docs, gone, "left_anti").select(*docs.columns)

@@ -170,8 +170,8 @@ def family_sets(docs: DataFrame, members: DataFrame, words: int = WORDS) -> Data
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), lists], names=["k1", "k2", "own"])
 
     # one text of each class: that of the row that names it, found by id and then told apart by its digest
-    wanted = members.select(F.col("doc_id").alias("llm_doc")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("llm_doc"), "left_semi")
+    wanted = common.stored(members.select(F.col("doc_id").alias("doc")).distinct(), "wanted")
+    texts = common.among(docs.select("doc_id", "text"), wanted)
     sets = texts.select("text").mapInArrow(run, "k1 long, k2 long, own array<bigint>")
     return members.join(sets.dropDuplicates(["k1", "k2"]), ["k1", "k2"])
 

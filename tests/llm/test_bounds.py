@@ -1,5 +1,6 @@
 """Memory and bytes of the operators' steps."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -34,6 +35,34 @@ def test_region_counts_shared_elements():
             assert sets.shared(x, np.arange(50 * copies)).tolist() == want * copies
 
 
+def test_stored_rows_leave_no_shuffle(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for name in disk.getAllBlocks().mkString(" ").split() if name.startswith("shuffle")}
+
+    before = shuffles()
+    kept = common.stored(spark.range(1000).repartition(3, "id"), "dealt")
+    until = time.time() + 5
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and kept.count() == 1000
+
+
+def test_sets_of_regions_are_not_stored(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join([*base, f"end{i}"])) for i in range(12)], "doc_id long, text string")
+    own, stored = [], common.stored
+
+    def noted(df, label):
+        own.extend([label] * ("own" in df.columns))
+        return stored(df, label)
+
+    monkeypatch.setattr(common, "stored", noted)
+    assert {r.component_id for r in jaccard_join.components(docs).collect()} == {0}
+    assert not own
+
+
 def test_block_takes_little_memory():
     texts = pa.array(["some words of a text " * 100] * 2_000)  # 4 MB
 
