@@ -59,10 +59,14 @@ def among(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("llm_doc"), how)
 
 
-def share(spark: SparkSession, value) -> Callable:
-    """Broadcasts a value of bounded size; tasks call the result once to get it. Classes travel by value."""
-    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: cloudpickle.loads(packed.value)
+def share(spark: SparkSession, value, views: bool = False) -> Callable:
+    """Broadcasts a value of bounded size; tasks call the result once to get it. Classes travel by value.
+
+    views: arrays are read-only views of what was broadcast, so that a worker holds them once."""
+    arrays: list = []
+    packed = cloudpickle.dumps(value, protocol=5, buffer_callback=arrays.append if views else None)
+    shared = spark.sparkContext.broadcast((packed, [a.raw().tobytes() for a in arrays]))
+    return lambda: cloudpickle.loads(shared.value[0], buffers=shared.value[1])
 
 
 def kept_by_worker(name: str, make: Callable):

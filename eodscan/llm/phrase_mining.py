@@ -12,9 +12,11 @@ phrase is missed (Apriori). Tasks add such places up and shuffle them in packed
 usual self join of the frequent phrases would pair everything before a frequent word with everything behind it.) The
 tasks' counts are added up by Spark.
 
-A double array: state s goes with symbol c to slot (base[s] + c) modulo its size, if check of that slot is s.
-The first level's states are the word numbers themselves. Tries are built on the driver and broadcast up to TRIE_NODES
-nodes (WORD_BYTES bytes of words), 32 bytes a node. Beyond, words are numbered by a join, and phrases are counted by a shuffle.
+A double array: state s goes with symbol c to slot (base[s] + c) modulo the number of slots, if check of that slot is s.
+The first level's states are the word numbers themselves and have no slots. A node's children take their slots all levels at
+once, nodes with most children first, so that those still find room. Tries are built on the driver and broadcast up to TRIE_NODES
+nodes (WORD_BYTES bytes of words), 18 bytes a node and more where many nodes have many
+children; a worker holds them once. Beyond, words are numbered by a join, and phrases are counted by a shuffle.
 
 Edge cases: null text is empty; null lang is `und`. Words of any length are whole. Repeated rows, and rows without an id,
 count as often as they stand. Language values without a candidate don't come up; an empty table gives no rows. Extra
@@ -62,7 +64,8 @@ class DoubleArray:
     """A trie whose first-level states are the symbols 0 .. symbols - 1, and index[s], the number of the entry of s."""
 
     def __init__(self, symbols: int, nodes: int):
-        self.size = 1 << max(4, (symbols + 4 * nodes).bit_length())
+        self.symbols, self.room = symbols, max(16, symbols, nodes + nodes // 2)
+        self.size = symbols + self.room
         self.base = np.zeros(self.size, dtype=np.int32)
         self.check = np.full(self.size, -1, dtype=np.int32)
         self.index = np.full(self.size, -1, dtype=np.int32)
@@ -71,51 +74,68 @@ class DoubleArray:
 
     def add_level(self, parents: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The states of new children, one of each distinct (parent, symbol); parents had no children before."""
-        slots = np.empty(len(parents), dtype=np.int64)
-        order = np.lexsort((symbols, parents))
-        cuts = np.flatnonzero(np.diff(parents[order])) + 1
-        begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(order)]])
-        if not len(order):
-            return slots
-        counts, mask = ends - begins, self.size - 1
-        for nth in np.argsort(-counts, kind="stable"):
-            if counts[nth] == 1:
+        return self.add_levels([(parents, symbols)])[0]
+
+    def add_levels(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """The same for several levels; from the second on, parents are places in the level before."""
+        orders, begins, counts = [], [], []
+        for parents, symbols in levels:
+            order = np.lexsort((symbols, parents))
+            first = np.flatnonzero(np.diff(parents[order], prepend=-1))
+            orders.append(order)
+            begins.append(first)
+            counts.append(np.diff(np.append(first, len(order))))
+        level = np.repeat(np.arange(len(levels)), [len(n) for n in counts])
+        sorted_ = [symbols[order].astype(np.int64) for (_, symbols), order in zip(levels, orders)]
+        begin, count = np.concatenate([[], *begins]).astype(np.int64), np.concatenate([[], *counts]).astype(np.int64)
+        bases, taken = np.empty(len(level), dtype=np.int64), self.check[self.symbols :] != -1
+        for nth in np.argsort(-count, kind="stable"):
+            if count[nth] == 1:
                 break
-            own = order[begins[nth] : ends[nth]]
-            slots[own] = self._placed(int(parents[own[0]]), symbols[own].astype(np.int64))
-        single = order[begins[counts == 1]]  # these fit anywhere
-        free = np.flatnonzero(self.check == -1)[: len(single)]
-        slots[single] = free
-        self.base[parents[single]] = (free - symbols[single]) & mask
-        self.check[free] = parents[single]
-        return slots
-
-    def _placed(self, parent: int, symbols: np.ndarray) -> np.ndarray:
-        for _ in range(64):  # large nodes come first, and most slots are free
-            tries = self._rng.integers(0, self.size, 32)
-            at = (tries[:, None] + symbols[None]) & (self.size - 1)
-            good = np.flatnonzero((self.check[at] == -1).all(axis=1))
+            bases[nth] = self._placed(sorted_[level[nth]][begin[nth] : begin[nth] + count[nth]], taken)
+        single = np.flatnonzero(count == 1)  # these fit anywhere
+        free = np.flatnonzero(~taken)[: len(single)]
+        if len(free) < len(single):
+            raise Full
+        only = np.concatenate([[], *(own[first[n == 1]] for own, first, n in zip(sorted_, begins, counts))]).astype(np.int64)
+        bases[single] = (free - only) % self.room
+        states, done = [], 0
+        for (parents, _), order, own, first, n in zip(levels, orders, sorted_, begins, counts):
+            base, done = bases[done : done + len(n)], done + len(n)
+            above = parents[order] if not states else states[-1][parents[order]]
+            slots = (np.repeat(base, n) + own) % self.room + self.symbols
+            self.base[above[first]] = base
+            self.check[slots] = above
+            states.append(np.empty(len(order), dtype=np.int64))
+            states[-1][order] = slots
+        return states
+
+    def _placed(self, symbols: np.ndarray, taken: np.ndarray) -> int:
+        for _ in range(64):
+            tries = self._rng.integers(0, self.room, 32)
+            at = (tries[:, None] + symbols[None]) % self.room
+            good = np.flatnonzero(~taken[at].any(axis=1))
             if len(good):
-                self.base[parent] = tries[good[0]]
-                self.check[at[good[0]]] = parent
-                return at[good[0]]
+                taken[at[good[0]]] = True
+                return int(tries[good[0]])
         raise Full
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Next states; -1 where there is none, or where state or symbol is negative."""
-        at = (self.base[states].astype(np.int64) + symbols) & (self.size - 1)
+        at = self.base[states].astype(np.int64) + symbols
+        at += self.symbols - self.room * (at >= self.room)
         return np.where((states >= 0) & (symbols >= 0) & (self.check[at] == states), at, -1)
 
 
 def built(symbols: int, nodes: int, fill) -> DoubleArray:
-    """A trie that fill() filled; with twice the slots as often as it takes."""
+    """A trie that fill() filled; with half as many slots more as often as it takes."""
     while True:
         trie = DoubleArray(symbols, nodes)
         try:
             fill(trie)
             return trie
         except Full:
-            nodes = 2 * nodes + symbols
+            nodes = trie.room
 
 
 def word_trie(words: list[tuple[int, bytes]], ids: list[int], languages: int) -> DoubleArray:
@@ -124,17 +144,18 @@ def word_trie(words: list[tuple[int, bytes]], ids: list[int], languages: int) ->
     data = np.frombuffer(b"".join(w for _, w in words), dtype=np.uint8)
     sizes = np.array([len(w) for _, w in words], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
+    at, levels = np.array([lang for lang, _ in words], dtype=np.int64), []
+    for depth in range(sizes.max(initial=0)):
+        still = np.flatnonzero(sizes > depth)
+        both, at[still] = np.unique(at[still] * letters + data[begins[still] + depth], return_inverse=True)
+        levels.append((both // letters, both % letters))
 
     def fill(trie):
-        state = np.array([lang for lang, _ in words], dtype=np.int64)
-        for depth in range(sizes.max(initial=0)):
-            still = np.flatnonzero(sizes > depth)
-            symbols = data[begins[still] + depth].astype(np.int64)
-            both, back = np.unique(state[still] * letters + symbols, return_inverse=True)
-            state[still] = trie.add_level(both // letters, both % letters)[back]
-        trie.index[state] = ids
+        for depth, states in enumerate(trie.add_levels(levels)):
+            whole = np.flatnonzero(sizes == depth + 1)
+            trie.index[states[at[whole]]] = np.asarray(ids)[whole]
 
-    return built(max(letters, languages), len(data), fill)
+    return built(max(letters, languages), sum(len(parents) for parents, _ in levels), fill)
 
 
 # ---------------------------------------------------------------- words
@@ -172,10 +193,11 @@ def encode(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def _by_trie(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    known = vocabulary.select("id", "lang", "word").collect()  # at most WORD_BYTES of words
-    names = {name: nth for nth, name in enumerate(sorted({r["lang"] for r in known}))}
-    trie = word_trie([(names[r["lang"]], r["word"].encode()) for r in known], [r["id"] for r in known], len(names))
-    shared = common.share(docs.sparkSession, (trie, names))
+    known = vocabulary.select("id", "lang", F.col("word").cast("binary").alias("word")).toArrow()  # at most WORD_BYTES of words
+    langs = known.column("lang").to_pylist()
+    names = {name: nth for nth, name in enumerate(sorted(set(langs)))}
+    trie = word_trie([(names[lang], word) for lang, word in zip(langs, known.column("word").to_pylist())], known.column("id").to_numpy(), len(names))
+    shared = common.share(docs.sparkSession, (trie, names), views=True)
 
     def run(batches):
         trie, names = shared()
@@ -292,8 +314,8 @@ def trie_pass(runs: DataFrame, trie: DoubleArray, length: int, entries: int, buc
 
     Most pairs of a task stand once in it, so its sums are as many as its places. They are shuffled as packed blocks, one for
     each bucket of the keys (3 bytes a pair, where rows took 10)."""
-    shared = common.share(runs.sparkSession, trie)
-    symbols = int((trie.check == -2).sum())  # a key is entry * (symbols + 1) + last + 1, without the last word + 0
+    shared = common.share(runs.sparkSession, trie, views=True)
+    symbols = trie.symbols  # a key is entry * (symbols + 1) + last + 1, without the last word + 0
 
     def run(batches):
         trie, accepted, following, held = shared(), np.zeros(entries, dtype=np.int64), [], 0
@@ -370,9 +392,7 @@ def phrases(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
             break
 
         def fill(trie):
-            states = np.arange(symbols, dtype=np.int64)
-            for parents, last in levels:
-                states = trie.add_level(states[parents], last)
+            states = trie.add_levels(levels)[-1] if levels else np.arange(symbols)
             trie.index[states] = np.arange(len(states))
 
         size = len(levels[-1][0]) if levels else symbols

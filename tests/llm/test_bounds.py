@@ -93,3 +93,33 @@ def test_phrase_sums_are_packed():
     twice = phrase_mining.summed([(keys, counts), (keys, counts)])
     assert np.array_equal(twice[0], keys) and np.array_equal(twice[1], 2 * counts)
     assert phrase_mining.dealt(keys[:0], counts[:0], 7).num_rows == 0
+
+
+def test_tries_take_few_bytes_a_node():
+    rng = np.random.default_rng(4)
+    words = sorted({bytes(x) for x in rng.integers(97, 117, (30_000, 9)).astype(np.uint8)})
+    trie = phrase_mining.word_trie([(0, w) for w in words], list(range(len(words))), 1)
+    nodes = int((trie.check >= 0).sum())
+    assert nodes > 100_000 and trie.size < 2 * nodes
+    # nodes with many children beyond the first level, where most slots are taken
+    two = np.unique(rng.integers(0, 4_000, (40_000, 2)), axis=0)
+    three = [np.stack([np.full(400, at), rng.permutation(4_000)[:400]], 1) for at in range(20)]
+    three = np.concatenate([*three, np.unique(np.stack([rng.integers(20, len(two), 20_000), rng.integers(0, 4_000, 20_000)], 1), axis=0)])
+
+    def fill(trie):
+        states = trie.add_levels([(two[:, 0], two[:, 1]), (three[:, 0], three[:, 1])])
+        trie.index[states[0]], trie.index[states[1]] = np.arange(len(two)), np.arange(len(three))
+
+    trie = phrase_mining.built(4_000, len(two) + len(three), fill)
+    assert trie.size < 4 * (len(two) + len(three))
+    first = trie.step(two[:, 0], two[:, 1])
+    assert np.array_equal(trie.index[first], np.arange(len(two)))
+    assert np.array_equal(trie.index[trie.step(first[three[:, 0]], three[:, 1])], np.arange(len(three)))
+    assert (trie.step(first[three[:, 0]], (three[:, 1] + 1) % 4_000) >= 0).mean() < 0.2
+
+
+def test_shared_arrays_are_held_once(spark):
+    value = np.arange(1_000_000)
+    get = common.share(spark, (value, "x"), views=True)
+    assert np.array_equal(get()[0], value) and get()[1] == "x"  # this reads what was sent
+    assert peak(get) < 1_000_000
