@@ -106,7 +106,7 @@ def split_typed(
         *[F.when(~refused, F.col(c)).alias(c) for c in DAILY_COLUMNS],
         F.when(~refused, ratio).alias("ratio"),
     )
-    rejects = _each_refused(_beyond_first(counted, told)).select(
+    rejects = _each_refused(_beyond_first(counted, told, many_copies=False)).select(
         F.col("_source").alias("source"),
         F.coalesce("_reason", F.lit("duplicate key")).alias("reason"),
         F.when(F.col("_reason").isNull(), F.to_json(F.struct(*DAILY_COLUMNS, "ratio"))).otherwise(F.col("_line")).alias("raw"),
@@ -155,8 +155,14 @@ def one_row_per_key(rows: DataFrame, many_copies: bool = False) -> DataFrame:
     return rows.groupBy(*KEYS).agg(smallest).select(*KEYS, "_row.*")
 
 
-def _beyond_first(rows: DataFrame, told: Iterable[str] = ()) -> DataFrame:
-    """Distinct rows with their `copies` beyond the first of each key; rows with values in `told` are all beyond."""
+def _beyond_first(rows: DataFrame, told: Iterable[str] = (), many_copies: bool = True) -> DataFrame:
+    """Distinct rows with their `copies` beyond the first of each key; rows with values in `told` are all beyond.
+
+    Equal rows are counted before the shuffle, and distinct ones shuffled again by key; with many_copies=False all rows
+    are shuffled once, by key, and equal ones counted there, by hash.
+    """
+    if not many_copies:
+        rows = rows.repartition(*KEYS, *told)
     rest = [c for c in rows.columns if c not in KEYS and c not in told]
     counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
     place = F.row_number().over(Window.partitionBy(*KEYS, *told).orderBy(*rest))

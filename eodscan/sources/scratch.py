@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -15,6 +17,20 @@ def scratch_dir(spark: SparkSession, label: str = "run") -> str:
     return f"{root.rstrip('/')}/eodscan-{label}-{uuid.uuid4().hex[:12]}"
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """A write in here removes its shuffle files when it ends; else they stay until the driver collects its garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Remove a folder that scratch_dir named."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,6 +3,7 @@
 import contextlib
 import io
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from eodscan.plans import build_indicators, signal_history
 from eodscan.schemas import BARS
 from eodscan.sources import one_row_per_key, read_daily
 from eodscan.sources.daily import surplus_rows
+from eodscan.sources.scratch import freed_shuffles
 from tests.helpers import bar, bars, day
 from tests.test_ingest import line, text
 
@@ -49,6 +51,14 @@ def test_rejects_come_from_one_reading_of_the_lines(spark, tmp_path):
     assert got == [("bad number in close_price", 1)] * 2 + [("duplicate key", 1)] * 2
 
 
+def test_lines_of_rejects_are_shuffled_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(text(line("GOOD"), line("TWICE"), line("TWICE")))
+    plan = plan_of(read_daily(spark, str(tmp_path))[1])
+    # by key; besides it only the headers and their report are dealt out, by file
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)", plan)
+    assert [c for c in dealt if c != "source"] == ["symbol"], plan
+
+
 def test_lines_are_not_dealt_out_by_file(spark, tmp_path):
     (tmp_path / "a.csv").write_text(text(line("A")))
     plan = plan_of(read_daily(spark, str(tmp_path))[0])
@@ -90,6 +100,35 @@ def test_wide_rows_are_joined_where_they_lie(spark, tmp_path, no_broadcast, name
     assert shown.count() == {"symbol_snapshot": 200, "signal_history": 2 * (31 + 59 + 90 + 91)}[name]
 
 
+def test_files_of_bars_are_small_and_made_in_slices(spark, tmp_path, monkeypatch):
+    sf, folders, written = small_market(spark, tmp_path / "tables"), [], []
+    whole = {name: sorted(registered.queries()[name](spark, sf).collect(), key=str) for name in ("csv_round_trip", "csv_rejects")}
+    write, name_dir = registered._write_csv, registered.scratch_dir
+    monkeypatch.setattr(registered, "SLICE_LINES", 50)
+    monkeypatch.setattr(registered, "scratch_dir", lambda spark, label: folders.append(name_dir(spark, label)) or folders[-1])
+    monkeypatch.setattr(registered, "_write_csv", lambda text, folder: written.append(text.count()) or write(text, folder))
+    for name, rows in whole.items():
+        assert sorted(registered.queries()[name](spark, sf).collect(), key=str) == rows and rows
+    assert len(written) == 2 * 5 and sum(written) == 2 * 200 and max(written) < 200
+    names = spark.read.format("binaryFile").load(folders).select("path").collect()
+    assert names and all(r.path.endswith(".csv.gz") for r in names)
+
+
+def test_write_leaves_no_shuffle(spark, tmp_path):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {name for name in disk.getAllBlocks().mkString(" ").split() if name.startswith("shuffle")}
+
+    before = shuffles()
+    with freed_shuffles(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(str(tmp_path / "out"))
+    until = time.time() + 5
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before
+
+
 def test_history_of_many_dates_is_dealt_out_before_dates_repeat_rows(spark, no_broadcast):
     panel = bars(spark, [bar(s, n, ratio=n + 1.0) for s in "AB" for n in range(0, 120, 5)])
     got = signal_history(panel, build_indicators(panel), [day(100), day(115)])
